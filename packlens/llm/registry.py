@@ -5,14 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan
+from . import decontaminate, exact_dedup, secret_scan, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _digits(c, n: int):
+    """A number below 65536 from a text, which SQL can repeat."""
+    return F.conv(F.substring(F.md5(c), n, 4), 16, 10).cast("int")
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """Dated entries made from the captured hosts: some hosts, sections of hosts and one domain are listed,
+    taken off and listed again on days that depend on their names."""
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/?#]+/([^/?#]+)", 1).alias("part")).distinct()
+    day = lambda c, n: F.timestamp_add("DAY", _digits(c, n) % 300, F.lit("2024-01-01").cast("timestamp"))
+    h, p = F.col("host"), F.concat_ws("/", "host", "part")
+    made = [
+        hosts.filter(_digits(h, 1) % 5 == 0).select(F.lit("host").alias("kind"), h.alias("pattern"), F.lit("add").alias("action"), day(h, 5).alias("at")),
+        hosts.filter(_digits(h, 1) % 10 == 0).select(F.lit("host"), h, F.lit("remove"), F.timestamp_add("DAY", F.lit(40), day(h, 5))),
+        hosts.filter(_digits(h, 1) % 20 == 0).select(F.lit("host"), h, F.lit("add"), F.timestamp_add("DAY", F.lit(70), day(h, 5))),
+        hosts.filter((F.col("part") != "") & (_digits(p, 1) % 7 == 0)).select(F.lit("prefix"), p, F.lit("add"), day(p, 5)),
+        hosts.filter(h.like("%.example.net")).limit(1).select(F.lit("domain"), F.lit("example.net"), F.lit("add"), F.lit("2024-03-01").cast("timestamp")),
+        hosts.filter(h.like("%.example.net")).limit(1).select(F.lit("domain"), F.lit("example.net"), F.lit("remove"), F.lit("2024-04-01").cast("timestamp")),
+    ]
+    out = made[0]
+    for m in made[1:]:
+        out = out.union(m)
+    return out
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    day = (F.col("page_id") * 7919 % 365).cast("int")
+    captures = pages.withColumn("fetched_at", F.timestamp_add("DAY", day, F.lit("2024-01-01").cast("timestamp")))
+    return url_filter.filter_urls(captures, url_list(pages))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_docs(spark, sf_dir))
 
@@ -22,6 +59,27 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
+    "op4_url_filter": """
+        WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host,
+                          regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1) AS part,
+                          lower(regexp_extract(url, '^https?://[^/?#]*(/[^?#]*)', 1)) AS path,
+                          DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INT) AS at FROM pages),
+        h AS (SELECT DISTINCT host, part, host || '/' || part AS hp FROM p),
+        d AS (SELECT *, CAST('0x' || substr(md5(host), 1, 4) AS INT) AS a, DATE '2024-01-01' + CAST('0x' || substr(md5(host), 5, 4) AS INT) % 300 AS ad,
+                     CAST('0x' || substr(md5(hp), 1, 4) AS INT) AS b, DATE '2024-01-01' + CAST('0x' || substr(md5(hp), 5, 4) AS INT) % 300 AS bd FROM h),
+        e AS (SELECT 'host' AS kind, host AS pattern, 'add' AS action, ad AS at FROM d WHERE a % 5 = 0
+              UNION SELECT 'host', host, 'remove', ad + 40 FROM d WHERE a % 10 = 0
+              UNION SELECT 'host', host, 'add', ad + 70 FROM d WHERE a % 20 = 0
+              UNION SELECT 'prefix', lower(hp), 'add', bd FROM d WHERE part <> '' AND b % 7 = 0
+              UNION SELECT 'domain', 'example.net', 'add', DATE '2024-03-01' FROM d WHERE host LIKE '%.example.net'
+              UNION SELECT 'domain', 'example.net', 'remove', DATE '2024-04-01' FROM d WHERE host LIKE '%.example.net'),
+        v AS (SELECT *, lead(at) OVER (PARTITION BY kind, pattern ORDER BY at, CASE action WHEN 'remove' THEN 1 ELSE 0 END) AS until FROM e),
+        hit AS (SELECT page_id, p.url, p.at, count(DISTINCT v.kind || v.pattern) AS n, min(v.kind || ':' || v.pattern) AS fp FROM p JOIN v
+                ON v.action = 'add' AND p.at >= v.at AND (v.until IS NULL OR p.at < v.until) AND CASE v.kind WHEN 'host' THEN p.host = v.pattern
+                   WHEN 'domain' THEN p.host = v.pattern OR ends_with(p.host, '.' || v.pattern)
+                   ELSE p.host || p.path = v.pattern OR starts_with(p.host || p.path, v.pattern || '/') END GROUP BY ALL)
+        SELECT p.page_id, p.host, coalesce(hit.n, 0) > 0 AS blocked, coalesce(hit.n, 0) AS n_entries, hit.fp AS first_pattern
+        FROM p LEFT JOIN hit ON p.page_id = hit.page_id AND p.url = hit.url AND p.at = hit.at""",
     "op8_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
