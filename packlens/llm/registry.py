@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, secret_scan, url_filter
+from . import decontaminate, exact_dedup, language_id, minhash, secret_scan, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return language_id.predict(docs, language_id.train(docs))
+
+
 def _digits(c, n: int):
     """A number below 65536 from a text, which SQL can repeat."""
     return F.conv(F.substring(F.md5(c), n, 4), 16, 10).cast("int")
@@ -58,28 +63,32 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_docs(spark, sf_dir))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
+
+
 ORACLES = {
     "op4_url_filter": """
         WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host,
                           regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1) AS part,
                           lower(regexp_extract(url, '^https?://[^/?#]*(/[^?#]*)', 1)) AS path,
-                          DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INT) AS at FROM pages),
+                          DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INT) AS ts FROM pages),
         h AS (SELECT DISTINCT host, part, host || '/' || part AS hp FROM p),
         d AS (SELECT *, CAST('0x' || substr(md5(host), 1, 4) AS INT) AS a, DATE '2024-01-01' + CAST('0x' || substr(md5(host), 5, 4) AS INT) % 300 AS ad,
                      CAST('0x' || substr(md5(hp), 1, 4) AS INT) AS b, DATE '2024-01-01' + CAST('0x' || substr(md5(hp), 5, 4) AS INT) % 300 AS bd FROM h),
-        e AS (SELECT 'host' AS kind, host AS pattern, 'add' AS action, ad AS at FROM d WHERE a % 5 = 0
+        e AS (SELECT 'host' AS kind, host AS pattern, 'add' AS action, ad AS ts FROM d WHERE a % 5 = 0
               UNION SELECT 'host', host, 'remove', ad + 40 FROM d WHERE a % 10 = 0
               UNION SELECT 'host', host, 'add', ad + 70 FROM d WHERE a % 20 = 0
               UNION SELECT 'prefix', lower(hp), 'add', bd FROM d WHERE part <> '' AND b % 7 = 0
               UNION SELECT 'domain', 'example.net', 'add', DATE '2024-03-01' FROM d WHERE host LIKE '%.example.net'
               UNION SELECT 'domain', 'example.net', 'remove', DATE '2024-04-01' FROM d WHERE host LIKE '%.example.net'),
-        v AS (SELECT *, lead(at) OVER (PARTITION BY kind, pattern ORDER BY at, CASE action WHEN 'remove' THEN 1 ELSE 0 END) AS until FROM e),
-        hit AS (SELECT page_id, p.url, p.at, count(DISTINCT v.kind || v.pattern) AS n, min(v.kind || ':' || v.pattern) AS fp FROM p JOIN v
-                ON v.action = 'add' AND p.at >= v.at AND (v.until IS NULL OR p.at < v.until) AND CASE v.kind WHEN 'host' THEN p.host = v.pattern
+        v AS (SELECT *, lead(ts) OVER (PARTITION BY kind, pattern ORDER BY ts, CASE action WHEN 'remove' THEN 1 ELSE 0 END) AS til FROM e),
+        hit AS (SELECT page_id, p.url, p.ts, count(DISTINCT v.kind || v.pattern) AS n, min(v.kind || ':' || v.pattern) AS fp FROM p JOIN v
+                ON v.action = 'add' AND p.ts >= v.ts AND (v.til IS NULL OR p.ts < v.til) AND CASE v.kind WHEN 'host' THEN p.host = v.pattern
                    WHEN 'domain' THEN p.host = v.pattern OR ends_with(p.host, '.' || v.pattern)
                    ELSE p.host || p.path = v.pattern OR starts_with(p.host || p.path, v.pattern || '/') END GROUP BY ALL)
         SELECT p.page_id, p.host, coalesce(hit.n, 0) > 0 AS blocked, coalesce(hit.n, 0) AS n_entries, hit.fp AS first_pattern
-        FROM p LEFT JOIN hit ON p.page_id = hit.page_id AND p.url = hit.url AND p.at = hit.at""",
+        FROM p LEFT JOIN hit ON p.page_id = hit.page_id AND p.url = hit.url AND p.ts = hit.ts""",
     "op8_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
