@@ -1,4 +1,4 @@
-"""All registered queries of the listing audit and their oracle SQL."""
+"""All registered queries of the listing audit and their oracle SQL, by area."""
 
 from __future__ import annotations
 
@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packlens.plans import q_audit
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _area in (q_audit,):
+    QUERIES |= _area.QUERIES
+    ORACLES |= _area.ORACLES
