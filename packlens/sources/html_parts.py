@@ -100,7 +100,7 @@ def parts_of(html: str | None, url: str | None) -> list[tuple]:
             kids = [k for k in n.kids if isinstance(k, _Node) and k.text()]
             if len(kids) == 2 and not any(isinstance(k, str) and k.strip() for k in n.kids):
                 add("grid", kids[0].text(), None, kids[1].text())
-        if n.tag in _SELECTABLE and (n.attrs.get("id") or n.attrs.get("class")):
+        if n.tag == "h1" or n.tag in _SELECTABLE and (n.attrs.get("id") or n.attrs.get("class")):
             add("sel", n.tag, f"#{n.attrs.get('id', '')} .{n.attrs.get('class', '').replace(' ', ' .')} ", n.text())
     add("text", None, None, tree.root.text(" | "))
     return out
