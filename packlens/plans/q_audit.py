@@ -49,7 +49,7 @@ _QTY = "CAST(CAST(split_part(qty_text, ' ', 1) AS BIGINT) * CASE WHEN qty_text L
 
 @query(
     f"WITH {LST}, ok AS (SELECT * FROM lst WHERE has_page AND fetch_status = 'SUCCESS'), u AS ("
-    + " UNION ALL ".join(f"SELECT inspection_id, '{f}' AS field_name, {v} AS field_value, {n or _QTY} AS normalized_value, {c} AS confidence FROM ok" for f, v, n, c in _PAGE)
+    + " UNION ALL ".join(f"SELECT inspection_id, '{f}' AS field_name, {v} AS field_value, {n or _QTY} AS normalized_value, CAST({c} AS DOUBLE) AS confidence FROM ok" for f, v, n, c in _PAGE)
     + ") SELECT * FROM u WHERE field_value IS NOT NULL"
 )
 def page_declarations(spark, sf_dir):
@@ -183,7 +183,7 @@ def inspections_by_platform(spark, sf_dir):
 
 
 @query(f"""WITH {LST}, p AS (SELECT product_id, k, CASE WHEN k % 50 = 0 THEN 'HOUSEHOLD' ELSE CASE k % 6 WHEN 0 THEN 'FOOD' WHEN 1 THEN 'COSMETIC_PERSONAL_CARE' WHEN 2 THEN 'HOUSEHOLD' WHEN 3 THEN 'FOOD' ELSE 'UNKNOWN' END END AS category,
-    CASE k % 6 WHEN 0 THEN 0.75 WHEN 1 THEN 0.65 WHEN 2 THEN 0.75 WHEN 3 THEN 0.65 ELSE 0.1 END AS c FROM lst) SELECT category, count(*) AS n, round(sum(c), 2) AS confidence FROM p GROUP BY 1""")
+    CASE k % 6 WHEN 0 THEN 0.75 WHEN 1 THEN 0.65 WHEN 2 THEN 0.75 WHEN 3 THEN 0.65 ELSE 0.1 END AS c FROM lst) SELECT category, count(*) AS n, round(sum(CAST(c AS DOUBLE)), 2) AS confidence FROM p GROUP BY 1""")
 def products_by_category(spark, sf_dir):
     """Keyword votes, with a manual category on every fiftieth product."""
     lst = listings(spark, sf_dir).withColumn("c", classify.classify(F.concat_ws(" ", "title", "brand")))
