@@ -97,7 +97,7 @@ def train(
 ) -> LanguageModel:
     """per_lang (rows of one language) and max_chars bound what the driver gathers."""
     got = training_sample(docs, per_lang, max_chars, id_col, text_col, lang_col)
-    got = got[got["text"].map(lambda t: bool(_HAS_LETTER.search(t)))]
+    got = got[got["text"].map(lambda t: bool(_HAS_LETTER.search(t))).astype(bool)]
     return fit(got["text"].tolist(), got["lang"].tolist(), **how)
 
 
