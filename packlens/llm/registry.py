@@ -62,7 +62,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_docs(spark, sf_dir))
+    return line_dedup.dedup_lines(_docs(spark, sf_dir)).withColumn("deleted", F.array_join("deleted", ","))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,51 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def _spans_sql() -> str:
+    """Per rule: texts between matches and matches alternate, so running sums of lengths give the offsets."""
+    sides = []
+    for rank, r in enumerate(secret_scan.RULES):
+        rx = r.pattern.replace("'", "''")
+        sides.append(
+            f"SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, {r.base} AS base, {r.least} AS least, regexp_split_to_array(t, '{rx}') AS gap, "
+            f"regexp_extract_all(t, '{rx}', 0) AS hit, regexp_extract_all(t, '{rx}', {r.group}) AS part FROM d"
+        )
+    return " UNION ALL ".join(sides)
+
+
 ORACLES = {
+    "op9_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_spans_sql()}),
+        x AS (SELECT doc_id, rank, kind, base, least, unnest(range(1, len(hit) + 1)) AS i, gap, hit, part FROM m WHERE len(hit) > 0),
+        y AS (SELECT doc_id, rank, kind, base, length(part[i]) >= least AS ok,
+                     CAST(list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS lo, length(hit[i]) AS n FROM x),
+        z AS (SELECT doc_id, rank, base, kind, lo, kind || ':' || lo || ':' || (lo + n) AS s FROM y WHERE ok),
+        g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (NOT base) AS n_added,
+                     string_agg(s, ',' ORDER BY lo, rank) FILTER (base) AS b, string_agg(s, ',' ORDER BY lo, rank) AS spans FROM z GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added FROM d LEFT JOIN g USING (doc_id)""",
+    "op10_minhash": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+        c AS (SELECT g.*, len(g) AS n FROM g), e AS (SELECT doc_id, n, unnest(g) AS s FROM c),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY ALL),
+        l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)), u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS m FROM c UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.doc_id WHERE r.m < u.b)
+        SELECT c.doc_id, c.n AS n_shingles, q.m AS component_id, q.m = c.doc_id AS kept FROM c JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY 1) q USING (doc_id)""",
+    "op5_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS j, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        n AS (SELECT doc_id, j, ls[j + 1] AS x, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM l WHERE trim(ls[j + 1]) <> ''),
+        q AS (SELECT doc_id, list(x ORDER BY j) AS xs FROM n GROUP BY 1),
+        s AS (SELECT doc_id, d, xs, unnest(range(1, len(xs) - d + 2)) AS i FROM q, (VALUES (1), (2), (4), (8), (16), (32), (64), (128), (256), (512)) v(d)),
+        w AS (SELECT doc_id, d, i, row_number() OVER (PARTITION BY d, xs[i:i + d - 1] ORDER BY doc_id, i) > 1 AS later,
+                     len(list_filter(regexp_split_to_array(xs[i], '[[:space:]]+'), lambda z: z <> '')) AS words FROM s),
+        h AS (SELECT doc_id, d, i FROM w WHERE later AND (d > 1 OR words >= 50)),
+        g AS (SELECT DISTINCT doc_id, i + o AS i FROM h, (VALUES (0), (1)) v(o) WHERE d <= 2 AND o < d), m AS (SELECT doc_id, max(d) AS md FROM h GROUP BY 1),
+        k AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g), c AS (SELECT doc_id, run, count(*) AS c FROM k GROUP BY ALL),
+        t AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS nd, count(*) AS nr, max(c) AS lr FROM c GROUP BY 1), a AS (SELECT doc_id, count(*) AS nl FROM n GROUP BY 1),
+        e AS (SELECT g.doc_id, string_agg(n.j, ',' ORDER BY n.j) AS js FROM g JOIN n USING (doc_id, i) GROUP BY 1)
+        SELECT doc_id, coalesce(nl, 0) AS n_lines, coalesce(nd, 0) AS n_deleted, coalesce(nr, 0) AS n_runs, coalesce(lr, 0) AS longest_run, CAST(coalesce(md, 0) AS BIGINT) AS max_depth, coalesce(js, '') AS deleted
+        FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN a USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN e USING (doc_id)""",
     "op4_url_filter": """
         WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host,
                           regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1) AS part,
