@@ -6,6 +6,8 @@ address: everything up to the first six-digit PIN code within 220 characters.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,15 @@ PATTERNS: tuple[tuple[str, str, float], ...] = (
     ("best_before_date", rf"(?:{_words('सर्वोत्तम पूर्व', 'उपयोग तिथि', 'समाप्ति तिथि')}|एक्सपायरी){_SEP}{_DATE}", 0.7),
 )
 
+#: A text without any of these (lower-cased) words can't match the pattern of the same place above; the
+#: cheap test spares most texts most of the expressions.
+ANCHORS: tuple[tuple[str, ...], ...] = (
+    ("manufactured", "mfd", "mfg"), ("manufacturer",), ("packed", "pkd"), ("packer",), ("imported",), ("importer",), ("country",), ("net",), ("rs",), ("mrp", "m.r.p"), ("@",),
+    ("care", "helpline", "toll", "call"), ("care", "marketed"), ("mfg", "manufactured", "packed", "packaging"), ("best", "use", "expiry", "exp"), ("unit", "price"),
+    ("अधिकतम", "एम", "एमआरपी"), ("शुद्ध", "निवल"), ("निर्माता",), ("पैककर्ता",), ("आयातक",), ("मूल",), ("उपभोक्ता", "ग्राहक", "हेल्पलाइन"), ("उपभोक्ता", "ग्राहक"), ("निर्माण",),
+    ("सर्वोत्तम", "उपयोग", "समाप्ति", "एक्सपायरी"),
+)
+
 #: Values that are licence or registration numbers, not names.
 NOT_A_NAME = r"(?i)^(?:(?:fssai\s*)?lic(?:en[cs]e)?\.?\s*no\.?\b|fssai\b|gst(?:in)?\b|cin\b|reg(?:istration)?\.?\s*no\.?\b)"
 ADDRESS_CONFIDENCE = 0.55
@@ -72,6 +83,13 @@ def _row(field: str, value: Column, confidence: float, ord_: Column) -> Column:
     )
 
 
+def _guarded(text: Column, low: Column, k: int) -> Column:
+    """The candidates of pattern k, or none where the text lacks its anchors."""
+    may = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ANCHORS[k]])
+    none = F.array().cast(f"array<{ONE}>")
+    return F.when(may, _of(text, k, *PATTERNS[k]).cast(f"array<{ONE}>")).otherwise(none)
+
+
 def _of(text: Column, k: int, field: str, pattern: str, confidence: float) -> Column:
     base = 1000 * (k + 1)
     if field not in ADDRESS_OF:
@@ -101,11 +119,13 @@ def _of(text: Column, k: int, field: str, pattern: str, confidence: float) -> Co
 
 def candidates(text: Column) -> Column:
     """array<struct<field_name, field_value, confidence, ord>> of all matches of all patterns."""
-    found = [_of(F.coalesce(text, F.lit("")), k, *p) for k, p in enumerate(PATTERNS)]
-    return F.concat(*[f.cast(f"array<{ONE}>") for f in found])
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    return F.concat(*[_guarded(text, low, k) for k in range(len(PATTERNS))])
 
 
 def pattern_candidates(text: Column, field: str) -> Column:
     """The same for the patterns of one field only."""
-    found = [_of(F.coalesce(text, F.lit("")), k, *p) for k, p in enumerate(PATTERNS) if p[0] == field]
-    return F.concat(*[f.cast(f"array<{ONE}>") for f in found])
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    return F.concat(*[_guarded(text, low, k) for k, p in enumerate(PATTERNS) if p[0] == field])

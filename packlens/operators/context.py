@@ -50,6 +50,12 @@ def page_facts(pages: DataFrame, candidates: DataFrame, key: str = "inspection_i
     )
 
 
+def page_status(pages: DataFrame, key: str = "inspection_id") -> DataFrame:
+    """Per inspection: has_page_row and fetched. build_context finds out itself whether the page is hollow,
+    from the fields of its declarations, which spares a second pass over the candidates."""
+    return pages.groupBy(key).agg(F.lit(True).alias("has_page_row"), F.bool_or(F.col("fetch_status") == "SUCCESS").alias("fetched"))
+
+
 def image_facts(images: DataFrame, boxes: DataFrame, key: str = "inspection_id") -> DataFrame:
     """Per inspection: n_images and ocr_conf, the mean confidence over all boxes of all images."""
     per = boxes.groupBy("image_id").agg(F.sum("confidence").alias("c"), F.count("confidence").alias("n"))
@@ -64,12 +70,15 @@ def origin(best: Column, has_page_row: Column, n_images: Column) -> Column:
 
 
 def build_context(inspections: DataFrame, decl: DataFrame, pages: DataFrame, images: DataFrame, key: str = "inspection_id") -> DataFrame:
-    """One row per inspection; pages and images are facts per inspection as above."""
+    """One row per inspection; pages (page_facts or page_status) and images are facts per inspection."""
     maps = field_maps(decl, key)
     c = inspections.join(maps, key, "left").join(pages, key, "left").join(images, key, "left")
     empty = lambda kind: F.create_map().cast(f"map<string,{kind}>")
     fill = {"best": BEST, "web": "boolean", "texts": "string", "online": BEST, "image": BEST}
     c = c.withColumns({n: F.coalesce(F.col(n), empty(k)) for n, k in fill.items()})
+    if "fetched" in c.columns:
+        several = F.size("online") > 1
+        c = c.withColumns({"hollow": F.col("fetched") & ~several, "usable_page": F.col("fetched") & several})
     c = c.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in {"has_page_row": False, "hollow": False, "usable_page": False}.items()})
     c = c.withColumn("n_images", F.coalesce("n_images", F.lit(0).cast("bigint")))
     c = c.withColumns({"quality": evidence_quality(F.col("usable_page"), F.col("n_images"), F.col("ocr_conf")), "sufficient": F.col("usable_page") | (F.col("n_images") > 0)})

@@ -32,15 +32,13 @@ def declarations(lst: DataFrame) -> DataFrame:
 
 
 def contexts(lst: DataFrame) -> DataFrame:
-    pages = lst.filter("has_page").select("inspection_id", F.col("inspection_id").alias("page_id"), "fetch_status")
-    found = page_declarations(lst)
-    facts = context.page_facts(pages, found.select(F.col("inspection_id").alias("page_id"), "field_name"))
+    facts = context.page_status(lst.filter("has_page").select("inspection_id", "fetch_status"))
     images = lst.filter("n_images > 0").select("inspection_id", "n_images", F.col("ocr_conf").cast("double").alias("ocr_conf"))
     ins = lst.select(
         "inspection_id", "batch_id", "platform", "url", "run_status", "created_day", F.concat_ws(" ", "url", "title").alias("listing_text"),
         classify.classify(F.concat_ws(" ", "title", "brand"))["category"].alias("category"),
     )
-    return context.build_context(ins, found.unionByName(image_declarations(lst)), facts, images)
+    return context.build_context(ins, declarations(lst), facts, images)
 
 
 def checks(lst: DataFrame) -> DataFrame:
