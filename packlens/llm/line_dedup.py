@@ -11,6 +11,8 @@ others are later copies. The windows of later copies cover exactly the repeated
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,18 +69,15 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
 def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """(row, i, j, depth): the lines to delete. They lie in a run of two or more lines that occurs before, or
     are single lines of at least min_words words that occur before; depth is the largest 2^k seen there."""
-    found = None
-    for k, level in enumerate(suffix_levels(lines)):
-        place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "i")
-        first = level.groupBy("rank").agg(F.min(place).alias("first"))
-        later = level.join(first, "rank").filter(place != F.col("first"))
-        if k == 0:
-            later = later.filter(F.col("words") >= min_words)
-        covers = F.array("i", F.col("i") + 1) if k == 1 else F.array("i")  # deeper windows lie within those of depth 2
-        spans = later.select("row", F.explode(covers).alias("i"), F.lit(2**k).alias("depth"))
-        found = spans if found is None else found.union(spans)
-    if found is None:
+    levels = [lv.withColumn("k", F.lit(k)) for k, lv in enumerate(suffix_levels(lines))]
+    if not levels:
         return lines.limit(0).select("row", "i", "j", F.lit(0).cast("bigint").alias("depth"))
+    every = reduce(DataFrame.union, levels)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "i")
+    first = every.groupBy("k", "rank").agg(F.min(place).alias("first"))
+    later = every.join(first, ["k", "rank"]).filter(place != F.col("first")).filter((F.col("k") > 0) | (F.col("words") >= min_words))
+    covers = F.when(F.col("k") == 1, F.array("i", F.col("i") + 1)).otherwise(F.array("i"))  # deeper windows lie within those of depth 2
+    found = later.select("row", F.explode(covers).alias("i"), F.expr("shiftleft(1, k)").alias("depth"))
     return found.groupBy("row", "i").agg(F.max("depth").cast("bigint").alias("depth")).join(lines.select("row", "i", "j"), ["row", "i"])
 
 
