@@ -164,11 +164,10 @@ def _distinct_pairs(df: DataFrame) -> DataFrame:
 
 #: Buckets of up to so many members have their open pairs listed; in larger ones blocks are compared.
 SMALL = 8
-#: Shingles in a block, about.
-BLOCK = 200_000
-#: Blocks are compared in the buckets of so many bands: a link that both stars missed shares none of them
-#: with a chance of (1 - 0.8 ** ROWS) ** BLOCK_BANDS, 0.008.
-BLOCK_BANDS = 16
+#: Shingles in a block, about, and rows in a block, about.
+BLOCK, BLOCK_ROWS = 200_000, 4096
+#: The large buckets of so many bands are compared at once; all bands have their turn.
+ROUND = 8
 
 
 def _centres(members: DataFrame) -> DataFrame:
@@ -182,10 +181,11 @@ def _centres(members: DataFrame) -> DataFrame:
 def _links_in_blocks(large: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) of different components within the buckets of large (key, rep, n, comp).
 
-    A bucket is cut into blocks of about BLOCK shingles in all, and every pair of blocks is one group, in
-    which the intersections of all sets are one matrix product. Only links leave the group.
+    A bucket is cut into blocks of about BLOCK shingles and BLOCK_ROWS rows at most, and every pair of blocks is
+    one group, in which the intersections of the sets of one with those of the other are one matrix product.
+    Only links leave the group.
     """
-    sums = large.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    sums = large.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     sums = sums.filter("blocks > 0")
     placed = large.join(sums, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j")))
@@ -195,29 +195,52 @@ def _links_in_blocks(large: DataFrame, docs: DataFrame, k: int, percent: int, id
     texts = texts.join(maybe_broadcast(ids, ids.count()), "rep", "left_semi")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        comp, own, rep = (g[c].to_numpy() for c in ("comp", "own", "rep"))
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        if not len(left) or not len(right) or (comp == comp[0]).all():
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         sets = [shingle_set(t, k) for t in g["text"]]
-        size = np.array([len(x) for x in sets])
+        size = np.array([len(x) for x in sets], np.int64)
         _, col = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), size)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
+        both = np.zeros((len(left), len(right)), np.float32)
         for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
             at = slice(*np.searchsorted(col, [lo, lo + 4096]))
             x = np.zeros((len(sets), 4096), np.float32)
             x[row[at], col[at] - lo] = 1
-            both += x @ x.T
-        comp, own = g["comp"].to_numpy(), g["own"].to_numpy()
-        ok = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] < comp[None, :])
-        if key[1] != key[2]:
-            ok &= own[:, None] != own[None, :]
-        x, y = np.nonzero(ok)
-        rep = g["rep"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
+            both += x[left] @ x[right].T
+        found = []
+        for lo in range(0, len(left), 256):
+            some, n = left[lo : lo + 256, None], both[lo : lo + 256].astype(np.int64)
+            ok = (n > 0) & (100 * n >= percent * (size[some] + size[right] - n)) & (comp[some] != comp[right])
+            x, y = np.nonzero(ok)
+            found.append(np.stack([rep[left[lo + x]], rep[right[y]]]))
+        x, y = np.concatenate(found, axis=1)
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return dealt.join(texts, "rep").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, band, rep, n, comp, m): the buckets whose m members are in different components."""
+    tagged = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    mixed = tagged.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "m")
+    return tagged.join(mixed, "key")
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, component) after the links (a, b) between nodes; the graph of their components is small."""
+    for side in ("a", "b"):
+        named = comps.select(F.col("node").alias(side), F.col("component").alias("c"))
+        links = links.join(named, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    again = cut(components(links), "again")
+    to = again.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = comps.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut(moved.union(again.select("node", "component")), "components")  # a least node is in no row of comps
+
+
 def _small_pairs(small: DataFrame) -> DataFrame:
     """All pairs (a, b) of different components in buckets of at most SMALL members."""
     other = small.select("key", F.col("rep").alias("y"), F.col("comp").alias("comp2"))
@@ -246,19 +269,16 @@ def near_duplicates(
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("least"))
     stars = cut(stars, "stars")
     comps = cut(components(confirm(stars, docs, sizes, k, percent, id_col, text_col)), "components")
-    tagged = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = tagged.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "m")
-    open_ = cut(tagged.join(mixed, "key"), "open")
+    open_ = cut(_mixed(members, comps), "open")
     rest = cut(_small_pairs(open_.filter(F.col("m") <= SMALL)).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = confirm(rest, docs, sizes, k, percent, id_col, text_col).union(
-        _links_in_blocks(open_.filter((F.col("m") > SMALL) & (F.col("band") < BLOCK_BANDS)), docs, k, percent, id_col, text_col)
-    )
-    for side in ("a", "b"):  # links between components: the graph is small now
-        named = comps.select(F.col("node").alias(side), F.col("component").alias("c"))
-        more = more.join(named, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-    again = components(more).withColumnsRenamed({"node": "first", "component": "second"})
-    end = of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("first", F.coalesce("component", "rep", "id")).join(again, "first", "left")
-    comp = F.coalesce("second", "first")
+    comps = _merged(comps, confirm(rest, docs, sizes, k, percent, id_col, text_col))
+    hot = open_.filter(F.col("m") > SMALL).select("key", "band", "rep", "n")
+    for lo in range(0, bands, ROUND):  # each round sees only what the rounds before have left open
+        large = cut(_mixed(hot.filter(F.col("band").between(lo, lo + ROUND - 1)), comps), "large")
+        if not large.isEmpty():
+            comps = _merged(comps, cut(_links_in_blocks(large, docs, k, percent, id_col, text_col), "links"))
+    end = of.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    comp = F.coalesce("component", "rep", "id")
     return end.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 

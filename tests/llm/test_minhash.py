@@ -77,3 +77,42 @@ def test_bins_borrow_alike():
     a, b = M.shingle_set("one two three four five six", 2), M.shingle_set("one two three four five six seven", 2)
     share = np.mean([M.signature(a, 240) == M.signature(b, 240)])
     assert 0.6 < share <= 1
+
+
+def late_pair():
+    """Texts of which two, 0.8 alike, share buckets in bands from 16 on only; in each of these buckets there are
+    30 others, unlike all, and the two are no centre of any."""
+    rng, bins = random.Random(11), M.BANDS * M.ROWS
+    bin_of = lambda w: (int(M.shingle_set(w, 1)[0]) >> 32) * bins >> 32
+    for t in range(20_000):
+        a = [f"t{t}w{i}" for i in range(700)]
+        gone = set(rng.sample(range(700), 72))
+        b = [w for i, w in enumerate(a) if i not in gone] + [f"t{t}x{i}" for i in range(72)]
+        sa, sb = (M.shingle_set(" ".join(w), 1) for w in (a, b))
+        same = np.flatnonzero(M.band_keys(sa, M.BANDS, M.ROWS) == M.band_keys(sb, M.BANDS, M.ROWS))
+        if not len(same) or same[0] < 16:
+            continue
+        least = {}
+        for w in a:
+            least[bin_of(w)] = min(least.get(bin_of(w), (2**64, "")), (int(M.shingle_set(w, 1)[0]), w))
+        shared = {j for s in same for j in range(s * M.ROWS, (s + 1) * M.ROWS)}
+        if shared <= set(least):
+            break
+    common = [least[j][1] for j in sorted(shared)]
+    others = [common + [w for w in (f"o{n}y{i}" for i in range(3 * len(common))) if bin_of(w) not in shared] for n in range(30)]
+    keys = M.band_keys(sa, M.BANDS, M.ROWS)[same].tolist()
+    while True:
+        ids = rng.sample(range(1000), 32)
+        if all(not {ids[0], ids[1]} & {min(ids, key=lambda i: i ^ k), max(ids, key=lambda i: i ^ k)} for k in keys):
+            return list(zip(ids, map(" ".join, [a, b, *others]), strict=True))
+
+
+def test_links_of_late_bands(spark, monkeypatch):
+    rows = late_pair()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 1)
+    assert want[rows[0][0]][1] == want[rows[1][0]][1]
+    same = lambda g: {(frozenset(i for i in g if g[i][1] == c)) for _, c in g.values()}
+    assert same(got(df, k=1)) == same(want)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 5)
+    assert same(got(df, k=1)) == same(want)
