@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,68 +59,78 @@ def _encoder(json_file: str, ranks_file: str | None):
 
 class Schedule:
     """Which tokens of which queue go where. totals: tokens by queue; weights: target proportions (default:
-    the totals themselves). A queue that runs dry leaves its share to the others."""
+    the totals themselves). A queue that runs dry leaves its share to the others.
+
+    All queues are served up to one level, times their weights: queue q has had min(total, weight * level)
+    tokens. The levels at which queues run dry, in order, and the tokens served until then are all the state,
+    so it grows with the number of queues only.
+    """
 
     def __init__(self, totals: np.ndarray, weights: np.ndarray | None, window: int):
         self.totals, self.window = np.asarray(totals, np.int64), window
         self.all = int(self.totals.sum())
         self.windows = -(-self.all // window)
-        w = self.totals.astype(float) if weights is None else np.maximum(np.asarray(weights, float), 1e-12)
-        at, used, times, states = 0.0, np.zeros(len(self.totals)), [0.0], [np.zeros(len(self.totals))]
-        live = self.totals > 0
-        while live.any():
-            rate = np.where(live, w, 0) / w[live].sum()
-            left = np.where(live, (self.totals - used) / np.maximum(rate, 1e-300), np.inf)
-            step = left.min()
-            at, used = at + step, used + rate * step
-            done = live & (left <= step * (1 + 1e-12))
-            used[done] = self.totals[done]
-            live &= ~done
-            times.append(at)
-            states.append(used.copy())
-        self.times, self.states = np.array(times), np.array(states)
+        self.weights = self.totals.astype(float) if weights is None else np.maximum(np.asarray(weights, float), 1e-12)
+        live = np.flatnonzero(self.totals > 0)
+        dry = self.totals[live] / self.weights[live]
+        order = np.argsort(dry, kind="stable")
+        self.rates = np.cumsum(self.weights[live][order][::-1])[::-1]  # of the queues that are not yet dry
+        self.levels = np.concatenate([[0.0], dry[order]])
+        self.times = np.concatenate([[0.0], np.cumsum(np.diff(self.levels) * self.rates)])
         self.memo: dict[int, np.ndarray] = {}
 
+    def level(self, w: int) -> float:
+        """The level at the start of window w."""
+        x = float(w) * self.window
+        k = min(max(int(np.searchsorted(self.times, x, "right")) - 1, 0), len(self.rates) - 1)
+        return min(self.levels[k] + (x - self.times[k]) / self.rates[k], self.levels[-1])
+
     def served(self, w: int) -> np.ndarray:
         """Tokens of each queue in the windows before w."""
         if w >= self.windows:
             return self.totals
         if w <= 0:
             return np.zeros_like(self.totals)
+        return np.minimum(np.floor(self.weights * self.level(w) + 1e-6).astype(np.int64), self.totals)
+
+    def served_of(self, q: int, w: int) -> int:
+        """Tokens of queue q in the windows before w."""
+        if w >= self.windows:
+            return int(self.totals[q])
+        return min(int(np.floor(self.weights[q] * self.level(w) + 1e-6)), int(self.totals[q])) if w > 0 else 0
+
+    def shift(self, w: int) -> np.ndarray:
+        """By queue, the place in the stream of its tokens in window w, less their place in the queue."""
         if w not in self.memo:
-            if len(self.memo) > 4096:
+            if len(self.memo) * max(len(self.totals), 1024) > 2**22:
                 self.memo.clear()
-            x = float(w) * self.window
-            k = min(max(int(np.searchsorted(self.times, x, "right")) - 1, 0), len(self.times) - 2)
-            part = (x - self.times[k]) / max(self.times[k + 1] - self.times[k], 1e-300)
-            y = self.states[k] + (self.states[k + 1] - self.states[k]) * min(part, 1.0)
-            self.memo[w] = np.minimum(np.floor(y + 1e-6).astype(np.int64), self.totals)
+            a, b = self.served(w), self.served(w + 1)
+            self.memo[w] = int(a.sum()) + np.cumsum(b - a) - b
         return self.memo[w]
 
     def pieces(self, q: int, start: int, n: int) -> list[tuple[int, int, int, int]]:
         """(offset in the run, place in the stream, length, window) for tokens start .. start + n of queue q."""
-        lo, hi = 0, self.windows  # the last window whose first token of q is not after start
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.served(mid)[q] <= start else (lo, mid)
-        out, done = [], 0
+        out, done, lo = [], 0, 0
         while done < n:
-            a, b = self.served(lo), self.served(lo + 1)
-            take = min(n - done, int(b[q]) - start - done)
-            if take > 0:
-                place = int(a.sum()) + int((b[:q] - a[:q]).sum()) + start + done - int(a[q])
-                out.append((done, place, take, lo))
-                done += take
+            if self.served_of(q, lo + 1) <= start + done:
+                hi = self.windows  # the last window whose first token of q is not after start + done
+                while hi - lo > 1:
+                    mid = (lo + hi) // 2
+                    lo, hi = (mid, hi) if self.served_of(q, mid) <= start + done else (lo, mid)
+            take = min(n - done, self.served_of(q, lo + 1) - start - done)
+            out.append((done, int(self.shift(lo)[q]) + start + done, take, lo))
+            done += take
             lo += 1
         return out
 
 
-def tokenized(docs: DataFrame, json_file: str, ranks_file: str | None, id_col: str, text_col: str, queue_col: str, max_queues: int) -> DataFrame:
+def _queue_of(name: Column, shared: int | None) -> Column:
+    return F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(shared)).cast("string")) if shared else name
+
+
+def tokenized(docs: DataFrame, json_file: str, ranks_file: str | None, id_col: str, text_col: str, queue: Column) -> DataFrame:
     """(id, queue, part, at, n, ids): at is where the document's tokens begin in its queue within the task."""
     kind = docs.schema[id_col].dataType.simpleString()
-    name = F.coalesce(F.col(queue_col).cast("string"), F.lit(""))
-    many = docs.select(name.alias("q")).distinct().count() > max_queues
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")) if many else name
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, at = _encoder(json_file, ranks_file), TaskContext.get().partitionId(), {}
@@ -150,39 +160,51 @@ def pack(
     weights: dict[str, float] | None = None,
     seq_len: int = SEQ_LEN,
     window_sequences: int = 16,
-    max_queues: int = 1024,
+    max_queues: int | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, window.
 
     A document is its ids and one id 0; null texts are empty (one id), rows with null or repeated ids are
     documents of their own, null sources are one queue. Sequences are filled gaplessly in the order of
-    the stream; the last one is short. Sources beyond max_queues share queues by hash, so that what the
-    driver gathers (one total a queue) stays bounded. An empty table gives an empty result.
+    the stream; the last one is short. Every source is a queue of its own at any number of sources, of each
+    of which the driver gathers one total. Only if max_queues is given and there are more sources, they share
+    so many queues by hash, and a shared queue has the sum of its sources' weights. An empty table gives an
+    empty result.
     """
-    toks = cut(tokenized(docs, json_file, ranks_file, id_col, text_col, queue_col, max_queues), "tokens")
+    name = F.coalesce(F.col(queue_col).cast("string"), F.lit(""))
+    shared = None
+    if max_queues is not None:
+        sources = docs.select(name.alias("source")).distinct()
+        shared = max_queues if sources.count() > max_queues else None
+        if shared and weights is not None:
+            given = docs.sparkSession.createDataFrame([(q, float(w)) for q, w in weights.items()], "source string, w double")
+            by = given.join(sources, "source", "left_semi").groupBy(_queue_of(F.col("source"), shared).alias("queue"))
+            weights = {r["queue"]: r["w"] for r in by.agg(F.sum("w").alias("w")).collect()}
+    toks = cut(tokenized(docs, json_file, ranks_file, id_col, text_col, _queue_of(name, shared)), "tokens")
     sums = cut(toks.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     per = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     names = sorted(per)
-    index = {q: i for i, q in enumerate(names)}
+    index = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "queue string, q int")
+    base = base.join(maybe_broadcast(index, len(names)), "queue")
     plan = Schedule(np.array([per[q] for q in names], np.int64), None if weights is None else np.array([weights.get(q, 0) for q in names]), seq_len * window_sequences)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, q, first, n, raw in zip(b["id"], b["queue"], b["base"] + b["at"], b["n"], b["ids"], strict=True):
+            for i, queue, q, first, n, raw in zip(b["id"], b["queue"], b["q"], b["base"] + b["at"], b["n"], b["ids"], strict=True):
                 ids = np.frombuffer(raw, np.uint16).astype("<u4")
-                for done, place, length, win in plan.pieces(index[q], int(first), int(n)):
+                for done, place, length, win in plan.pieces(int(q), int(first), int(n)):
                     while length:
                         take = min(length, seq_len - place % seq_len)
                         crc = zlib.crc32(ids[done : done + take].tobytes())
-                        out.append((i, done, take, crc, n, place // seq_len, place % seq_len, q, win))
+                        out.append((i, done, take, crc, n, place // seq_len, place % seq_len, queue, win))
                         done, place, length = done + take, place + take, length - take
             yield pd.DataFrame(out, columns=cols)
 
     cols = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "window"]
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = toks.join(maybe_broadcast(base, sums.count()), ["queue", "part"]).select("id", "queue", "base", "at", "n", "ids")
+    placed = toks.join(maybe_broadcast(base, sums.count()), ["queue", "part"]).select("id", "queue", "q", "base", "at", "n", "ids")
     schema = f"id {kind}, " + ", ".join(f"`{c}` {'string' if c == 'queue' else 'bigint'}" for c in cols[1:])
     return placed.mapInPandas(run, schema).withColumnRenamed("id", id_col)

@@ -88,3 +88,21 @@ def test_weights(docs):
     rows = P.pack(docs, JSON, RANKS, weights={"src0": 5.0, "src1": 1.0}, window_sequences=1).collect()
     first = [r for r in rows if r.window == 0]
     assert sum(r.length for r in first if r.queue == "src0") == pytest.approx(5 / 6 * 1024, abs=2)
+
+
+def test_one_queue_for_each_of_many_sources(spark):
+    rows = [(i, " word" * (6000 if i == 7 else 5), f"site{i}") for i in range(1100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = P.pack(df, JSON, RANKS, weights={f"site{i}": 1099.0 if i == 7 else 1.0 for i in range(1100)}, seq_len=512, window_sequences=8)
+    check(df, out, 512)
+    got = out.collect()
+    assert {r.queue for r in got} == {s for _, _, s in rows} and all(r.queue == f"site{r.doc_id}" for r in got)
+    assert sum(r.length for r in got if r.window == 0 and r.queue == "site7") == pytest.approx(2048, abs=2)
+
+
+def test_shared_queues_have_their_sources_weights(docs):
+    names = sorted({r.source for r in docs.select("source").collect()})
+    rows = P.pack(docs, JSON, RANKS, max_queues=2, weights={n: 1.0 if n == names[0] else 0.0 for n in names}, window_sequences=1).collect()
+    own = {r.doc_id for r in docs.filter(docs.source == names[0]).collect()}
+    queue = {r.queue for r in rows if r.doc_id in own}
+    assert len(queue) == 1 and sum(r.length for r in rows if r.window == 0 and r.queue in queue) >= 1023
