@@ -66,30 +66,41 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     return out
 
 
-def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
+def repeated_runs(lines: DataFrame, min_words: int, shared_by: int | None = None, shared_words: int = 3) -> DataFrame:
     """(row, i, j, depth): the lines to delete. They lie in a run of two or more lines that occurs before, or
-    are single lines of at least min_words words that occur before; depth is the largest 2^k seen there."""
+    are single lines that occur before and have at least min_words words, or at least shared_words words and
+    stand in at least shared_by rows; depth is the largest 2^k seen there."""
     levels = [lv.withColumn("k", F.lit(k)) for k, lv in enumerate(suffix_levels(lines))]
     if not levels:
         return lines.limit(0).select("row", "i", "j", F.lit(0).cast("bigint").alias("depth"))
     every = reduce(DataFrame.union, levels)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "i")
     first = every.groupBy("k", "rank").agg(F.min(place).alias("first"))
-    later = every.join(first, ["k", "rank"]).filter(place != F.col("first")).filter((F.col("k") > 0) | (F.col("words") >= min_words))
+    alone = F.col("words") >= min_words
+    if shared_by is not None:  # rows per line: first by line and row, so that no task counts a common line alone
+        spread = levels[0].select("rank", "row").distinct().groupBy("rank").agg(F.count("*").alias("rows")).filter(F.col("rows") >= shared_by)
+        first = first.join(spread.select(F.lit(0).alias("k"), "rank", F.lit(True).alias("shared")), ["k", "rank"], "left")
+        alone = alone | (F.col("shared") & (F.col("words") >= shared_words))
+    later = every.join(first, ["k", "rank"]).filter(place != F.col("first")).filter((F.col("k") > 0) | alone)
     covers = F.when(F.col("k") == 1, F.array("i", F.col("i") + 1)).otherwise(F.array("i"))  # deeper windows lie within those of depth 2
     found = later.select("row", F.explode(covers).alias("i"), F.expr("shiftleft(1, k)").alias("depth"))
     return found.groupBy("row", "i").agg(F.max("depth").cast("bigint").alias("depth")).join(lines.select("row", "i", "j"), ["row", "i"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", shared_by: int | None = None, shared_words: int = 3
+) -> DataFrame:
     """One row per input row: id, n_lines (non-blank), n_deleted, n_runs, longest_run, max_depth, and
     deleted, the indices of the lines to delete counted from 0 over all lines of the text.
 
+    A single line counts from min_words words; with shared_by also from shared_words words if it stands in
+    that many documents or more, as boilerplate does.
+
     Null and empty texts have no lines. Blank lines are no part of a sequence and stay. Rows that repeat
     are documents of their own: the later row loses what it repeats. Null ids come after all others.
     """
     lines = cut(numbered_lines(docs, id_col, text_col), "lines")
-    gone = cut(repeated_runs(lines.filter("i IS NOT NULL"), min_words), "deleted")
+    gone = cut(repeated_runs(lines.filter("i IS NOT NULL"), min_words, shared_by, shared_words), "deleted")
     w = Window.partitionBy("row").orderBy("i")
     runs = gone.withColumn("run", F.col("i") - F.row_number().over(w)).groupBy("row", "run").agg(
         F.count("*").alias("len"), F.max("depth").alias("depth"), F.collect_list("j").alias("js")

@@ -65,6 +65,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_docs(spark, sf_dir)).withColumn("deleted", F.array_join("deleted", ","))
 
 
+#: A single line of 3 words or more is boilerplate if more than six documents have it.
+SHARED_BY, SHARED_WORDS = 7, 3
+
+
+def op5_line_dedup_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_docs(spark, sf_dir), shared_by=SHARED_BY, shared_words=SHARED_WORDS)
+    return out.withColumn("deleted", F.array_join("deleted", ","))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -157,6 +166,13 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
 }
 
+#: The same with the number of documents that have a line.
+ORACLES["op5_line_dedup_shared"] = (
+    ORACLES["op5_line_dedup"]
+    .replace("> 1 AS later,", "> 1 AS later, count(DISTINCT doc_id) OVER (PARTITION BY d, xs[i:i + d - 1]) AS docs,")
+    .replace("(d > 1 OR words >= 50)", f"(d > 1 OR words >= 50 OR docs >= {SHARED_BY} AND words >= {SHARED_WORDS})")
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline

@@ -1,6 +1,8 @@
 import random
 
+import duckdb
 from packlens.llm import line_dedup as L
+from packlens.llm import registry
 
 from .conftest import make
 
@@ -54,3 +56,22 @@ def test_odd_and_empty(odd_docs, no_docs):
     rows = L.dedup_lines(odd_docs, min_words=4).collect()
     assert len(rows) == odd_docs.count() and sum(r.n_deleted for r in rows) == 3  # a repeated row, the null id's text and the long copy
     assert L.dedup_lines(no_docs).count() == 0
+
+
+def test_short_lines_of_many_documents(spark):
+    texts = [f"own line number {i}\nSign up for our newsletter\nend {i}\nshort one\n" for i in range(8)] + ["Only in two places", "x\nOnly in two places"]
+    rows = {r.doc_id: list(r.deleted) for r in L.dedup_lines(make(spark, texts), shared_by=7).collect()}
+    assert rows == {i: [] if i in (0, 8, 9) else [1] for i in range(10)}
+    assert all(not r.deleted for r in L.dedup_lines(make(spark, texts)).collect())
+    once = {r.doc_id: list(r.deleted) for r in L.dedup_lines(make(spark, ["a b c\n\na b c\nz\na b c"] * 2), shared_by=3).collect()}
+    assert once == {0: [], 1: [0, 2, 3, 4]}  # the copies in one document are one document
+
+
+def test_shared_lines_query_against_its_sql(spark):
+    df = registry.op5_line_dedup_shared(spark, "/root/testdata/sf0.001")
+    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    rel = duckdb.sql(registry.ORACLES["op5_line_dedup_shared"])
+    got, want = ({r[rel.columns.index("doc_id")]: tuple(map(str, r)) for r in rows} for rows in (df.select(rel.columns).collect(), rel.fetchall()))
+    assert got == want
+    plain = sum(r.n_deleted for r in registry.op5_line_dedup(spark, "/root/testdata/sf0.001").collect())
+    assert sum(int(r[rel.columns.index("n_deleted")]) for r in want.values()) > plain
