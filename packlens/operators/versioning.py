@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
-CONTENT = ("title", "validation_type", "severity", "requirement", "validator_config")
+#: The fields of a rule that make up its content, with what stands for a null or a missing column.
+CONTENT = {
+    "rule_reference": None, "title": None, "description": None, "requirement": None, "applicability": None, "exceptions": None,
+    "validation_type": None, "severity": None, "validator_config": "{}", "applicable_categories": "[]", "excluded_categories": "[]",
+    "gating_only": "false", "source_document": None, "source_locator": None, "effective_from": None, "effective_until": None, "notes": None,
+}
+_JSON = ("validator_config", "applicable_categories", "excluded_categories")
+
+
+def _as_text(rules: DataFrame, name: str) -> Column:
+    """A content column as text; JSON, as text or as a value, in one form whatever the order of its keys."""
+    if name not in rules.columns:
+        return F.lit(CONTENT[name]).cast("string")
+    c = F.col(name)
+    if name in _JSON or isinstance(rules.schema[name].dataType, (ArrayType, MapType, StructType)):
+        text = c if isinstance(rules.schema[name].dataType, StringType) else F.to_json(c, {"ignoreNullFields": "false"})
+        c = F.coalesce(F.to_json(F.try_parse_json(text)), text)
+        c = F.when(~c.isin("", "null"), c)
+    return F.coalesce(c.cast("string"), F.lit(CONTENT[name]).cast("string"))
 
 
 def with_hash(rules: DataFrame) -> DataFrame:
-    """content_hash over the content columns, nulls as empty."""
-    body = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in sorted(CONTENT)]))
+    """content_hash over the content fields; missing columns count as null."""
+    body = F.to_json(F.struct(*[_as_text(rules, c).alias(c) for c in sorted(CONTENT)]))
     return rules.withColumn("content_hash", F.sha2(body, 256))
 
 

@@ -245,9 +245,17 @@ _STORE = """s AS (SELECT 'R-' || p_partkey AS rule_key, p_partkey AS k, p_partke
 def _store(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     key = F.concat(F.lit("R-"), k.cast("string"))
-    body = lambda title: [title.alias("title"), F.lit("PRESENCE_CHECK").alias("validation_type"), F.lit("MAJOR").alias("severity"), F.col("p_type").alias("requirement"), F.lit(None).cast("string").alias("validator_config")]
-    store = versioning.with_hash(p.filter(k % 6 != 0).select(key.alias("rule_key"), (k % 5 != 0).alias("active"), (1 + k % 3).cast("int").alias("version_number"), F.lit(True).alias("is_current"), *body(F.col("p_name"))))
-    new = versioning.with_hash(p.filter(k % 7 != 0).select(key.alias("rule_key"), *body(F.when(k % 4 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")))))
+    plain = {c: F.concat(F.lit(c), F.lit(" of "), "p_name") for c in versioning.CONTENT}
+    plain |= {"validator_config": F.lit(None).cast("string"), "gating_only": F.lit(None).cast("boolean"), "effective_from": F.lit(None).cast("date"), "effective_until": F.lit(None).cast("date")}
+    plain |= {c: F.lit(None).cast("array<string>") for c in ("applicable_categories", "excluded_categories")}
+    other = {c: F.concat(v, F.lit("!")) for c, v in plain.items()}
+    other |= {"validator_config": F.lit('{"min": 1}'), "gating_only": F.lit(True), "effective_from": F.lit("2024-01-01").cast("date"), "effective_until": F.lit("2024-12-31").cast("date")}
+    other |= {c: F.array(F.lit("food")) for c in ("applicable_categories", "excluded_categories")}
+    turn = (k / 4).cast("int") % len(plain)  # every fourth rule changes in one field, each field in turn
+    changed = [F.when((k % 4 == 0) & (turn == i), other[c]).otherwise(plain[c]).alias(c) for i, c in enumerate(plain)]
+    body = [v.alias(c) for c, v in plain.items()]
+    store = versioning.with_hash(p.filter(k % 6 != 0).select(key.alias("rule_key"), (k % 5 != 0).alias("active"), (1 + k % 3).cast("int").alias("version_number"), F.lit(True).alias("is_current"), *body))
+    new = versioning.with_hash(p.filter(k % 7 != 0).select(key.alias("rule_key"), *changed))
     return store, new
 
 

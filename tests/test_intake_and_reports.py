@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import date, datetime
 
 from packlens.operators import intake, report, versioning
 from pyspark.sql import functions as F
@@ -87,3 +87,16 @@ def test_reviews(spark):
     reviews = spark.createDataFrame([(1, "i", "PASS", T(1)), (1, "i", "NEEDS_MANUAL_REVIEW", T(2)), (2, "other", "PASS", T(1))], "check_id int, inspection_id string, final_status string, created_at timestamp")
     assert {r.check_id: r.final_status for r in report.reviewed_status(checks, reviews).collect()} == {1: "NEEDS_MANUAL_REVIEW", 2: "POTENTIAL_NON_COMPLIANCE", 3: "PASS"}
     assert [r.check_id for r in report.review_backlog(checks, reviews.filter("check_id = 1")).collect()] == [2]
+
+
+def test_every_content_field_makes_a_version(spark):
+    kinds = {"validator_config": "string", "gating_only": "boolean", "effective_from": "date"} | {c: "array<string>" for c in ("applicable_categories", "excluded_categories")}
+    schema = "rule_key string, " + ", ".join(f"{c} {kinds.get(c, 'string')}" for c in versioning.CONTENT)
+    new = {"validator_config": '{"min": 1}', "gating_only": True, "effective_from": date(2024, 1, 1)} | {c: ["food"] for c in ("applicable_categories", "excluded_categories")}
+    hashes = lambda rows: {r.rule_key: r.content_hash for r in versioning.with_hash(spark.createDataFrame(rows, schema)).collect()}
+    rows = [(c, *[new.get(d, "y") if d == c else None for d in versioning.CONTENT]) for c in versioning.CONTENT]
+    assert len(rows) == 17 and len(set(hashes([*rows, ("none", *[None] * 17)]).values())) == 18
+    empty = {"validator_config": "{}", "gating_only": False, "applicable_categories": [], "excluded_categories": []}
+    assert len(set(hashes([("a", *[None] * 17), ("b", *[empty.get(c) for c in versioning.CONTENT])]).values())) == 1
+    orders = [(k, *[v if c == "validator_config" else None for c in versioning.CONTENT]) for k, v in (("a", '{"x": 1, "y": [2]}'), ("b", '{"y":[2],"x":1}'))]
+    assert len(set(hashes(orders).values())) == 1
