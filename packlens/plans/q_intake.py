@@ -295,8 +295,8 @@ def page_titles(spark, sf_dir):
 
 @query()
 def page_texts(spark, sf_dir):
-    """C6."""
-    t = H.visible_text(H.html_parts(table(spark, sf_dir, "pages")))
+    """C6, of whole pages."""
+    t = H.visible_text(H.html_parts(table(spark, sf_dir, "pages")), most=None)
     return t.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 

@@ -153,9 +153,10 @@ def open_graph(parts: DataFrame, key: str = "page_id") -> DataFrame:
     return m.groupBy(key, F.col("k1").alias("prop")).agg(F.max_by("k2", "ord").alias("content"))
 
 
-def visible_text(parts: DataFrame, key: str = "page_id", most: int = 20_000) -> DataFrame:
+def visible_text(parts: DataFrame, key: str = "page_id", most: int | None = 20_000) -> DataFrame:
+    """(key, text): the first `most` characters, the reference's bound, or with None the whole text."""
     t = F.regexp_replace(F.regexp_replace("text", r"[\s\p{Z}]+", " "), r"(\| ?){2,}", "| ")
-    return parts.filter("part = 'text'").select(key, F.substring(t, 1, most).alias("text"))
+    return parts.filter("part = 'text'").select(key, (t if most is None else F.substring(t, 1, most)).alias("text"))
 
 
 def page_images(parts: DataFrame, products: DataFrame, key: str = "page_id", most: int = 8) -> DataFrame:

@@ -94,3 +94,12 @@ def test_sources_and_sinks(spark, tmp_path):
     for n in (3, 2):
         readers.write_results("2024-01-01", str(tmp_path / "res"), checks=spark.range(n), violations=spark.range(1))
     assert spark.read.parquet(str(tmp_path / "res/checks")).count() == 2
+
+
+def test_texts_of_long_pages_are_whole(spark, tmp_path):
+    from packlens.plans import registry
+
+    rows = [(i, "http://h/q/", "<body><p>" + "long word " * 3000 + end + "</p></body>") for i, end in enumerate(("one", "two"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["page_texts"](spark, str(tmp_path)).collect()
+    assert len({r.text_hash for r in got}) == 2 and all(r.n_chars > 30_000 for r in got)
