@@ -116,3 +116,47 @@ def test_links_of_late_bands(spark, monkeypatch):
     assert same(got(df, k=1)) == same(want)
     monkeypatch.setattr(M, "BLOCK_ROWS", 5)
     assert same(got(df, k=1)) == same(want)
+
+
+def test_prefix_keys_meet_for_every_link():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 120))
+        base = rng.integers(0, 2**63, 2 * n, dtype=np.int64).view(np.uint64)
+        cut = int(n * rng.uniform(0, 0.25))
+        a, b = np.unique(base[:n]), np.unique(base[cut : n + int(rng.integers(0, 2)) * cut])
+        both = len(np.intersect1d(a, b))
+        rank = lambda s: (s % np.uint64(7)).astype(np.int64)
+        (ka, la), (kb, lb) = (M.prefix_keys(s, rank(s), 80) for s in (a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            assert set(ka[~la]) & set(kb[lb]) or set(kb[~lb]) & set(ka[la])
+
+
+def test_all_links_through_prefixes_and_blocks(spark, monkeypatch):
+    texts = noisy(8)
+    want = brute(list(enumerate(texts)), 2)
+    monkeypatch.setattr(M, "SMALL", 1)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(M, "_star_pairs", lambda keys: M._distinct_pairs(keys.limit(0).selectExpr("rep as x", "rep as y")))
+    assert got(make(spark, texts), k=2) == want
+
+
+def test_many_short_texts_of_one_pattern(spark):
+    """5 shingles each, 4 of them common to all: 0.67 alike, so unlinked, but most share buckets."""
+    n = 20_000
+    df = spark.range(n).selectExpr("id as doc_id", "concat('page not found on server ', id) as text").union(
+        spark.createDataFrame([(n + 5, "Page not found on server 7"), (n + 6, "page not found on server 9 today"), (n + 7, "page not found on server")], "doc_id long, text string")
+    )
+    out = {r.doc_id: r.component_id for r in M.near_duplicates(df, k=2).filter("not kept").collect()}
+    # four of five shingles are 0.8: the text without a number is linked with all that have one
+    assert set(out.values()) == {0} and len(out) == n + 2
+
+
+def test_ids_of_other_types(spark):
+    texts = noisy(4)[:60]
+    names = [f"d{i:03}" for i in range(len(texts))]
+    df = spark.createDataFrame([*zip(names, texts), (None, texts[0])], "doc_id string, text string")
+    rows = M.near_duplicates(df, k=2).collect()
+    want = {names[i]: (n, names[c]) for i, (n, c) in brute(list(enumerate(texts)), 2).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id} == want and all(r.kept == (r.doc_id == r.component_id) for r in rows if r.doc_id)
+    assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)]
