@@ -1,11 +1,15 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of its documents' tokens. The packed stream is a row of windows; in each,
-every queue is served its share of the window, and what a share leaves over below one whole token is
-the queue's deficit, carried to the next window. The tokens served to a queue up to window w are
-therefore the whole part of its accumulated share, a closed form, so that every task can place its own
-documents once it knows where they stand in their queues: token counts per partition and source give
-those places. Nothing is cut at partition borders, and only the very last sequence is padded.
+Every source is a queue of its documents, in the order in which they are read. In each window (a round) a
+queue is given its quantum, the target proportion of the window's tokens, on top of the deficit that it
+carries from the windows before; it is served whole documents while the next one fits into that sum, and
+what is left is the deficit that it carries on. A queue that runs dry leaves its share to the others.
+
+A document that ends at token C of its queue is therefore served in the first window r with r * quantum
+>= C: the deficit of a queue after window r is r * quantum less the tokens that it was served. So the schedule
+needs no loop. Token counts per task and source give the ends C, whatever partition a document lies in;
+sums per window and source give the places of windows in the packed stream. The stream is cut into
+sequences; only the last one is short.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,12 +31,14 @@ from .common import cut, maybe_broadcast
 SEQ_LEN = 1024
 #: Latin text without odd white space or control characters: here both libraries split alike.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-¬®-ɏ]")
+#: Windows that are summed up together where the windows' places in the stream are counted.
+STRIDE = 1024
 
 
 @cache
-def _encoder(json_file: str, ranks_file: str | None):
+def encoder(json_file: str, ranks_file: str | None):
     """A function from text to ids (uint16 array). ranks_file: the same vocabulary for a faster library,
-    used on plain Latin texts only."""
+    used on plain Latin texts only, where the ids are the same."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_file)
@@ -57,83 +63,12 @@ def _encoder(json_file: str, ranks_file: str | None):
     return encode
 
 
-class Schedule:
-    """Which tokens of which queue go where. totals: tokens by queue; weights: target proportions (default:
-    the totals themselves). A queue that runs dry leaves its share to the others.
-
-    All queues are served up to one level, times their weights: queue q has had min(total, weight * level)
-    tokens. The levels at which queues run dry, in order, and the tokens served until then are all the state,
-    so it grows with the number of queues only.
-    """
-
-    def __init__(self, totals: np.ndarray, weights: np.ndarray | None, window: int):
-        self.totals, self.window = np.asarray(totals, np.int64), window
-        self.all = int(self.totals.sum())
-        self.windows = -(-self.all // window)
-        self.weights = self.totals.astype(float) if weights is None else np.maximum(np.asarray(weights, float), 1e-12)
-        live = np.flatnonzero(self.totals > 0)
-        dry = self.totals[live] / self.weights[live]
-        order = np.argsort(dry, kind="stable")
-        self.rates = np.cumsum(self.weights[live][order][::-1])[::-1]  # of the queues that are not yet dry
-        self.levels = np.concatenate([[0.0], dry[order]])
-        self.times = np.concatenate([[0.0], np.cumsum(np.diff(self.levels) * self.rates)])
-        self.memo: dict[int, np.ndarray] = {}
-
-    def level(self, w: int) -> float:
-        """The level at the start of window w."""
-        x = float(w) * self.window
-        k = min(max(int(np.searchsorted(self.times, x, "right")) - 1, 0), len(self.rates) - 1)
-        return min(self.levels[k] + (x - self.times[k]) / self.rates[k], self.levels[-1])
-
-    def served(self, w: int) -> np.ndarray:
-        """Tokens of each queue in the windows before w."""
-        if w >= self.windows:
-            return self.totals
-        if w <= 0:
-            return np.zeros_like(self.totals)
-        return np.minimum(np.floor(self.weights * self.level(w) + 1e-6).astype(np.int64), self.totals)
-
-    def served_of(self, q: int, w: int) -> int:
-        """Tokens of queue q in the windows before w."""
-        if w >= self.windows:
-            return int(self.totals[q])
-        return min(int(np.floor(self.weights[q] * self.level(w) + 1e-6)), int(self.totals[q])) if w > 0 else 0
-
-    def shift(self, w: int) -> np.ndarray:
-        """By queue, the place in the stream of its tokens in window w, less their place in the queue."""
-        if w not in self.memo:
-            if len(self.memo) * max(len(self.totals), 1024) > 2**22:
-                self.memo.clear()
-            a, b = self.served(w), self.served(w + 1)
-            self.memo[w] = int(a.sum()) + np.cumsum(b - a) - b
-        return self.memo[w]
-
-    def pieces(self, q: int, start: int, n: int) -> list[tuple[int, int, int, int]]:
-        """(offset in the run, place in the stream, length, window) for tokens start .. start + n of queue q."""
-        out, done, lo = [], 0, 0
-        while done < n:
-            if self.served_of(q, lo + 1) <= start + done:
-                hi = self.windows  # the last window whose first token of q is not after start + done
-                while hi - lo > 1:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid, hi) if self.served_of(q, mid) <= start + done else (lo, mid)
-            take = min(n - done, self.served_of(q, lo + 1) - start - done)
-            out.append((done, int(self.shift(lo)[q]) + start + done, take, lo))
-            done += take
-            lo += 1
-        return out
-
-
-def _queue_of(name: Column, shared: int | None) -> Column:
-    return F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(shared)).cast("string")) if shared else name
-
-
-def tokenized(docs: DataFrame, json_file: str, ranks_file: str | None, id_col: str, text_col: str, queue: Column) -> DataFrame:
-    """(id, queue, part, at, n, ids): at is where the document's tokens begin in its queue within the task."""
+def tokenized(docs: DataFrame, json_file: str, ranks_file: str | None, id_col: str, text_col: str, queue_col: str) -> DataFrame:
+    """(id, queue, part, at, n, ids): at is where the document's tokens begin among those of its queue in the task."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, at = _encoder(json_file, ranks_file), TaskContext.get().partitionId(), {}
+        encode, part, at = encoder(json_file, ranks_file), TaskContext.get().partitionId(), {}
         for b in batches:
             for lo in range(0, len(b), 512):
                 c = b.iloc[lo : lo + 512]
@@ -146,10 +81,44 @@ def tokenized(docs: DataFrame, json_file: str, ranks_file: str | None, id_col: s
                     {"id": c["id"], "queue": c["queue"], "part": part, "at": begin, "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
                 )
 
-    src = docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(queue_col).cast("string"), F.lit("")).alias("queue"), F.col(text_col).alias("text"))
     return src.mapInPandas(run, f"id {kind}, queue string, part int, at bigint, n bigint, ids binary")
 
 
+def quanta(totals: DataFrame, window: int, weights: DataFrame | None = None, temper: float = 1.0) -> DataFrame:
+    """(queue, quantum): tokens that a window gives to each queue of totals (queue, total).
+
+    Target proportions are weights (queue, weight), or the totals to the power `temper`: 1 keeps the supply's
+    proportions, less favours small sources. A queue without a positive weight is served after a
+    window's length of documents for every window, as if it had a millionth of the least weight.
+    """
+    if weights is None:
+        w = totals.select("queue", F.pow(F.col("total").cast("double"), F.lit(float(temper))).alias("w"))
+    else:
+        given = weights.groupBy("queue").agg(F.sum("weight").alias("w")).filter("w > 0")
+        least = F.coalesce(F.min("w"), F.lit(1.0)) * 1e-6
+        w = totals.select("queue").join(given, "queue", "left").crossJoin(F.broadcast(given.agg(least.alias("least"))))
+        w = w.select("queue", F.coalesce("w", "least").alias("w"))
+    whole = w.agg(F.sum("w").alias("all"))
+    return w.crossJoin(F.broadcast(whole)).select("queue", (F.col("w") / F.col("all") * window).alias("quantum"))
+
+
+def schedule(placed: DataFrame) -> DataFrame:
+    """(queue, window, first, place): for each window and queue the end-less place in the queue of its first document
+    and the place of that document in the stream, from placed (queue, window, begin, n).
+
+    Windows follow each other and, in a window, queues by name. Sums of STRIDE windows come first, so that no
+    task sorts more than those sums or the queues of STRIDE windows.
+    """
+    sums = cut(placed.groupBy("window", "queue").agg(F.sum("n").alias("n"), F.min("begin").alias("first")), "windows")
+    sums = sums.withColumn("group", F.floor(F.col("window") / STRIDE))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("group").agg(F.sum("n").alias("n"))
+    groups = groups.select("group", F.coalesce(F.sum("n").over(before(F.lit(0)).orderBy("group")), F.lit(0)).alias("earlier"))
+    inner = F.coalesce(F.sum("n").over(before("group").orderBy("window", "queue")), F.lit(0))
+    return sums.withColumn("inner", inner).join(groups, "group").select("queue", "window", "first", (F.col("earlier") + F.col("inner")).alias("place"))
+
+
 def pack(
     docs: DataFrame,
     json_file: str,
@@ -157,54 +126,51 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     queue_col: str = "source",
-    weights: dict[str, float] | None = None,
+    weights: dict[str, float] | DataFrame | None = None,
+    temper: float = 1.0,
     seq_len: int = SEQ_LEN,
     window_sequences: int = 16,
-    max_queues: int | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, window.
 
-    A document is its ids and one id 0; null texts are empty (one id), rows with null or repeated ids are
-    documents of their own, null sources are one queue. Sequences are filled gaplessly in the order of
-    the stream; the last one is short. Every source is a queue of its own at any number of sources, of each
-    of which the driver gathers one total. Only if max_queues is given and there are more sources, they share
-    so many queues by hash, and a shared queue has the sum of its sources' weights. An empty table gives an
-    empty result.
+    A document is its ids and one id 0, served whole and cut only where a sequence ends; window is the round in
+    which it was served. Target proportions: weights by source (a dict, or a frame of queue and weight), else the
+    totals to the power `temper`. In the windows 1 to r a queue that is not dry has had at most r quanta, and less
+    than those by less than its next document.
+
+    Null texts are empty (one id); rows with null or repeated ids are documents of their own; null sources are
+    one queue. Texts of any length are read whole; a document longer than a quantum waits until its deficit
+    suffices. Other columns are ignored, whatever their names. An empty table gives an empty result. Every source
+    is a queue of its own at any number of sources; the driver gathers nothing.
     """
-    name = F.coalesce(F.col(queue_col).cast("string"), F.lit(""))
-    shared = None
-    if max_queues is not None:
-        sources = docs.select(name.alias("source")).distinct()
-        shared = max_queues if sources.count() > max_queues else None
-        if shared and weights is not None:
-            given = docs.sparkSession.createDataFrame([(q, float(w)) for q, w in weights.items()], "source string, w double")
-            by = given.join(sources, "source", "left_semi").groupBy(_queue_of(F.col("source"), shared).alias("queue"))
-            weights = {r["queue"]: r["w"] for r in by.agg(F.sum("w").alias("w")).collect()}
-    toks = cut(tokenized(docs, json_file, ranks_file, id_col, text_col, _queue_of(name, shared)), "tokens")
+    spark = docs.sparkSession
+    if isinstance(weights, dict):
+        weights = spark.createDataFrame([(str(q), float(w)) for q, w in weights.items()], "queue string, weight double")
+    toks = cut(tokenized(docs, json_file, ranks_file, id_col, text_col, queue_col), "tokens")
     sums = cut(toks.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    per = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    names = sorted(per)
-    index = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "queue string, q int")
-    base = base.join(maybe_broadcast(index, len(names)), "queue")
-    plan = Schedule(np.array([per[q] for q in names], np.int64), None if weights is None else np.array([weights.get(q, 0) for q in names]), seq_len * window_sequences)
+    quantum = quanta(sums.groupBy("queue").agg(F.sum("n").alias("total")), seq_len * window_sequences, weights, temper)
+    base = cut(base.join(quantum, "queue"), "base")
+    placed = toks.join(maybe_broadcast(base, base.count()), ["queue", "part"]).withColumn("begin", F.col("base") + F.col("at"))
+    placed = placed.withColumn("window", F.ceil((F.col("begin") + F.col("n")) / F.col("quantum")))
+    starts = cut(schedule(placed.select("queue", "window", "begin", "n")), "starts")
+    placed = placed.join(maybe_broadcast(starts, starts.count()), ["queue", "window"])
+    placed = placed.select("id", "queue", "window", (F.col("place") + F.col("begin") - F.col("first")).alias("place"), "n", "ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, queue, q, first, n, raw in zip(b["id"], b["queue"], b["q"], b["base"] + b["at"], b["n"], b["ids"], strict=True):
-                ids = np.frombuffer(raw, np.uint16).astype("<u4")
-                for done, place, length, win in plan.pieces(int(q), int(first), int(n)):
-                    while length:
-                        take = min(length, seq_len - place % seq_len)
-                        crc = zlib.crc32(ids[done : done + take].tobytes())
-                        out.append((i, done, take, crc, n, place // seq_len, place % seq_len, queue, win))
-                        done, place, length = done + take, place + take, length - take
+            for i, queue, window, place, n, raw in zip(b["id"], b["queue"], b["window"], b["place"], b["n"], b["ids"], strict=True):
+                ids, done = np.frombuffer(raw, np.uint16).astype("<u4"), 0
+                while done < n:
+                    at = (place + done) % seq_len
+                    take = min(n - done, seq_len - at)
+                    out.append((i, done, take, zlib.crc32(ids[done : done + take].tobytes()), n, (place + done) // seq_len, at, queue, window))
+                    done += take
             yield pd.DataFrame(out, columns=cols)
 
     cols = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "window"]
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = toks.join(maybe_broadcast(base, sums.count()), ["queue", "part"]).select("id", "queue", "q", "base", "at", "n", "ids")
     schema = f"id {kind}, " + ", ".join(f"`{c}` {'string' if c == 'queue' else 'bigint'}" for c in cols[1:])
     return placed.mapInPandas(run, schema).withColumnRenamed("id", id_col)

@@ -74,8 +74,12 @@ def op5_line_dedup_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deleted", F.array_join("deleted", ","))
 
 
+#: The target mixture: each source in proportion to its tokens to this power, so that small sources come more often than they occur.
+TEMPER = 0.7
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), temper=TEMPER)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
