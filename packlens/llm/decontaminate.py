@@ -2,7 +2,9 @@
 
 Numbers, names and units become typed placeholders, so that a question with other numbers or names
 has the same template. Windows of the templates are hash-joined; aligned windows of one document and
-one item are counted, and the values in the placeholders must map consistently.
+one item are counted, and the values in the placeholders must map consistently. Beside the templates,
+windows of the lower-cased words themselves are joined, which finds copies in another case and
+items made mostly of numbers and names. A document's windows of both kinds are made in one pass.
 """
 
 from __future__ import annotations
@@ -10,53 +12,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast
+from .common import cut, maybe_broadcast, without
 
 #: Unit words that turn into a placeholder after a number.
 UNITS = "kg|g|mg|lb|lbs|km|m|cm|mm|ft|miles?|meters?|metres?|l|ml|litres?|liters?|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent"
 NAME, NUMBER, UNIT = "~", "#", "^"
+TEMPLATE, EXACT = 0, 1
 
 
-def template_text(text: Column) -> Column:
-    """Lower-cased text with placeholders, words apart by white space. A name is a capitalised word after
-    a lower-case word or comma."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s.,!?:]+", "")
-    named = F.regexp_replace(kept, r"(?<=[\p{Ll},]\s)\p{Lu}\p{Ll}+", NAME)
-    numbered = F.regexp_replace(named, r"\p{Nd}+(?:[.,]\p{Nd}+)*", NUMBER)
-    united = F.regexp_replace(numbered, rf"(?i)(?<=#\s)(?:{UNITS})\b", UNIT)
-    return F.lower(F.regexp_replace(united, r"[.,!?:]+", ""))
+def plain_text(text: Column) -> Column:
+    """text without punctuation, but for what stands between digits, which is part of a number."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!\p{Nd})[.,:]+|[.,:]+(?!\p{Nd})|[^\p{L}\p{N}\s.,:]+", "")
 
 
-def value_text(text: Column) -> Column:
-    """The same words with their values; it splits into as many words as template_text."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", ""))
+def value_text(plain: Column) -> Column:
+    """plain text with runs of capitalised words joined to one word each: a name of several words is one value."""
+    return F.regexp_replace(plain, r"((?<!\p{L})\p{Lu}\p{L}*)\s+(?=\p{Lu})", "$1_")
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def template_text(values: Column) -> Column:
+    """Lower-cased text with placeholders, from a value text; it splits into as many words. A name is a capitalised
+    word or a run of them, at the start of a sentence too, as names stand there as well."""
+    named = F.regexp_replace(values, r"(?<![\p{L}_])\p{Lu}[\p{L}_]*", NAME)
+    numbered = F.regexp_replace(named, r"\p{Nd}+(?:[.,:]+\p{Nd}+)*", NUMBER)
+    return F.lower(F.regexp_replace(numbered, rf"(?i)(?<=#\s)(?:{UNITS})\b", UNIT))
 
 
-def _hashes(tokens: Column, width: int) -> Column:
-    last = F.size(tokens) - width
-    at = lambda i: F.xxhash64(F.slice(tokens, i + 1, F.lit(width)))
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def _is_slot(w: Column) -> Column:
     return w.isin(NAME, NUMBER, UNIT)
 
 
+def _windows(tokens: Column, width: int, kind: int) -> Column:
+    """array<struct<pos,h>> of all windows of width words; kind and width are part of the hash."""
+    last = F.size(tokens) - width
+    at = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.lit(kind), F.lit(width), F.slice(tokens, i + 1, F.lit(width))).alias("h"))
+    none = F.array().cast("array<struct<pos:int,h:bigint>>")
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(none)
+
+
 def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, width: int, literals: int) -> DataFrame:
-    """(h, width, item_id, item_pos, slots, total): windows with at least `literals` words that are no
-    placeholders; items shorter than width are one window of their own length."""
-    t = bench.select(F.col(item_col).alias("item_id"), words(template_text(F.col(text_col))).alias("t")).dropna(subset=["item_id"])
-    t = t.withColumn("width", F.least(F.lit(width), F.size("t")))
-    w = t.select("item_id", "t", "width", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("item_pos"))
-    w = w.withColumn("win", F.slice("t", F.col("item_pos") + 1, F.col("width")))
-    w = w.withColumn("slots", F.size(F.filter("win", _is_slot))).filter(F.col("width") - F.col("slots") >= literals)
-    w = w.select(F.xxhash64("win").alias("h"), "width", "item_id", "item_pos", (F.col("slots") > 0).alias("slotted")).distinct()
-    total = w.groupBy("item_id").agg(F.count_distinct("item_pos").alias("total"))
-    return w.join(total, "item_id")
+    """(h, kind, width, item_id, item_pos, slotted, total): windows of the template with at least `literals` words that
+    are no placeholders, and all windows of the words; items shorter than width are one window of their own
+    length. total: the windows of one kind that the item has."""
+    plain = plain_text(F.col(text_col))
+    t = bench.select(F.col(item_col).alias("item_id"), words(template_text(value_text(plain))).alias("t"), words(F.lower(plain)).alias("x")).dropna(subset=["item_id"])
+    t = t.select("item_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, c in ((TEMPLATE, "t"), (EXACT, "x"))])))
+    t = t.withColumn("width", F.least(F.lit(width), F.size("t"))).filter("width > 0")
+    w = t.select("item_id", "kind", "t", "width", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("item_pos"))
+    w = w.withColumn("win", F.slice("t", F.col("item_pos") + 1, F.col("width"))).withColumn("slots", F.size(F.filter("win", _is_slot)))
+    w = w.filter((F.col("kind") == EXACT) | (F.col("width") - F.col("slots") >= literals))
+    w = w.select(F.xxhash64("kind", "width", "win").alias("h"), "kind", "width", "item_id", "item_pos", (F.col("slots") > 0).alias("slotted")).distinct()
+    total = w.groupBy("item_id", "kind").agg(F.count_distinct("item_pos").alias("total"))
+    return w.join(total, ["item_id", "kind"])
 
 
 def find_leaks(
@@ -74,34 +85,36 @@ def find_leaks(
     """One row per (document id, item) that leaks: id, item_id, n_windows, n_total, coverage, exact, consistent.
 
     A pair leaks if one alignment of the item in the document has at least min(enough, share of the
-    item's windows) matching windows, and either the placeholders map consistently (one value of the
-    item never stands for two values of the document) or windows without placeholders suffice alone.
-    exact: all aligned placeholder values agree. Null or empty texts leak nothing; null ids on either
-    side are left out; rows that share an id are judged together; items under `literals` plain words
-    cannot be found. Whole texts are read.
+    item's windows) matching windows: windows of words, or windows of the template with either
+    placeholders that map consistently (one value of the item never stands for two values of the document)
+    or so many windows without placeholders. The columns tell of the alignment with the largest coverage; exact: all
+    its placeholder values agree.
+
+    Null or empty texts leak nothing; null ids on either side are left out; rows that share an id are
+    judged together. Whole texts are read, whatever their length. An empty table on either side gives an empty result;
+    other columns are ignored, whatever their names.
     """
     bw = cut(benchmark_windows(bench, item_col, item_text_col, width, literals), "benchmark")
-    n = bw.count()
-    keyed = maybe_broadcast(bw, n)
-    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    toks = base.select("__id", words(template_text(F.col("__text"))).alias("__t"))
-    widths = [r["width"] for r in bw.select("width").distinct().collect()]  # at most `width` values
-    met = None
-    for w in widths or [width]:
-        wins = toks.select("__id", F.posexplode(_hashes(F.col("__t"), w)).alias("pos", "h"))
-        part = wins.join(keyed.filter(F.col("width") == w), "h").select("__id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("delta"), "slotted", "total")
-        met = part if met is None else met.unionByName(part)
-    lines = met.groupBy("__id", "item_id", "delta", "total").agg(
-        F.count_distinct("item_pos").alias("n"), F.count_distinct(F.when(~F.col("slotted"), F.col("item_pos"))).alias("plain")
+    keyed = maybe_broadcast(bw.select("h", "kind", "item_id", "item_pos", "slotted", "total"), bw.count())
+    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = base.select("id", plain_text(F.col("text")).alias("plain"))
+    toks = plain.select("id", words(template_text(value_text(F.col("plain")))).alias("t"), words(F.lower("plain")).alias("x"))
+    widths = [r["width"] for r in bw.select("width").distinct().collect()] or [width]  # at most `width` values
+    every = F.concat(*[_windows(F.col(c), w, k) for w in widths for k, c in ((TEMPLATE, "t"), (EXACT, "x"))])
+    met = toks.select("id", F.inline(every)).join(keyed, "h")
+    lines = met.groupBy("id", "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("delta"), "total").agg(
+        F.count_distinct("item_pos").alias("n"), F.count_distinct(F.when(~F.col("slotted"), F.col("item_pos"))).alias("free")
     )
     need = F.greatest(F.lit(1), F.least(F.lit(enough), F.ceil(F.col("total") * share)))
     near = cut(lines.filter(F.col("n") >= need).withColumn("need", need), "aligned")
-    ids = near.select("__id").distinct()
-    texts = base.join(maybe_broadcast(ids, ids.count()), "__id").select(
-        "__id", words(template_text(F.col("__text"))).alias("dt"), words(value_text(F.col("__text"))).alias("dv")
-    )
-    items = bench.select(F.col(item_col).alias("item_id"), words(template_text(F.col(item_text_col))).alias("it"), words(value_text(F.col(item_text_col))).alias("iv"))
-    both = near.join(texts, "__id").join(items, "item_id")
+    by_words = near.filter(F.col("kind") == EXACT).withColumns({"exact": F.lit(True), "consistent": F.lit(True)})
+    near = near.filter(F.col("kind") == TEMPLATE)
+    ids = near.select("id").distinct()
+    texts = base.join(maybe_broadcast(ids, ids.count()), "id").select("id", value_text(plain_text(F.col("text"))).alias("v"))
+    texts = texts.select("id", words(template_text(F.col("v"))).alias("dt"), words(F.lower("v")).alias("dv"))
+    items = bench.select(F.col(item_col).alias("item_id"), value_text(plain_text(F.col(item_text_col))).alias("v"))
+    items = items.select("item_id", words(template_text(F.col("v"))).alias("it"), words(F.lower("v")).alias("iv"))
+    both = near.join(texts, "id").join(items, "item_id")
     pairs = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.size("it") - 1),
@@ -114,17 +127,12 @@ def find_leaks(
     )
     both = both.withColumn("pairs", F.array_distinct(pairs)).withColumn("froms", F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     both = both.withColumn("consistent", F.size("pairs") == F.size("froms")).withColumn("exact", F.forall("pairs", lambda x: x["a"] == x["b"]))
-    leak = both.filter(F.col("consistent") | (F.col("plain") >= F.col("need")))
-    return leak.groupBy("__id", "item_id").agg(
-        F.max("n").alias("n_windows"),
-        F.max("total").alias("n_total"),
-        F.max(F.col("n") / F.col("total")).alias("coverage"),
-        F.max("exact").alias("exact"),
-        F.max("consistent").alias("consistent"),
-    ).withColumnRenamed("__id", id_col)
+    leak = both.filter(F.col("consistent") | (F.col("free") >= F.col("need"))).select(by_words.columns).union(by_words)
+    best = F.struct((F.col("n") / F.col("total")).alias("coverage"), "exact", "consistent", F.col("n").alias("n_windows"), F.col("total").alias("n_total"))
+    found = leak.groupBy("id", "item_id").agg(F.max(best).alias("best"))
+    return found.select(F.col("id").alias(id_col), "item_id", *[f"best.{c}" for c in ("n_windows", "n_total", "coverage", "exact", "consistent")])
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without the documents that leak an item; rows with null ids stay."""
-    bad = cut(find_leaks(docs, bench, id_col=id_col, **how).select(F.col(id_col).alias("__bad")).distinct(), "leaks")
-    return docs.join(maybe_broadcast(bad, bad.count()), F.col(id_col) == F.col("__bad"), "left_anti")
+    return without(docs, cut(find_leaks(docs, bench, id_col=id_col, **how).select(id_col).distinct(), "leaks"), [id_col])
