@@ -101,7 +101,8 @@ def find_leaks(
     toks = plain.select("id", words(template_text(value_text(F.col("plain")))).alias("t"), words(F.lower("plain")).alias("x"))
     widths = [r["width"] for r in bw.select("width").distinct().collect()] or [width]  # at most `width` values
     every = F.concat(*[_windows(F.col(c), w, k) for w in widths for k, c in ((TEMPLATE, "t"), (EXACT, "x"))])
-    met = toks.select("id", F.inline(every)).join(keyed, "h")
+    # inline would let the optimizer copy the split into a filter's lambdas, where it runs once a window
+    met = toks.select("id", F.inline_outer(every)).join(keyed, "h")
     lines = met.groupBy("id", "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("delta"), "total").agg(
         F.count_distinct("item_pos").alias("n"), F.count_distinct(F.when(~F.col("slotted"), F.col("item_pos"))).alias("free")
     )

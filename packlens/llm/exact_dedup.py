@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, maybe_broadcast
+from .common import ascii_lower, cut, helper, without
 
 
 def md5_128(text: Column) -> Column:
@@ -59,9 +59,9 @@ def exact_groups(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of docs that exact_groups keeps, all columns unchanged. An id that occurs with several
+    """The rows of docs that exact_groups keeps, all columns unchanged, whatever their names. An id that occurs with several
     texts is dropped only where its text loses."""
-    gone = exact_groups(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.unhex("text_sha256").alias("__sha"))
-    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    gone = cut(gone.distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
+    sha = helper(docs, "sha")
+    gone = exact_groups(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col(id_col).alias("gone_id"), F.unhex("text_sha256").alias("gone_sha"))
+    with_sha = docs.withColumn(sha, F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
+    return without(with_sha, cut(gone.distinct(), "gone"), [id_col, sha]).drop(sha)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, helper
 
 
 def _ranked(groups: DataFrame, within: list[str], by: list[str], bucket: Column) -> DataFrame:
@@ -32,10 +32,10 @@ def _ranked(groups: DataFrame, within: list[str], by: list[str], bucket: Column)
     return g.withColumn("before", F.col("earlier") + F.col("inner")).drop("bucket", "earlier", "inner")
 
 
-def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(id, row, n_lines, i, j, h1, h2, words): the i-th of n_lines non-blank lines, at index j of all lines of
     the text. A document without such lines has one row, with i null."""
-    src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"))
+    src = docs.select(F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"))
     idx = F.filter(F.transform("lines", lambda x, j: F.struct(j.alias("j"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
     src = src.select("id", "row", F.size(idx).cast("bigint").alias("n_lines"), F.posexplode_outer(idx).alias("i", "s"))
     line = F.col("s")["line"]
@@ -88,7 +88,7 @@ def repeated_runs(lines: DataFrame, min_words: int, shared_by: int | None = None
 
 
 def dedup_lines(
-    docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", shared_by: int | None = None, shared_words: int = 3
+    docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", shared_by: int | None = None, shared_words: int = 3, row_col: str | None = None
 ) -> DataFrame:
     """One row per input row: id, n_lines (non-blank), n_deleted, n_runs, longest_run, max_depth, and
     deleted, the indices of the lines to delete counted from 0 over all lines of the text.
@@ -97,9 +97,11 @@ def dedup_lines(
     that many documents or more, as boilerplate does.
 
     Null and empty texts have no lines. Blank lines are no part of a sequence and stay. Rows that repeat
-    are documents of their own: the later row loses what it repeats. Null ids come after all others.
+    are documents of their own: the later row loses what it repeats. Null ids come after all others. Texts of any
+    length are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
+    row_col: a column that numbers the rows, given out under the name row.
     """
-    lines = cut(numbered_lines(docs, id_col, text_col), "lines")
+    lines = cut(numbered_lines(docs, id_col, text_col, row_col), "lines")
     gone = cut(repeated_runs(lines.filter("i IS NOT NULL"), min_words, shared_by, shared_words), "deleted")
     w = Window.partitionBy("row").orderBy("i")
     runs = gone.withColumn("run", F.col("i") - F.row_number().over(w)).groupBy("row", "run").agg(
@@ -113,13 +115,16 @@ def dedup_lines(
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     return rows.join(per, "row", "left").select(
         F.col("id").alias(id_col), "n_lines", *[zero(c) for c in ("n_deleted", "n_runs", "longest_run", "max_depth")],
-        F.coalesce("deleted", F.array().cast("array<int>")).alias("deleted"),
+        F.coalesce("deleted", F.array().cast("array<int>")).alias("deleted"), *(["row"] if row_col else []),
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with the deleted lines taken out of the texts; ids must be unique and not null."""
-    gone = dedup_lines(docs, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("__id"), F.col("deleted").alias("__deleted"))
-    left = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, j: F.struct(x.alias("x"), j.alias("j"))), lambda s: ~F.array_contains("__deleted", s["j"]))
-    both = docs.join(gone, F.col(id_col) == F.col("__id"))
-    return both.withColumn(text_col, F.array_join(F.transform(left, lambda s: s["x"]), "\n")).select(docs.columns)
+    """docs with the deleted lines taken out of the texts, all rows and columns kept, those with null or repeated ids too."""
+    row, gone_col = helper(docs, "row"), helper(docs, "gone")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    gone = dedup_lines(rows, id_col=id_col, text_col=text_col, row_col=row, **how).filter("n_deleted > 0")
+    gone = cut(gone.select(F.col("row").alias(row), F.col("deleted").alias(gone_col)), "gone")
+    left = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, j: F.struct(x.alias("x"), j.alias("j"))), lambda s: ~F.array_contains(gone_col, s["j"]))
+    text = F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
+    return rows.join(gone, row, "left").withColumn(text_col, text).select([f"`{c}`" for c in docs.columns])

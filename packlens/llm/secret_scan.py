@@ -94,7 +94,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Matches of a kind are leftmost and non-overlapping; those that are too short are dropped after
     matching. spans is all findings as kind:start:end (code points, end exclusive), by start and then
     by the order of the rules. A null text is empty and has no findings (the digest is that of the
-    empty string). Rows that share an id share candidates only; each is verified on its own text.
+    empty string). Rows that share an id share candidates only; each is verified on its own text. Texts of any
+    length are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     key = F.xxhash64(F.col(id_col))  # also defined for null ids; a clash only adds a candidate
     found = cut(candidates(docs, rules, key, text_col), "candidates")

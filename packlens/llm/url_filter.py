@@ -15,7 +15,7 @@ _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 def host_of(url: Column) -> Column:
     """Lower-cased host; empty for null and for texts that are no absolute URL."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
+    return F.rtrim(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1)), F.lit("."))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -53,13 +53,15 @@ def lookup_keys(url: Column) -> Column:
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """One row per capture: id, host, blocked, n_entries (active patterns that it meets), first_pattern.
 
-    Captures without a URL or fetch time meet nothing and pass. Repeated captures get equal rows. The
+    Captures without a URL or fetch time meet nothing and pass. Repeated captures get equal rows, null ids too. URLs
+    of any length are read whole; an empty list blocks nothing and no captures give no rows; other columns are
+    ignored, whatever their names. Hosts and paths are compared in lower case, and a final dot of a host is dropped. The
     list is broadcast if its counted intervals are few; otherwise the join shuffles and Spark splits
     hot hosts. Only captures that meet an entry are shuffled for the count per capture.
     """
     spans = cut(validity(entries), "validity")
     rows = captures.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(at_col).alias("__at"))
-    keys = rows.filter(F.col("__at").isNotNull() & F.col("__url").isNotNull()).select("__id", "__url", "__at", F.inline(lookup_keys(F.col("__url"))))
+    keys = rows.filter(F.col("__at").isNotNull() & F.col("__url").isNotNull()).select("__id", "__url", "__at", F.inline_outer(lookup_keys(F.col("__url"))))
     met = keys.join(maybe_broadcast(spans, spans.count()), ["kind", "pattern"]).filter(
         (F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until")))
     )

@@ -21,3 +21,9 @@ def test_odd_rows_pass_all_stages(spark, odd_docs):
         at = stage(spark, at, "/root/testdata/sf0.001")
         at = spark.createDataFrame(at.collect(), at.schema)
     assert at.count() > 0
+
+
+def test_run_on_an_empty_table(spark, docs, bench, tmp_path):
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
