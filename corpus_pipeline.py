@@ -2,6 +2,9 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of documents.
+
+In every stage texts of any length are read whole, other columns pass unchanged whatever their names, and an empty
+table gives an empty result. What happens to nulls, empty texts, ties and repeated rows stands at each stage.
 """
 
 from __future__ import annotations
@@ -16,26 +19,33 @@ from packlens.llm.common import scratch_root
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, whose language can't be told, go."""
+    """Documents without any letter (null and empty texts too), whose language can't be told, go; all others stay.
+    Rows that share an id, or have none, go only if none of them has a letter."""
     return language_id.drop_undetermined(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays. Null and empty texts are equal; rows that repeat the id that
+    stays all stay, and so do rows of a group in which all ids are null."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more; the smallest id of each group stays."""
+    """Five-word shingles, similarity of 0.8 or more; the smallest id of each group stays. Null and empty texts and rows
+    without an id are like nothing and stay; rows that repeat the smallest id all stay."""
     return minhash.keep_one(docs, k=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, or a re-parameterised one, go. Null and empty texts and rows without
+    an id stay; rows that share an id go together; an empty benchmark drops nothing."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """Pieces of sequences of 1024 tokens; each source in proportion to its tokens to the power 0.7. Null and empty texts are
+    one id long; rows with null or repeated ids are documents of their own."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), temper=0.7)
 
 
 STAGES = [
