@@ -30,7 +30,7 @@ def _words(*phrases: str) -> str:
 
 #: field, pattern (group 1 is the value), confidence. The wordings and confidences are fixed values.
 PATTERNS: tuple[tuple[str, str, float], ...] = (
-    ("manufacturer_name", rf"(?:{_words('manufactured by', 'mfd.? by')}|mfg\.?{_S}(?:(?:&|and){_S}mkt[dg]?\.?{_S})?by){_SEP}{_NAME}".replace("mfd.?", r"mfd\.?"), 0.75),
+    ("manufacturer_name", rf"(?:manufactured{_S}by|mfd\.?{_S}by|mfg\.?{_S}(?:(?:&|and){_S}mkt[dg]?\.?{_S})?by){_SEP}{_NAME}", 0.75),
     ("manufacturer_name", rf"manufacturer{_MUST}{_NAME}", 0.75),
     ("packer_name", rf"(?:packed{_S}by|pkd\.?{_S}by){_SEP}{_NAME}", 0.75),
     ("packer_name", rf"packer{_MUST}{_NAME}", 0.75),

@@ -13,7 +13,7 @@ def votes(text: Column) -> dict[str, Column]:
     low = F.lower(F.coalesce(text, F.lit("")))
     out = {}
     for cat, words in CATEGORY_WORDS.items():
-        hits = [F.when(low.rlike(rf"\b{w.replace('_', ' ')}\b"), F.lit(w.replace("_", " "))) for w in words.split()]
+        hits = [F.when(low.rlike(rf"\b{w}\b"), F.lit(w)) for w in words]
         out[cat] = F.array_compact(F.array(*hits))
     return out
 

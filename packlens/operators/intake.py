@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +53,47 @@ def ip_number(ip: Column) -> Column:
     return F.when(ok, ((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3))
 
 
+#: IPv6 blocks that are no public addresses; outside 2000::/3 none is one.
+RESERVED_6 = ("2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20")
+#: Blocks of the first of these that are public all the same.
+PUBLIC_6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+
+
+def ip6_groups(ip: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address; null for anything else. A zone is ignored, and a dotted tail counts as
+    two groups."""
+    bare = F.regexp_replace(F.lower(ip), "%.*$", "")
+    dotted = ip_number(F.regexp_extract(bare, r"([^:]*)$", 1))
+    hexed = F.when(
+        dotted.isNotNull(), F.concat(F.regexp_extract(bare, r"^(.*:)[^:]*$", 1), F.lower(F.hex(F.shiftright(dotted, 16))), F.lit(":"), F.lower(F.hex(dotted.bitwiseAND(65535))))
+    ).otherwise(bare)
+    halves = F.split(hexed, "::", -1)
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    missing = 8 - F.size(groups(0)) - F.size(groups(1))
+    every = F.concat(groups(0), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), groups(1))
+    ok = hexed.rlike("^[0-9a-f:]*:[0-9a-f:]*$") & ~hexed.rlike("^:[^:]|[^:]:$|:::") & F.when(F.size(halves) == 2, missing >= 1).otherwise((F.size(halves) == 1) & (missing == 0))
+    ok = ok & F.forall(every, lambda g: F.length(g) <= 4)
+    return F.when(ok, F.transform(every, lambda g: F.conv(g, 16, 10).cast("bigint")))
+
+
+def _in_block_6(groups: Column, block: str) -> Column:
+    net, bits = int(ipaddress.ip_network(block).network_address), int(block.split("/")[1])
+    same = F.lit(True)
+    for i in range(-(-bits // 16)):
+        keep = 16 - max(0, 16 * (i + 1) - bits)
+        mask = (0xFFFF << (16 - keep)) & 0xFFFF
+        same = same & (F.get(groups, F.lit(i)).bitwiseAND(mask) == (net >> (112 - 16 * i) & mask))
+    return same
+
+
+def unsafe_ip6(ip: Column) -> Column:
+    """Whether an IPv6 address is private, reserved, local, multicast or unspecified; null for anything else. An
+    IPv4-mapped address lies in a reserved block too."""
+    g = ip6_groups(ip)
+    some = lambda blocks: reduce(lambda a, b: a | b, [_in_block_6(g, b) for b in blocks])
+    return F.when(g.isNotNull(), ~_in_block_6(g, "2000::/3") | (some(RESERVED_6) & ~some(PUBLIC_6)))
+
+
 def reserved_blocks(spark: SparkSession) -> DataFrame:
     rows = []
     for block in RESERVED:
@@ -74,7 +118,8 @@ def safe_scheme_and_host(url: Column) -> Column:
 def safe_urls(urls: DataFrame, answers: DataFrame, url_col: str = "url") -> DataFrame:
     """URLs whose scheme and host are fine and whose host has no answer (host, ip) in a reserved block or of
     unknown form."""
-    bad = in_reserved(answers, "ip").select("host").union(answers.filter(ip_number(F.col("ip")).isNull()).select("host")).distinct()
+    strange = ip_number(F.col("ip")).isNull() & F.coalesce(unsafe_ip6(F.col("ip")), F.lit(True))
+    bad = in_reserved(answers, "ip").select("host").union(answers.filter(strange).select("host")).distinct()
     u = urls.filter(safe_scheme_and_host(F.col(url_col))).withColumn("host", host(F.col(url_col)))
     return u.join(answers.select("host").distinct(), "host", "left_semi").join(bad, "host", "left_anti")
 

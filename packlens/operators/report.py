@@ -75,14 +75,32 @@ def source_index(checks: DataFrame, key: str = "inspection_id", order: str = "ru
     return first.select(key, "source_document", F.dense_rank().over(Window.partitionBy(key).orderBy("first")).alias("source_no"))
 
 
-def consistency_section(checks: DataFrame, evidence_count: Column) -> DataFrame:
-    """The rows of consistency checks with their labels."""
+#: What an officer is told to do, by status; {title} is the rule's title.
+ACTIONS = {
+    PNC: "Verify {title} directly on the package/listing before treating this as a violation.",
+    NMR: "Requires manual or visual verification by the officer.",
+    UTV: "Insufficient evidence was captured — re-inspect with clearer photos or listing data.",
+}
+NO_ACTION = "No action required."
+
+
+def officer_action(status: Column, title: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(""))
+    for s, text in ACTIONS.items():
+        out = out.when(status == s, F.replace(F.lit(text), F.lit("{title}"), F.coalesce(title, F.lit(""))))
+    return out.otherwise(F.lit(NO_ACTION))
+
+
+def consistency_section(checks: DataFrame, evidence_count: Column, from_page: Column) -> DataFrame:
+    """The rows of consistency checks with their labels and the officer's action. from_page: whether a single
+    piece of evidence is the page's."""
     n = evidence_count
     return checks.filter("handler = 'consistency'").withColumns(
         {
             "field_label": display_label(F.get("checked_fields", F.lit(0)), {"mrp": "MRP"}),
-            "compared": F.when(n >= 2, "Listing + Image").when(n == 1, "Listing only").otherwise("Incomplete"),
+            "compared": F.when(n >= 2, "Listing + Image").when((n == 1) & from_page, "Listing only").when(n == 1, "Image only").otherwise("Incomplete"),
             "result": F.when(F.col("status") == PASS, "Consistent").when(F.col("status") == PNC, "Mismatch").otherwise("Inconclusive"),
+            "action": officer_action(F.col("status"), F.col("title")),
         }
     )
 

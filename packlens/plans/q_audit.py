@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packlens.functions.vocab import LISTING_SOURCES
 from packlens.operators import classify, declare, report, rules
 from packlens.plans import audit
 from packlens.plans.oracle import CHECKS, CTX, LST, OVERALL, PNC
@@ -145,15 +146,18 @@ def key_findings(spark, sf_dir):
     return report.key_findings(_checks(spark, sf_dir)).groupBy("rule_key").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {CHECKS}, e AS (SELECT c.inspection_id, c.rule_key, c.status, (on_mrp IS NOT NULL)::INT + (ocr_mrp IS NOT NULL)::INT AS n FROM checks c JOIN ctx USING (inspection_id) WHERE rule_key = 'CONSISTENCY-MRP')
-    SELECT inspection_id, 'MRP' AS field_label, CASE WHEN n = 2 THEN 'Listing + Image' WHEN n = 1 THEN 'Listing only' ELSE 'Incomplete' END AS compared,
-    CASE status WHEN 'PASS' THEN 'Consistent' WHEN {PNC} THEN 'Mismatch' ELSE 'Inconclusive' END AS result FROM e""")
+@query(f"""WITH {CHECKS}, e AS (SELECT c.inspection_id, c.rule_key, c.status, on_mrp IS NOT NULL AS page, (on_mrp IS NOT NULL)::INT + (ocr_mrp IS NOT NULL)::INT AS n FROM checks c JOIN ctx USING (inspection_id) WHERE rule_key = 'CONSISTENCY-MRP')
+    SELECT inspection_id, 'MRP' AS field_label, CASE WHEN n = 2 THEN 'Listing + Image' WHEN n = 1 AND page THEN 'Listing only' WHEN n = 1 THEN 'Image only' ELSE 'Incomplete' END AS compared,
+    CASE status WHEN 'PASS' THEN 'Consistent' WHEN {PNC} THEN 'Mismatch' ELSE 'Inconclusive' END AS result,
+    CASE status WHEN {PNC} THEN 'Verify MRP consistency: listing vs. product image directly on the package/listing before treating this as a violation.' WHEN 'UNABLE_TO_VERIFY' THEN
+      'Insufficient evidence was captured — re-inspect with clearer photos or listing data.' WHEN 'NEEDS_MANUAL_REVIEW' THEN 'Requires manual or visual verification by the officer.' ELSE 'No action required.' END AS action FROM e""")
 def consistency_section(spark, sf_dir):
     """W5, J6, R18 for the price."""
     lst = listings(spark, sf_dir)
-    sides = audit.declarations(lst).filter("field_name = 'mrp'").groupBy("inspection_id").agg(F.count_distinct("source_type").alias("n"))
+    d = audit.declarations(lst).filter("field_name = 'mrp'")
+    sides = d.groupBy("inspection_id").agg(F.count_distinct("source_type").alias("n"), F.bool_or(F.col("source_type").isin(*LISTING_SOURCES)).alias("page"))
     c = audit.checks(lst).filter("rule_key = 'CONSISTENCY-MRP'").join(sides, "inspection_id", "left")
-    return report.consistency_section(c, F.coalesce("n", F.lit(0))).select("inspection_id", "field_label", "compared", "result")
+    return report.consistency_section(c, F.coalesce("n", F.lit(0)), F.coalesce("page", F.lit(False))).select("inspection_id", "field_label", "compared", "result", "action")
 
 
 @query(f"""WITH {OVERALL}, o AS (SELECT batch_id, overall_status, count(*) AS n, count(*) FILTER (run_status IN ('COMPLETED', 'FAILED')) AS d FROM overall JOIN (SELECT inspection_id, run_status FROM lst) USING (inspection_id) GROUP BY ALL)
@@ -182,13 +186,14 @@ def inspections_by_platform(spark, sf_dir):
     return report.by_platform(lst)
 
 
-@query(f"""WITH {LST}, p AS (SELECT product_id, k, CASE WHEN k % 50 = 0 THEN 'HOUSEHOLD' ELSE CASE k % 6 WHEN 0 THEN 'FOOD' WHEN 1 THEN 'COSMETIC_PERSONAL_CARE' WHEN 2 THEN 'HOUSEHOLD' WHEN 3 THEN 'FOOD' ELSE 'UNKNOWN' END END AS category,
-    CASE k % 6 WHEN 0 THEN 0.75 WHEN 1 THEN 0.65 WHEN 2 THEN 0.75 WHEN 3 THEN 0.65 ELSE 0.1 END AS c FROM lst) SELECT category, count(*) AS n, round(sum(CAST(c AS DOUBLE)), 2) AS confidence FROM p GROUP BY 1""")
+@query(f"""WITH {LST}, l AS (SELECT product_id, max(k) AS k FROM lst GROUP BY 1), p AS (SELECT product_id, CASE WHEN k % 50 = 0 THEN 'HOUSEHOLD' ELSE CASE k % 6 WHEN 0 THEN 'FOOD' WHEN 1 THEN 'COSMETIC_PERSONAL_CARE' WHEN 2 THEN 'HOUSEHOLD' WHEN 3 THEN 'FOOD' ELSE 'UNKNOWN' END END AS category,
+    CASE k % 6 WHEN 0 THEN 0.75 WHEN 1 THEN 0.65 WHEN 2 THEN 0.75 WHEN 3 THEN 0.65 ELSE 0.1 END AS c FROM l) SELECT category, count(*) AS n, round(sum(CAST(c AS DOUBLE)), 2) AS confidence FROM p GROUP BY 1""")
 def products_by_category(spark, sf_dir):
-    """Keyword votes, with a manual category on every fiftieth product."""
-    lst = listings(spark, sf_dir).withColumn("c", classify.classify(F.concat_ws(" ", "title", "brand")))
+    """Products by the category of their latest listing: keyword votes, with a manual category on some."""
+    latest = listings(spark, sf_dir).groupBy("product_id").agg(F.max_by(F.struct("k", "title", "brand"), "k").alias("l")).select("product_id", "l.*")
+    one = latest.withColumn("c", classify.classify(F.concat_ws(" ", "title", "brand")))
     cat = classify.final_category(F.col("k") % 50 == 0, F.lit("HOUSEHOLD"), F.col("c.category"))
-    return lst.groupBy(cat.alias("category")).agg(F.count("*").alias("n"), F.round(F.sum("c.confidence"), 2).alias("confidence"))
+    return one.groupBy(cat.alias("category")).agg(F.count("*").alias("n"), F.round(F.sum("c.confidence"), 2).alias("confidence"))
 
 
 @query(f"WITH {CHECKS} SELECT rule_key, count(*) AS n FROM checks WHERE status = {PNC} GROUP BY 1 ORDER BY n DESC, rule_key LIMIT 10")

@@ -1,3 +1,4 @@
+import ipaddress
 from datetime import date, datetime
 
 from packlens.operators import intake, report, versioning
@@ -100,3 +101,23 @@ def test_every_content_field_makes_a_version(spark):
     assert len(set(hashes([("a", *[None] * 17), ("b", *[empty.get(c) for c in versioning.CONTENT])]).values())) == 1
     orders = [(k, *[v if c == "validator_config" else None for c in versioning.CONTENT]) for k, v in (("a", '{"x": 1, "y": [2]}'), ("b", '{"y":[2],"x":1}'))]
     assert len(set(hashes(orders).values())) == 1
+
+
+def test_ipv6_answers(spark):
+    texts = ["2606:4700::1111", "2001:4860:4860::8888", "::1", "::", "fe80::1%eth0", "fc00::5", "fd12:3456::1", "ff02::1", "2001:db8::1", "2001:3::9", "2001:20::1", "2001::1", "2002:a00:1::",
+             "::ffff:10.0.0.1", "64:ff9b::1.2.3.4", "3fff::1", "2a00:1450:4001:82a::200e", "1:2:3:4:5:6:7", "1::2::3", ":1:2", "12345::", "host", "1.2.3.4", "2400:cb00:2048:1:0:0:6814:55", "100::1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", intake.unsafe_ip6(F.col("ip")).alias("bad")).collect()
+
+    def want(t):
+        try:
+            a = ipaddress.ip_address(t.split("%")[0])
+        except ValueError:
+            return None
+        return None if a.version == 4 else a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified
+
+    got = {r.ip: r.bad for r in rows}
+    newer = ("64:ff9b::1.2.3.4", "3fff::1")  # not known to every version of the module
+    assert all(got[t] for t in newer) and {t: got[t] for t in texts if t not in newer} == {t: want(t) for t in texts if t not in newer}
+    urls = spark.createDataFrame([("https://a.example/x",), ("https://b.example/x",)], "url string")
+    answers = spark.createDataFrame([("a.example", "2606:4700::1111"), ("a.example", "93.184.216.34"), ("b.example", "fe80::1")], "host string, ip string")
+    assert [r.host for r in intake.safe_urls(urls, answers).collect()] == ["a.example"]
