@@ -21,21 +21,22 @@ TEMPLATE, EXACT = 0, 1
 
 
 def plain_text(text: Column) -> Column:
-    """text without punctuation, but for what stands between digits, which is part of a number."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!\p{Nd})[.,:]+|[.,:]+(?!\p{Nd})|[^\p{L}\p{N}\s.,:]+", "")
+    """text without punctuation, but for what stands before a digit, which is part of a number. This and the patterns
+    below begin with a class of characters, so that they fail fast."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s.,:]+|[.,:]+(?!\p{Nd})", "")
 
 
 def value_text(plain: Column) -> Column:
     """plain text with runs of capitalised words joined to one word each: a name of several words is one value."""
-    return F.regexp_replace(plain, r"((?<!\p{L})\p{Lu}\p{L}*)\s+(?=\p{Lu})", "$1_")
+    return F.regexp_replace(plain, r"(\p{Lu}\p{L}*)\s+(?=\p{Lu})", "$1_")
 
 
 def template_text(values: Column) -> Column:
     """Lower-cased text with placeholders, from a value text; it splits into as many words. A name is a capitalised
     word or a run of them, at the start of a sentence too, as names stand there as well."""
-    named = F.regexp_replace(values, r"(?<![\p{L}_])\p{Lu}[\p{L}_]*", NAME)
+    named = F.regexp_replace(values, r"\p{Lu}(?<![\p{L}_]\p{Lu})[\p{L}_]*", NAME)
     numbered = F.regexp_replace(named, r"\p{Nd}+(?:[.,:]+\p{Nd}+)*", NUMBER)
-    return F.lower(F.regexp_replace(numbered, rf"(?i)(?<=#\s)(?:{UNITS})\b", UNIT))
+    return F.lower(F.regexp_replace(numbered, rf"(?i){NUMBER}(\s)(?:{UNITS})\b", f"{NUMBER}$1{UNIT}"))
 
 
 def words(text: Column) -> Column:
@@ -49,7 +50,8 @@ def _is_slot(w: Column) -> Column:
 def _windows(tokens: Column, width: int, kind: int) -> Column:
     """array<struct<pos,h>> of all windows of width words; kind and width are part of the hash."""
     last = F.size(tokens) - width
-    at = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.lit(kind), F.lit(width), F.slice(tokens, i + 1, F.lit(width))).alias("h"))
+    # the hash of an array is that of its elements one by one; a slice would copy the whole array for every window
+    at = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.lit(kind), F.lit(width), *[F.get(tokens, i + j) for j in range(width)]).alias("h"))
     none = F.array().cast("array<struct<pos:int,h:bigint>>")
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(none)
 

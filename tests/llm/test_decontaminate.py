@@ -13,8 +13,7 @@ def brute(text, item, width=8, literals=3, enough=6, share=0.5):
     up, letter = lambda c: c.isupper() and c.isalpha(), str.isalpha
 
     def plain(t):
-        t = re.sub(r"[^\w\s.,:]+|_", "", t or "")
-        return re.sub(r"(?<!\d)[.,:]+|[.,:]+(?!\d)", "", t)
+        return re.sub(r"[.,:]+(?!\d)", "", re.sub(r"[^\w\s.,:]+|_", "", t or ""))
 
     def tokens(t):
         """(template, value) of each word, names of several words being one."""
