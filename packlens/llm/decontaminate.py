@@ -47,13 +47,18 @@ def _is_slot(w: Column) -> Column:
     return w.isin(NAME, NUMBER, UNIT)
 
 
-def _windows(tokens: Column, width: int, kind: int) -> Column:
-    """array<struct<pos,h>> of all windows of width words; kind and width are part of the hash."""
-    last = F.size(tokens) - width
-    # the hash of an array is that of its elements one by one; a slice would copy the whole array for every window
-    at = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.lit(kind), F.lit(width), *[F.get(tokens, i + j) for j in range(width)]).alias("h"))
-    none = F.array().cast("array<struct<pos:int,h:bigint>>")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(none)
+def word_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _windows(toks: DataFrame, hashes: dict[int, str], widths: list[int]) -> DataFrame:
+    """(id, pos, h): all windows of the given widths over each kind's column of word hashes; kind and width are part of
+    h, which is null where a window would pass the end. Rows are made one by one in generated code: arrays
+    of windows would be interpreted, and as large as many copies of the text."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("a")) for k, c in hashes.items()])
+    every = toks.select("id", F.inline_outer(kinds)).select("*", F.explode_outer(F.sequence(F.lit(0), F.size("a"))).alias("pos"))
+    at = lambda n: F.when(F.col("pos") + n <= F.size("a"), F.xxhash64("kind", F.lit(n), *[F.get("a", F.col("pos") + j) for j in range(n)]))
+    return every.select("id", "pos", F.explode_outer(F.array(*[at(n) for n in widths])).alias("h"))
 
 
 def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, width: int, literals: int) -> DataFrame:
@@ -67,7 +72,7 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, width: int
     w = t.select("item_id", "kind", "t", "width", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("item_pos"))
     w = w.withColumn("win", F.slice("t", F.col("item_pos") + 1, F.col("width"))).withColumn("slots", F.size(F.filter("win", _is_slot)))
     w = w.filter((F.col("kind") == EXACT) | (F.col("width") - F.col("slots") >= literals))
-    w = w.select(F.xxhash64("kind", "width", "win").alias("h"), "kind", "width", "item_id", "item_pos", (F.col("slots") > 0).alias("slotted")).distinct()
+    w = w.select(F.xxhash64("kind", "width", word_hashes(F.col("win"))).alias("h"), "kind", "width", "item_id", "item_pos", (F.col("slots") > 0).alias("slotted")).distinct()
     total = w.groupBy("item_id", "kind").agg(F.count_distinct("item_pos").alias("total"))
     return w.join(total, ["item_id", "kind"])
 
@@ -100,11 +105,9 @@ def find_leaks(
     keyed = maybe_broadcast(bw.select("h", "kind", "item_id", "item_pos", "slotted", "total"), bw.count())
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     plain = base.select("id", plain_text(F.col("text")).alias("plain"))
-    toks = plain.select("id", words(template_text(value_text(F.col("plain")))).alias("t"), words(F.lower("plain")).alias("x"))
+    toks = plain.select("id", word_hashes(words(template_text(value_text(F.col("plain"))))).alias("t"), word_hashes(words(F.lower("plain"))).alias("x"))
     widths = [r["width"] for r in bw.select("width").distinct().collect()] or [width]  # at most `width` values
-    every = F.concat(*[_windows(F.col(c), w, k) for w in widths for k, c in ((TEMPLATE, "t"), (EXACT, "x"))])
-    # inline would let the optimizer copy the split into a filter's lambdas, where it runs once a window
-    met = toks.select("id", F.inline_outer(every)).join(keyed, "h")
+    met = _windows(toks, {TEMPLATE: "t", EXACT: "x"}, widths).join(keyed, "h")
     lines = met.groupBy("id", "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("delta"), "total").agg(
         F.count_distinct("item_pos").alias("n"), F.count_distinct(F.when(~F.col("slotted"), F.col("item_pos"))).alias("free")
     )
