@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from packlens.functions import patterns
 from packlens.functions import text as X
 from packlens.functions.fuzzy import token_sort_ratio
 from packlens.operators import context, declare, intake, products, report, versioning
+from packlens.plans import captures
 from packlens.plans.oracle import LST
 from packlens.plans.synth import listings
 from packlens.session import table
@@ -316,13 +318,33 @@ def page_image_lists(spark, sf_dir):
 
 @query()
 def page_label_candidates(spark, sf_dir):
-    """Tables, grids, bullets and headings of every page."""
-    pages = table(spark, sf_dir, "pages").withColumn("platform", intake.platform(F.col("url")))
-    parts = H.html_parts(pages)
-    named = H.label_candidates(H.table_pairs(parts).unionByName(H.bullet_pairs(parts)))
-    sel = spark.createDataFrame([("generic", 0, "product_name", "h1", "#", 0.6)], "platform string, sel_ord int, field_name string, tag string, token string, confidence double")
-    hits = H.selector_hits(parts, sel, pages).withColumn("ord", F.lit(0))
-    return H.page_candidates(named, hits.withColumn("strategy", F.lit("CSS_SELECTOR")))
+    """Tables, grids and bullets of every page, wherever they stand."""
+    parts = H.html_parts(table(spark, sf_dir, "pages"))
+    return H.label_candidates(H.table_pairs(parts).unionByName(H.bullet_pairs(parts)))
+
+
+@query()
+def page_field_candidates(spark, sf_dir):
+    """The candidates of all strategies on every page."""
+    return H.page_candidates(H.html_parts(table(spark, sf_dir, "pages")).persist(StorageLevel.DISK_ONLY))
+
+
+@query(f"""WITH {LST}, p AS (SELECT *, has_page AND fetch_status = 'SUCCESS' AS ok FROM lst)
+    SELECT inspection_id, 'product_name' AS field_name, title AS field_value, CASE platform WHEN 'amazon' THEN 0.7 WHEN 'flipkart' THEN 0.6 WHEN 'blinkit' THEN 0.65 ELSE 0.95 END::DOUBLE AS confidence FROM p WHERE ok
+    UNION ALL SELECT inspection_id, 'country_of_origin', country_text, CASE platform WHEN 'blinkit' THEN 0.65 ELSE 0.75 END::DOUBLE FROM p WHERE ok AND platform <> 'generic' AND country_text IS NOT NULL
+    UNION ALL SELECT inspection_id, 'net_quantity', qty_text, CASE platform WHEN 'blinkit' THEN 0.65 ELSE 0.75 END::DOUBLE FROM p WHERE ok AND platform <> 'generic' AND qty_text IS NOT NULL""")
+def captured_fields(spark, sf_dir):
+    """Structured candidates of the listings' pages, the best for each field."""
+    found = captures.candidates(captures.listing_pages(listings(spark, sf_dir)), "inspection_id")
+    some = found.filter("strategy <> 'FALLBACK_TEXT' AND field_name IN ('product_name', 'country_of_origin', 'net_quantity')")
+    best = declare.best_declaration(some.withColumns({"source_type": F.lit("STRUCTURED_METADATA"), "normalized_value": F.lit(None).cast("string")}))
+    return best.select("inspection_id", "field_name", "field_value", "confidence")
+
+
+@query()
+def captured_checks(spark, sf_dir):
+    """C1 to R19 in one job: from the HTML of the listings' pages to the outcome of every rule."""
+    return captures.checks(listings(spark, sf_dir)).select("inspection_id", "rule_key", "status")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'country_of_origin' WHEN 1 THEN 'mrp' WHEN 2 THEN 'manufacturer_name' END AS field_name FROM part WHERE p_partkey % 4 <> 3""")

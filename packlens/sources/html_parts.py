@@ -1,12 +1,14 @@
 """One pass over a page's HTML. The helper emits raw parts in long form; all that follows is DataFrame code.
 
 Parts (part, ord, k1, k2, text): jsonld, meta (k1 name, k2 content), title, cell (k1 container, k2 row),
-bullet, grid (k1 container), img (k1 alt), sel (k1 tag, k2 id and classes), text.
+bullet, grid (k1 container), img (k1 alt), sel (k1 field, k2 confidence: hits of the platform's selectors),
+pair (k1 label: pairs from the platform's own places), text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -14,19 +16,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packlens.functions.patterns import candidates
+from packlens.functions.text import not_blank
 from packlens.functions.vocab import LABELS
+from packlens.operators.intake import platform
+from packlens.sources.selectors import PLATFORMS, field_hits, label_pairs
 
 PART = "part string, ord int, k1 string, k2 string, text string"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HIDDEN = {"script", "style", "noscript", "svg"}
-_SELECTABLE = {"h1", "h2", "span", "div", "p"}
 
 
 class _Node:
-    __slots__ = ("attrs", "kids", "tag")
+    __slots__ = ("attrs", "kids", "tag", "up")
 
-    def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict, up: _Node | None = None):
+        self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
 
     def text(self, sep: str = " ") -> str:
         out = []
@@ -59,7 +64,7 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ("p", "li", "tr", "td", "th") and self.open[-1].tag == tag:
             self.open.pop()
-        node = _Node(tag, {k: v or "" for k, v in attrs})
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
         self.open[-1].kids.append(node)
         if tag not in _VOID:
             self.open.append(node)
@@ -74,13 +79,14 @@ class _Tree(HTMLParser):
         self.open[-1].kids.append(data)
 
 
-def parts_of(html: str | None, url: str | None) -> list[tuple]:
+def parts_of(html: str | None, url: str | None, site: str | None = None) -> list[tuple]:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     out: list[tuple] = []
     add = lambda part, k1, k2, text: out.append((part, len(out), k1, k2, text))
-    for box, n in enumerate(tree.root.walk()):
+    nodes = list(tree.root.walk())
+    for box, n in enumerate(nodes):
         if n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json":
             add("jsonld", None, None, "".join(k for k in n.kids if isinstance(k, str)))
         elif n.tag == "meta":
@@ -100,24 +106,28 @@ def parts_of(html: str | None, url: str | None) -> list[tuple]:
             kids = [k for k in n.kids if isinstance(k, _Node) and k.text()]
             if len(kids) == 2 and not any(isinstance(k, str) and k.strip() for k in n.kids):
                 add("grid", kids[0].text(), None, kids[1].text())
-        if n.tag == "h1" or n.tag in _SELECTABLE and (n.attrs.get("id") or n.attrs.get("class")):
-            add("sel", n.tag, f"#{n.attrs.get('id', '')} .{n.attrs.get('class', '').replace(' ', ' .')} ", n.text())
+    if (known := PLATFORMS.get(site or "")) is not None:
+        for name, text in field_hits(nodes, known):
+            add("sel", name, str(known.confidence), text)
+        for label, value in label_pairs(nodes, known):
+            add("pair", label, None, value)
     add("text", None, None, tree.root.text(" | "))
     return out
 
 
 def html_parts(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, part, ord, k1, k2, text) of every page; the HTML goes no further."""
+    """(key, part, ord, k1, k2, text) of every page; the HTML goes no further. The platform, whose selectors are used, is
+    told by the url."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 200):
                 c = b.iloc[lo : lo + 200]
-                rows = [(k, *p) for k, h, u in zip(c["key"], c["html"], c["url"], strict=True) for p in parts_of(h, u)]
+                rows = [(k, *p) for k, h, u, site in zip(c["key"], c["html"], c["url"], c["site"], strict=True) for p in parts_of(h, u, site)]
                 yield pd.DataFrame(rows, columns=["key", "part", "ord", "k1", "k2", "text"])
 
-    src = pages.select(F.col(key).alias("key"), "html", "url")
+    src = pages.select(F.col(key).alias("key"), "html", "url", platform(F.col("url")).alias("site"))
     return src.mapInPandas(run, f"key {kind}, {PART}").withColumnRenamed("key", key)
 
 
@@ -202,21 +212,36 @@ def label_candidates(pairs: DataFrame, key: str = "page_id") -> DataFrame:
     return p.join(F.broadcast(known), "label_key").select(key, "ord", "field_name", F.col("value").alias("field_value"), F.lit(0.75).alias("confidence"), F.lit("CSS_SELECTOR").alias("strategy"))
 
 
-def selector_hits(parts: DataFrame, selectors: DataFrame, pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """First non-empty hit of each field by a platform's selectors (platform, sel_ord, field_name, tag, token,
-    confidence), where token is part of the element's ids and classes."""
-    els = parts.filter("part = 'sel' AND text <> ''").join(pages.select(key, "platform"), key)
-    hit = els.join(F.broadcast(selectors), "platform").filter((F.col("tag").isNull() | (F.col("tag") == F.col("k1"))) & F.col("k2").contains(F.col("token")))
-    return hit.groupBy(key, "field_name").agg(F.min_by(F.struct(F.col("text").alias("field_value"), "confidence"), F.struct("sel_ord", "ord")).alias("h")).select(key, "field_name", "h.*")
+def open_graph_candidates(parts: DataFrame, key: str = "page_id") -> DataFrame:
+    """The og:title as a product name."""
+    og = open_graph(parts, key).filter("prop = 'og:title'")
+    return og.select(key, F.lit(0).alias("ord"), F.lit("product_name").alias("field_name"), F.col("content").alias("field_value"), F.lit(0.6).alias("confidence"))
 
 
-def page_candidates(*by_strategy: DataFrame) -> DataFrame:
-    """All strategies' candidates, in the order given, which later breaks ties."""
-    out = None
-    for rank, df in enumerate(by_strategy):
-        d = df.withColumn("ord", (F.lit(rank * 1_000_000) + F.col("ord")).cast("long"))
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out
+def selector_hits(parts: DataFrame, key: str = "page_id") -> DataFrame:
+    """What the platform's selectors find, one value for each field."""
+    return parts.filter("part = 'sel'").select(key, "ord", F.col("k1").alias("field_name"), F.col("text").alias("field_value"), F.col("k2").cast("double").alias("confidence"))
+
+
+def platform_pairs(parts: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, ord, label, value) from the places where the platform keeps them."""
+    return parts.filter("part = 'pair'").select(key, "ord", F.col("k1").alias("label"), F.col("text").alias("value"))
+
+
+def page_candidates(parts: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, ord, field_name, field_value, confidence, strategy): the candidates of all strategies. The order of the
+    strategies, which breaks ties, is JSON-LD, OpenGraph, text, selectors, labels. parts is read once for each
+    strategy: persist it, or write it as a table, first."""
+    text = visible_text(parts, key, most=None).select(key, F.inline(candidates(F.col("text")))).filter(not_blank(F.col("field_value")))
+    each = (
+        ("JSON_LD", json_ld_candidates(json_ld_products(parts, key), key)),
+        ("OPEN_GRAPH", open_graph_candidates(parts, key)),
+        ("FALLBACK_TEXT", text),
+        ("CSS_SELECTOR", selector_hits(parts, key)),
+        ("CSS_SELECTOR", label_candidates(platform_pairs(parts, key), key).drop("strategy")),
+    )
+    cols = lambda rank: [key, (F.lit(rank * 100_000_000) + F.col("ord")).cast("long").alias("ord"), "field_name", "field_value", F.col("confidence").cast("double").alias("confidence")]
+    return reduce(DataFrame.unionByName, [df.select(*cols(rank), F.lit(name).alias("strategy")) for rank, (name, df) in enumerate(each)])
 
 
 def product_record(parts: DataFrame, products: DataFrame, key: str = "page_id", title_override: DataFrame | None = None) -> DataFrame:
