@@ -146,6 +146,20 @@ def trend(inspections: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return inspections.filter(F.col("created_at") >= start).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).orderBy("day")
 
 
+def declarations_by_field(decl: DataFrame, key: str = "inspection_id") -> DataFrame:
+    """Place of each declaration in its inspection's list, by field; within a field the surest first, then by value."""
+    w = Window.partitionBy(key).orderBy("field_name", F.desc("confidence"), "field_value")
+    return decl.withColumn("place", F.row_number().over(w))
+
+
+def summary_rows(inspections: DataFrame, officers: DataFrame, products: DataFrame) -> DataFrame:
+    """Inspections with officer_name and product_title, null where the officer or product is unknown or none is named.
+    officers: officer_id, full_name; products: product_id, title; one row each."""
+    o = officers.select("officer_id", F.col("full_name").alias("officer_name"))
+    p = products.select("product_id", F.col("title").alias("product_title"))
+    return inspections.join(o, "officer_id", "left").join(p, "product_id", "left")
+
+
 def acceptance_ratio(images: DataFrame, key: str = "inspection_id") -> DataFrame:
     return images.groupBy(key).agg(F.count("*").alias("n_images"), F.count_if("quality_acceptable").alias("n_acceptable")).withColumn("ratio", F.col("n_acceptable") / F.col("n_images"))
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlens.functions.vocab import LISTING_SOURCES
-from packlens.operators import classify, declare, report, rules
+from packlens.operators import classify, declare, report, rules, versioning
 from packlens.plans import audit
 from packlens.plans.oracle import CHECKS, CTX, LST, OVERALL, PNC
 from packlens.plans.synth import listings
+from packlens.session import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,17 +49,27 @@ _PAGE = (
 _QTY = "CAST(CAST(split_part(qty_text, ' ', 1) AS BIGINT) * CASE WHEN qty_text LIKE '%kg' THEN 1000 ELSE 1 END AS VARCHAR) || CASE WHEN qty_text LIKE '%ml' THEN 'ml' ELSE 'g' END"
 
 
-@query(
+_PAGE_SQL = (
     f"WITH {LST}, ok AS (SELECT * FROM lst WHERE has_page AND fetch_status = 'SUCCESS'), u AS ("
     + " UNION ALL ".join(f"SELECT inspection_id, '{f}' AS field_name, {v} AS field_value, {n or _QTY} AS normalized_value, CAST({c} AS DOUBLE) AS confidence FROM ok" for f, v, n, c in _PAGE)
     + ") SELECT * FROM u WHERE field_value IS NOT NULL"
 )
+
+
+@query(_PAGE_SQL)
 def page_declarations(spark, sf_dir):
     """Candidates of all patterns, normalised and de-duplicated."""
     d = audit.page_declarations(listings(spark, sf_dir))
     return d.select("inspection_id", "field_name", "field_value", "normalized_value", "confidence")
 
 
+@query(f"SELECT inspection_id, field_name, field_value, row_number() OVER (PARTITION BY inspection_id ORDER BY field_name, confidence DESC, field_value) AS place FROM ({_PAGE_SQL})")
+def declarations_by_field(spark, sf_dir):
+    """An inspection's declarations in the order of their fields."""
+    d = report.declarations_by_field(audit.page_declarations(listings(spark, sf_dir)))
+    return d.select("inspection_id", "field_name", "field_value", "place")
+
+
 @query(
     f"WITH {CTX} SELECT inspection_id, 'mrp' AS field_name, mrp AS field_value, mrp_c AS confidence FROM ctx WHERE mrp IS NOT NULL UNION ALL "
     "SELECT inspection_id, 'net_quantity', qty, qty_c FROM ctx WHERE qty IS NOT NULL UNION ALL SELECT inspection_id, 'country_of_origin', country, country_c FROM ctx WHERE country IS NOT NULL"
@@ -82,6 +93,36 @@ def rule_checks(spark, sf_dir):
     return _checks(spark, sf_dir).select("inspection_id", "rule_key", "severity", "status", "confidence")
 
 
+@query(f"""WITH {CHECKS} SELECT inspection_id, rule_key, CASE rule_key WHEN 'R6-1E-MRP' THEN 'MAJOR' ELSE severity END AS severity, status, confidence FROM checks WHERE rule_key <> 'R9-MANNER'""")
+def stored_rule_checks(spark, sf_dir):
+    """The same by the current versions of a rule store, in which one rule has a second version and one is inactive."""
+    old = rules.rule_frame(spark).withColumns({"version_number": F.lit(1), "active": F.col("rule_key") != "R9-MANNER", "is_current": F.col("rule_key") != "R6-1E-MRP"})
+    new = old.filter("rule_key = 'R6-1E-MRP'").withColumns({"version_number": F.lit(2), "severity": F.lit("MAJOR"), "is_current": F.lit(True)})
+    current = versioning.current_rules(old.unionByName(new))
+    return rules.evaluate(audit.contexts(listings(spark, sf_dir)), current).select("inspection_id", "rule_key", "severity", "status", "confidence")
+
+
+@query(f"""WITH {CTX} SELECT inspection_id, concat_ws(',', CASE WHEN cname IS NULL THEN 'consumer_care_name' END, 'consumer_care_address', CASE WHEN cphone IS NULL THEN 'consumer_care_phone' END,
+    CASE WHEN cmail IS NULL THEN 'consumer_care_email' END) AS missing_care, CASE WHEN has_page THEN concat_ws(',', CASE WHEN name IS NULL THEN 'product_name' END, CASE WHEN on_qty IS NULL THEN 'net_quantity' END,
+    CASE WHEN on_mrp IS NULL THEN 'mrp' END, CASE WHEN maker IS NULL AND importer IS NULL THEN 'manufacturer_name|packer_name|importer_name' END,
+    CASE WHEN cname IS NULL AND cphone IS NULL AND cmail IS NULL THEN 'consumer_care_name|consumer_care_address|consumer_care_phone|consumer_care_email' END) END AS missing_groups FROM ctx""")
+def missing_declarations(spark, sf_dir):
+    """U4: what consumer care and display lack."""
+    m = rules.missing_members(audit.contexts(listings(spark, sf_dir)))
+    return m.select("inspection_id", *[F.array_join(c, ",").alias(c) for c in ("missing_care", "missing_groups")])
+
+
+@query(f"""WITH {LST}, o AS (SELECT 'o' || s_suppkey AS officer_id, s_name AS officer_name FROM supplier WHERE s_suppkey < 4),
+    p AS (SELECT product_id, arg_max(title, k) AS product_title FROM lst WHERE k % 3 > 0 GROUP BY 1)
+    SELECT inspection_id, platform, run_status, officer_id, officer_name, product_title FROM lst LEFT JOIN o USING (officer_id) LEFT JOIN p USING (product_id)""")
+def inspection_summaries(spark, sf_dir):
+    """Inspections with the officer's name and the product's title; some officers and products are unknown."""
+    lst = listings(spark, sf_dir)
+    officers = table(spark, sf_dir, "supplier").filter("s_suppkey < 4").select(F.concat(F.lit("o"), F.col("s_suppkey").cast("string")).alias("officer_id"), F.col("s_name").alias("full_name"))
+    products = lst.filter("k % 3 > 0").groupBy("product_id").agg(F.max_by("title", "k").alias("title"))
+    return report.summary_rows(lst, officers, products).select("inspection_id", "platform", "run_status", "officer_id", "officer_name", "product_title")
+
+
 @query(f"WITH {CHECKS} SELECT rule_key, status, count(*) AS n FROM checks GROUP BY ALL")
 def checks_by_rule(spark, sf_dir):
     return _checks(spark, sf_dir).groupBy("rule_key", "status").agg(F.count("*").alias("n"))
@@ -207,7 +248,10 @@ def top_violation_severities(spark, sf_dir):
     return report.top_violations(rules.violations(_checks(spark, sf_dir)), "severity", 5)
 
 
-@query()
+_TITLES = ", ".join("('{}', '{}')".format(r.rule_key, r.title.replace("'", "''")) for r in rules.SEEDED)
+
+
+@query(f"WITH {CHECKS} SELECT summary, count(*) AS n FROM checks JOIN (VALUES {_TITLES}) t(rule_key, summary) USING (rule_key) WHERE status = {PNC} GROUP BY 1 ORDER BY n DESC, summary LIMIT 5")
 def top_issue_titles(spark, sf_dir):
     """A18."""
     return report.top_violations(rules.violations(_checks(spark, sf_dir)), "summary", 5)

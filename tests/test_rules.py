@@ -107,3 +107,10 @@ def test_classification(spark):
     got = [r.c for r in df.select("i", classify.classify(F.col("t")).alias("c")).orderBy("i").collect()]
     assert [g.category for g in got] == ["FOOD", "COSMETIC_PERSONAL_CARE", "HOUSEHOLD", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
     assert [g.confidence for g in got][2:6] == [0.75, 0.0, 0.1, 0.0] and list(got[0].matched) == ["chips", "namkeen", "namkeen"]
+
+
+def test_rules_come_back_from_a_stored_set(spark, tmp_path):
+    rules.rule_frame(spark).write.json(str(tmp_path / "rules"))
+    got = rules.rules_from(rules.read_rules(spark, str(tmp_path / "rules")))
+    assert got == tuple(sorted(rules.SEEDED, key=lambda r: r.rule_key))
+    assert rules.rules_from(rules.rule_frame(spark).limit(0)) == ()
