@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +32,31 @@ def _local_root() -> str:
     return "file://" + tempfile.mkdtemp(prefix="packlens-")
 
 
+#: Rows and bytes in one Arrow batch between Spark and its Python workers while a table is cut: long texts make
+#: batches of the default 10,000 rows the largest part of a worker's memory.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's batch sizes are ARROW_BATCH inside the block and what they were after it."""
+    before = {k: spark.conf.get(k, None) for k in ARROW_BATCH}
+    for k, v in ARROW_BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
     executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/packlens-{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
