@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash, packing, secret_scan, sharding, url_filter
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash, packing, resample, secret_scan, sharding, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def _spans_sql() -> str:
     """Per rule: texts between matches and matches alternate, so running sums of lengths give the offsets."""
     sides = []
@@ -168,6 +172,23 @@ ORACLES = {
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+    # crc32 by the table of its polynomial, made from the rule, over the bytes of each distinct word.
+    "op13_resample": r"""
+        WITH tbl AS (SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) ORDER BY n) AS tbl FROM range(256) r(n)),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        m AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        e AS (SELECT doc_id, unnest(ws) AS w FROM d), v AS (SELECT w, count(*) AS s FROM e GROUP BY 1), u AS (SELECT w, count(*) AS t FROM m GROUP BY 1),
+        h AS (SELECT w, coalesce(s, 0) AS s, coalesce(t, 0) AS t, hex(encode(w)) AS x FROM v FULL JOIN u USING (w)),
+        b AS (SELECT w, s, t, xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)),
+                     lambda c, y: xor(c // 256, tbl[CAST(xor(c % 256, y) AS INT) + 1]))) % 10000 AS b FROM h, tbl),
+        c AS (SELECT b, sum(s) AS s, sum(t) AS t FROM b GROUP BY 1), n AS (SELECT sum(s) AS ss, sum(t) AS tt FROM c),
+        g AS (SELECT b, CAST(floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE))) AS BIGINT) AS gain FROM c, n),
+        k AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM e JOIN b USING (w) JOIN g USING (b) GROUP BY 1),
+        z AS (SELECT d.doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+                     coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+              FROM d LEFT JOIN k USING (doc_id)),
+        r AS (SELECT *, n_features >= 20 AS ok, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS i, count(*) FILTER (n_features >= 20) OVER () AS n FROM z)
+        SELECT doc_id, n_features, weight, score, CASE WHEN ok AND i <= n * 10 // 100 THEN i END AS rank FROM r""",
 }
 
 #: The same with the number of documents that have a line.
