@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash, packing, resample, secret_scan, sharding, url_filter
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash, packing, resample, secret_scan, sharding, url_filter, vantage
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20, factor=1.0)
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -172,6 +176,13 @@ ORACLES = {
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+    "op12_neighbours": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda e: e IS NULL OR NOT isfinite(e)), true)
+                   AND list_contains(list_transform(embedding, lambda e: e <> 0), true)),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce([0.0::DOUBLE] || list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b) AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     # crc32 by the table of its polynomial, made from the rule, over the bytes of each distinct word.
     "op13_resample": r"""
         WITH tbl AS (SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) ORDER BY n) AS tbl FROM range(256) r(n)),
