@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash, packing, resample, secret_scan, sharding, url_filter, vantage
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, manifest, minhash, packing, resample, secret_scan, sharding, url_filter, vantage
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_docs(spark, sf_dir), tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20, factor=1.0)
 
@@ -118,7 +122,51 @@ def _spans_sql() -> str:
     return " UNION ALL ".join(sides)
 
 
+def _crc_sql(table: str, text: str) -> str:
+    """(text, crc) of the distinct values of a column, by the table of the polynomial, which is made from its rule."""
+    return f"""(WITH tbl AS (SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) ORDER BY n) AS tbl FROM range(256) r(n)),
+        h AS (SELECT DISTINCT {text} AS w FROM {table}), x AS (SELECT w, hex(encode(CAST(w AS VARCHAR))) AS x FROM h)
+        SELECT w, xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)),
+                      lambda c, y: xor(c // 256, tbl[CAST(xor(c % 256, y) AS INT) + 1]))) AS crc FROM x, tbl)"""
+
+
+#: Levels that the SQL of the manifest goes up: 16^5 leaves in a source, 16^3 sources.
+_LEVELS = 5, 3
+
+
+def _manifest_sql() -> str:
+    """Level by level: the runs' digests, siblings left and right of each row's path, and the folded node."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    part = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    steps = [
+        f"k AS {_crc_sql('documents', 'doc_id')}",
+        f"d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf('text')} AS leaf, CASE WHEN crc % 5 = 0 THEN {leaf(lower.format('text'))} ELSE {leaf('text')} END AS used FROM documents JOIN k ON w = doc_id)",
+        "a0 AS (SELECT doc_id, tree, leaf, used, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos FROM d)",
+        "n0 AS (SELECT tree, pos, leaf AS h FROM a0)",
+    ]
+    for i in range(_LEVELS[0] + 1 + _LEVELS[1]):
+        if i == _LEVELS[0]:  # the lone nodes of the sources are the leaves of the tree over them
+            steps.append(f"n{i + 1} AS (SELECT '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, h, tree AS of FROM n{i})")
+            steps.append(f"a{i + 1} AS (SELECT doc_id, '' AS tree, leaf, used, proof, n.pos, n.h AS subroot FROM a{i} a JOIN n{i + 1} n ON n.of = a.tree)")
+            continue
+        sub = ", a.subroot" if i > _LEVELS[0] else ""
+        steps.append(f"c{i} AS (SELECT tree, pos, h, count(*) OVER (PARTITION BY tree) AS n FROM n{i})")
+        steps.append(f"n{i + 1} AS (SELECT tree, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM c{i} WHERE n > 1 GROUP BY ALL UNION ALL SELECT tree, pos, h FROM c{i} WHERE n = 1)")
+        steps.append(
+            f"s{i} AS (SELECT o.tree, o.pos, o.n, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < o.pos), '') AS lo, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > o.pos), '') AS hi "
+            f"FROM c{i} o JOIN c{i} x ON x.tree = o.tree AND x.pos // 16 = o.pos // 16 GROUP BY ALL)"
+        )
+        steps.append(
+            f"a{i + 1} AS (SELECT a.doc_id, a.tree, a.leaf, CASE WHEN n > 1 THEN sha256(lo || used || hi) ELSE used END AS used, a.proof || lo || hi AS proof, CASE WHEN n > 1 THEN a.pos // 16 ELSE a.pos END AS pos{sub} "
+            f"FROM a{i} a JOIN s{i} s ON s.tree = a.tree AND s.pos = a.pos)"
+        )
+    last = sum(_LEVELS) + 1
+    return f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, used AS folded_root, used = h AS verified FROM a{last}, n{last} n"
+
+
 ORACLES = {
+    "op11_manifest": _manifest_sql(),
     "op9_secret_scan": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_spans_sql()}),
         x AS (SELECT doc_id, rank, kind, base, least, unnest(range(1, len(hit) + 1)) AS i, gap, hit, part FROM m WHERE len(hit) > 0),
