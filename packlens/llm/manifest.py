@@ -148,7 +148,8 @@ def paths_down(forest: Forest, above: DataFrame, label: str) -> DataFrame:
     handed = None
     for level in range(len(forest.rounds) - 1, -1, -1):
         blocks = forest.rounds[level]
-        own = blocks.filter(F.col("size") <= span).select("tree", "block").join(above, "tree")
+        # columns of their own, as the blocks meet themselves below
+        own = blocks.filter(F.col("size") <= span).select(F.col("tree").alias("t"), F.col("block").alias("b")).toDF("tree", "block").join(above, "tree")
         here = own if handed is None else own.unionByName(handed)
         if level == 0:
             return cut(here, f"{label}-paths")

@@ -32,10 +32,12 @@ def words(text: Column) -> Column:
 
 def features(tokens: Column, longest: int) -> Column:
     """All runs of 1 to `longest` words, joined by one space, repeats kept."""
-    runs = [tokens]
-    for n in range(2, longest + 1):
-        runs.append(F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>")))
-    return runs[0] if longest == 1 else F.concat(*runs)
+
+    def of(n: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return tokens if longest == 1 else F.concat(tokens, *[of(n) for n in range(2, longest + 1)])
 
 
 def bucket(feature: Column, buckets: int) -> Column:
@@ -44,7 +46,8 @@ def bucket(feature: Column, buckets: int) -> Column:
 
 def bucket_counts(df: DataFrame, text_col: str, longest: int, buckets: int) -> np.ndarray:
     """Features in each bucket over all rows. The driver gets one number a bucket."""
-    each = df.select(F.explode(features(words(F.col(f"`{text_col}`")), longest)).alias("f")).groupBy(bucket(F.col("f"), buckets).alias("b")).count()
+    tokens = df.select(words(F.col(f"`{text_col}`")).alias("w"))
+    each = tokens.select(F.explode(features(F.col("w"), longest)).alias("f")).groupBy(bucket(F.col("f"), buckets).alias("b")).count()
     out = np.zeros(buckets, np.int64)
     for r in each.collect():
         out[r["b"]] = r["count"]
@@ -67,8 +70,8 @@ def noise(identity: Column, seed: str) -> Column:
 def scored(docs: DataFrame, gain: np.ndarray, id_col: str, text_col: str, longest: int, seed: str) -> DataFrame:
     """id, n_features, weight, score and words of each row. The array of gains is a constant of the plan."""
     array = F.from_json(F.lit(str(gain.tolist())), "array<bigint>")
-    tokens = words(F.col(f"`{text_col}`"))
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.size(tokens).cast("bigint").alias("n_words"), features(tokens, longest).alias("f"))
+    tokens = docs.select(F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("w"))
+    found = tokens.select("id", F.size("w").cast("bigint").alias("n_words"), features(F.col("w"), longest).alias("f"))
     total = F.aggregate("f", F.lit(0).cast("bigint"), lambda a, x: a + F.get(array, bucket(x, len(gain))))
     out = found.select("id", "n_words", F.size("f").cast("bigint").alias("n_features"), total.alias("weight"))
     return out.withColumn("score", F.col("weight") + noise(F.col("id"), seed))
