@@ -15,14 +15,13 @@ sequences; only the last one is short.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,11 +32,13 @@ SEQ_LEN = 1024
 _PLAIN = re.compile(r"[^\t\n\r -~¡-¬®-ɏ]")
 #: Windows that are summed up together where the windows' places in the stream are counted.
 STRIDE = 1024
+#: Bytes of an id in a document's ids.
+_ID = 4
 
 
 @cache
 def encoder(json_file: str, ranks_file: str | None):
-    """A function from text to ids (uint16 array). ranks_file: the same vocabulary for a faster library,
+    """A function from text to ids (little-endian, 32 bits each). ranks_file: the same vocabulary for a faster library,
     used on plain Latin texts only, where the ids are the same."""
     from tokenizers import Tokenizer
 
@@ -58,7 +59,7 @@ def encoder(json_file: str, ranks_file: str | None):
             ids = fast.encode_ordinary(text)
         else:
             ids = slow.encode(text, add_special_tokens=False).ids
-        return np.array([*ids, 0], np.uint16)
+        return np.array([*ids, 0], "<u4")
 
     return encode
 
@@ -156,21 +157,17 @@ def pack(
     placed = placed.withColumn("window", F.ceil((F.col("begin") + F.col("n")) / F.col("quantum")))
     starts = cut(schedule(placed.select("queue", "window", "begin", "n")), "starts")
     placed = placed.join(maybe_broadcast(starts, starts.count()), ["queue", "window"])
-    placed = placed.select("id", "queue", "window", (F.col("place") + F.col("begin") - F.col("first")).alias("place"), "n", "ids")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, queue, window, place, n, raw in zip(b["id"], b["queue"], b["window"], b["place"], b["n"], b["ids"], strict=True):
-                ids, done = np.frombuffer(raw, np.uint16).astype("<u4"), 0
-                while done < n:
-                    at = (place + done) % seq_len
-                    take = min(n - done, seq_len - at)
-                    out.append((i, done, take, zlib.crc32(ids[done : done + take].tobytes()), n, (place + done) // seq_len, at, queue, window))
-                    done += take
-            yield pd.DataFrame(out, columns=cols)
-
-    cols = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "window"]
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"`{c}` {'string' if c == 'queue' else 'bigint'}" for c in cols[1:])
-    return placed.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    place = F.col("place") + F.col("begin") - F.col("first")
+    placed = placed.select("id", "queue", "window", place.alias("place"), "n", "ids")
+
+    def piece(sequence: Column) -> Column:
+        """What of a document lies in a sequence."""
+        start = F.greatest(sequence * seq_len - F.col("place"), F.lit(0))
+        length = F.least(F.col("n"), (sequence + 1) * seq_len - F.col("place")) - start
+        ids = F.substring("ids", (start * _ID + 1).cast("int"), (length * _ID).cast("int"))
+        at = F.when(start == 0, F.col("place") % seq_len).otherwise(F.lit(0))
+        return F.struct(start.alias("start"), length.alias("length"), F.crc32(ids).alias("ids_crc32"), F.col("n").alias("doc_tokens"), sequence.alias("sequence_id"), at.alias("offset"))
+
+    over = F.sequence(F.floor(F.col("place") / seq_len), F.floor((F.col("place") + F.col("n") - 1) / seq_len))
+    pieces = placed.select("id", "queue", "window", F.transform(over, piece).alias("piece"))
+    return pieces.select("id", F.inline("piece"), "queue", "window").withColumnRenamed("id", id_col)
