@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from packlens.operators import declare, rules
 from packlens.plans import audit
 from packlens.plans.synth import listing_text
 from packlens.sources import html_parts as H
+from packlens.streaming.scan import Scan
 
 
 def candidates(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -28,8 +32,19 @@ def declarations(pages: DataFrame, key: str = "inspection_id") -> DataFrame:
 
 def checks(lst: DataFrame) -> DataFrame:
     """Every rule on every listing, from its page's HTML and its images."""
-    decl = declarations(listing_pages(lst)).unionByName(audit.image_declarations(lst))
-    return rules.evaluate(audit.contexts(lst, decl))
+    return rules.evaluate(audit.contexts(lst, all_declarations(lst)))
+
+
+def all_declarations(lst: DataFrame) -> DataFrame:
+    """What pages and images of listings declare."""
+    return declarations(listing_pages(lst)).unionByName(audit.image_declarations(lst))
+
+
+def incremental(spark: SparkSession, folder: str, schema: StructType, derive: Callable[[DataFrame], DataFrame] = all_declarations) -> Scan:
+    """The job of `checks` as one that captures of listings (synth's columns and fetched_at) keep up to date in folder;
+    derive: how declarations come from them, if not from the pages' HTML."""
+    product = lambda c: c.select("url", "title", "brand", F.lit(None).cast("string").alias("description"), F.regexp_extract(F.coalesce("mrp_text", F.lit("")), r"[\d.]+", 0).try_cast("decimal(12,2)").alias("listed_price"), F.lit("INR").alias("currency"), "fetched_at")
+    return Scan(spark, folder, schema, derive, lambda c, decl: rules.evaluate(audit.contexts(c, decl)), product)
 
 
 def listing_pages(lst: DataFrame) -> DataFrame:

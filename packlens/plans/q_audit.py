@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from packlens.functions.vocab import LISTING_SOURCES
 from packlens.operators import classify, declare, report, rules, versioning
-from packlens.plans import audit
+from packlens.plans import audit, captures
 from packlens.plans.oracle import CHECKS, CTX, LST, OVERALL, PNC
 from packlens.plans.synth import listings
-from packlens.session import table
+from packlens.session import scratch, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -299,3 +299,18 @@ def stale_run_sweep(spark, sf_dir):
     fixed, _, events = report.sweep_stale(lst, batches, "2024-03-01")
     n = events.groupBy("inspection_id").agg(F.count("*").alias("e"))
     return fixed.join(n, "inspection_id", "left").groupBy("run_status").agg(F.count("*").alias("n"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_events"))
+
+
+@query(f"WITH {CHECKS} SELECT inspection_id, rule_key, severity, status, confidence FROM checks")
+def incremental_checks(spark, sf_dir):
+    """Captures arrive in three waves (an old one of every listing; the newest of one half; the newest of the other half
+    with late old ones of the first), and the stored checks end as those of the newest captures (by their texts, as the oracle's; test_scan runs HTML)."""
+    folder = scratch(spark, "scan")
+    new = listings(spark, sf_dir).withColumn("fetched_at", F.timestamp_seconds(F.lit(2_000_000) + F.col("k")))
+    old = new.withColumns({"qty_text": F.lit("7 kg"), "importer_text": F.lit("Other Ltd"), "mrp_text": F.lit("Rs. 1.00"), "fetched_at": F.timestamp_seconds(F.lit(1_000_000) + F.col("k"))})
+    late = old.filter("k % 2 = 0").withColumn("fetched_at", F.timestamp_seconds(F.lit(1_500_000) + F.col("k")))
+    job = captures.incremental(spark, f"{folder}/state", new.schema, audit.declarations)
+    for wave in (old, new.filter("k % 2 = 0"), new.filter("k % 2 = 1").unionByName(late)):
+        wave.write.mode("append").parquet(f"{folder}/in")
+        job.start(f"{folder}/in", f"{folder}/checkpoint").awaitTermination()
+    return job.current("checks").select("inspection_id", "rule_key", "severity", "status", "confidence")

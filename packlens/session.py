@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,13 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "pack
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder of spark.checkpoint.dir; where that is unset, a temporary one, for a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="packlens-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
