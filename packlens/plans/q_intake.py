@@ -117,17 +117,6 @@ def safe_page_urls(spark, sf_dir):
     return intake.safe_urls(p, answers).select("page_id", "host")
 
 
-@query("""WITH c AS (SELECT page_id % 100 AS p, page_id % 4 AS f FROM pages), n AS (SELECT p, count(DISTINCT f) FILTER (f <> 3) AS nf FROM c GROUP BY 1)
-    SELECT CAST(p AS VARCHAR) AS page_id, p % 5 <> 0 AND nf <= 1 AS hollow, p % 5 <> 0 AND nf > 1 AS usable_page FROM n""")
-def hollow_pages(spark, sf_dir):
-    """Pages with at most one distinct field; pages without candidates count too."""
-    src = table(spark, sf_dir, "pages").select((F.col("page_id") % 100).alias("p"), (F.col("page_id") % 4).alias("f"))
-    pages = src.select("p").distinct().select(F.col("p").cast("string").alias("page_id"), F.when(F.col("p") % 5 == 0, "TIMEOUT").otherwise("SUCCESS").alias("fetch_status"))
-    found = src.filter("f <> 3").select(F.col("p").cast("string").alias("page_id"), F.col("f").alias("field_name"))
-    facts = context.page_facts(pages.withColumn("inspection_id", F.col("page_id")), found)
-    return facts.select(F.col("inspection_id").alias("page_id"), "hollow", "usable_page")
-
-
 @query("""WITH u AS (SELECT page_id % 3 AS batch_id, page_id * 2 AS pos, url FROM pages UNION ALL SELECT page_id % 3, page_id * 2 + 1, CASE page_id % 5 WHEN 0 THEN 'http:/' WHEN 1 THEN ' ' || url || ' ' ELSE url || '&v=' || page_id END FROM pages),
     t AS (SELECT batch_id, pos, trim(url) AS url, length(trim(url)) >= 8 AS ok FROM u), f AS (SELECT batch_id, url, min(pos) AS first FROM t WHERE ok GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY first) AS nth FROM f)
@@ -316,17 +305,66 @@ def page_image_lists(spark, sf_dir):
     return H.page_images(parts, H.json_ld_products(parts))
 
 
-@query()
+def _blocks(spark, sf_dir):
+    """Every page with blocks behind its own HTML that show declarations as shops do, by page_id % 8; the URLs of the last
+    four are those of the platforms."""
+    k, n = F.col("page_id") % 8, F.col("page_id").cast("string")
+    t = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    td = lambda a, b: t("<tr><th>", a, "</th><td>", b, "</td></tr>")
+    forms = [
+        t("<table><tbody>", td("Net Quantity", t(n, " g")), td("Packed By", t("Packer ", n)), td("lone", ""), "</tbody></table>"),
+        t("<ul><li><b>Country of Origin ‏ : ‎</b> Nepal</li><li>Is Discontinued By Manufacturer : No</li><li>Best Before: ", n, " days</li></ul>"),
+        t("<div><span>Manufacturer</span><span>Maker ", n, "</span><i> </i></div>"),
+        t("<table>", td("Net Quantity", "1 g"), "</table><table>", td("MRP", "2"), td("lone", ""), td("", "lone"), td("Expiry", "3"), "<tr></tr></table>"),
+        t('<meta property="og:title" content="Old"><meta property="og:title" content="Shop ', n, '"><script type="application/ld+json">[{"@type":"Thing"},{"@graph":[{"@type":["product"],"name":"Item ', n,
+          '","brand":{"name":"Brand ', n, '"},"offers":{"price":"7.00"}}]}]</script><script type="application/ld+json">{broken</script>'),
+        t('<meta property="og:title" content="Amazon"><span id="productTitle"> Item ', n, ' </span><table id="productDetails_techSpec_section_1"><tbody>', td("Item Weight", t(n, " kg")), td("Importer", "Dock Ltd"), "</tbody></table>"),
+        t('<h1 class="v1"><span>Item ', n, '</span></h1><div class="grid-formation-dynamic"><div><div>Net Quantity</div><div>', n, " ml</div><div></div></div></div>"),
+        t('<h1 class="x Title">Item ', n, '</h1><div class="PackSize-a">', n, ' l</div><span class="CountryOfOrigin-b">Nepal</span>'),
+    ]
+    host = F.get(F.array(*[F.lit(h) for h in ("", "", "", "", "", "https://www.amazon.in/dp/", "https://www.flipkart.com/p/", "https://blinkit.com/prn/")]), k.cast("int"))
+    url = F.when(host == "", F.col("url")).otherwise(F.concat(host, n))
+    html = F.concat(F.coalesce("html", F.lit("")), F.get(F.array(*forms), k.cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), html.alias("html"))
+
+
+@query("""SELECT page_id, f.field_name, replace(f.v, '#', CAST(page_id AS VARCHAR)) AS field_value, CAST(0.75 AS DOUBLE) AS confidence, 'CSS_SELECTOR' AS strategy FROM pages JOIN (VALUES
+    (0, 'net_quantity', '# g'), (0, 'packer_name', 'Packer #'), (1, 'country_of_origin', 'Nepal'), (1, 'best_before_date', '# days'), (2, 'manufacturer_name', 'Maker #'),
+    (5, 'net_quantity', '# kg'), (5, 'importer_name', 'Dock Ltd'), (6, 'net_quantity', '# ml')) f(k, field_name, v) ON page_id % 8 = f.k""")
 def page_label_candidates(spark, sf_dir):
-    """Tables, grids and bullets of every page, wherever they stand."""
-    parts = H.html_parts(table(spark, sf_dir, "pages"))
-    return H.label_candidates(H.table_pairs(parts).unionByName(H.bullet_pairs(parts)))
+    """Tables, grids and bullets of every page, wherever they stand; a row counts once whatever wraps it, and tables
+    that aren't mostly pairs give none."""
+    parts = H.html_parts(_blocks(spark, sf_dir))
+    return H.label_candidates(H.table_pairs(parts).unionByName(H.bullet_pairs(parts))).drop("ord")
 
 
-@query()
+#: What each form of a page shows to the structured strategies: form, strategy, field, value, confidence.
+_SHOWN = """(VALUES (4, 'JSON_LD', 'product_name', 'Item #', 0.95), (4, 'JSON_LD', 'manufacturer_name', 'Brand #', 0.3), (4, 'OPEN_GRAPH', 'product_name', 'Shop #', 0.6),
+    (5, 'OPEN_GRAPH', 'product_name', 'Amazon', 0.6), (5, 'CSS_SELECTOR', 'product_name', 'Item #', 0.7), (5, 'CSS_SELECTOR', 'net_quantity', '# kg', 0.75), (5, 'CSS_SELECTOR', 'importer_name', 'Dock Ltd', 0.75),
+    (6, 'CSS_SELECTOR', 'product_name', 'Item #', 0.6), (6, 'CSS_SELECTOR', 'net_quantity', '# ml', 0.75),
+    (7, 'CSS_SELECTOR', 'product_name', 'Item #', 0.65), (7, 'CSS_SELECTOR', 'net_quantity', '# l', 0.65), (7, 'CSS_SELECTOR', 'country_of_origin', 'Nepal', 0.65)) f(k, strategy, field_name, v, c)"""
+
+
+@query(f"""SELECT page_id, f.strategy, f.field_name, replace(f.v, '#', CAST(page_id AS VARCHAR)) AS field_value, CAST(f.c AS DOUBLE) AS confidence FROM pages JOIN {_SHOWN} ON page_id % 8 = f.k""")
 def page_field_candidates(spark, sf_dir):
-    """The candidates of all strategies on every page."""
-    return H.page_candidates(H.html_parts(table(spark, sf_dir, "pages")).persist(StorageLevel.DISK_ONLY))
+    """What the structured strategies find on every page (document_emails has free text)."""
+    found = H.page_candidates(H.html_parts(_blocks(spark, sf_dir)).persist(StorageLevel.DISK_ONLY))
+    return found.filter("strategy <> 'FALLBACK_TEXT'").select("page_id", "strategy", "field_name", "field_value", "confidence")
+
+
+@query("""SELECT page_id, CASE page_id % 8 WHEN 4 THEN 'Shop ' || page_id WHEN 5 THEN 'Item ' || page_id WHEN 6 THEN 'Item ' || page_id END AS title FROM pages WHERE page_id % 8 IN (4, 5, 6)""")
+def page_shop_titles(spark, sf_dir):
+    """Og over JSON-LD; the platform's own title over an og title that is the shop's name."""
+    parts = H.html_parts(_blocks(spark, sf_dir).filter("page_id % 8 IN (4, 5, 6)")).persist(StorageLevel.DISK_ONLY)
+    return H.product_record(parts, H.json_ld_products(parts)).select("page_id", "title")
+
+
+@query(f"""WITH n AS (SELECT page_id, count(DISTINCT f.field_name) AS n FROM pages LEFT JOIN {_SHOWN} ON page_id % 8 = f.k GROUP BY 1)
+    SELECT page_id, page_id % 5 <> 0 AND n <= 1 AS hollow, page_id % 5 <> 0 AND n > 1 AS usable_page FROM n""")
+def hollow_pages(spark, sf_dir):
+    """Pages whose structured candidates cover at most one field; pages without candidates count too."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, "TIMEOUT").otherwise("SUCCESS").alias("fetch_status"))
+    return context.page_facts(pages.withColumn("inspection_id", F.col("page_id")), page_field_candidates(spark, sf_dir)).select(F.col("inspection_id").alias("page_id"), "hollow", "usable_page")
 
 
 @query(f"""WITH {LST}, p AS (SELECT *, has_page AND fetch_status = 'SUCCESS' AS ok FROM lst)

@@ -1,8 +1,9 @@
 """One pass over a page's HTML. The helper emits raw parts in long form; all that follows is DataFrame code.
 
-Parts (part, ord, k1, k2, text): jsonld, meta (k1 name, k2 content), title, cell (k1 container, k2 row),
-bullet, grid (k1 container), img (k1 alt), sel (k1 field, k2 confidence: hits of the platform's selectors),
-pair (k1 label: pairs from the platform's own places), text.
+Parts (part, ord, k1, k2, text): jsonld, meta (k1 name, k2 content), title, row (k1 its table, k2 label and text value if
+the row has two filled cells, else null), bullet (k1 label), grid (k1 label), img (k1 alt), sel (k1 field, k2 confidence: hits
+of the platform's selectors), headline (k1 wins or fills: what a platform's selectors take for the title), pair (k1
+label: pairs from the platform's own places), text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from packlens.functions.patterns import candidates
 from packlens.functions.text import not_blank
 from packlens.functions.vocab import LABELS
 from packlens.operators.intake import platform
-from packlens.sources.selectors import PLATFORMS, field_hits, label_pairs
+from packlens.sources.selectors import PLATFORMS, bullet, field_hits, label_pairs
 
 PART = "part string, ord int, k1 string, k2 string, text string"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -45,6 +46,12 @@ class _Node:
                 stack.extend(reversed(n.kids))
         return sep.join(out)
 
+    def above(self):
+        n = self.up
+        while n is not None:
+            yield n
+            n = n.up
+
     def walk(self):
         stack = [self]
         while stack:
@@ -86,20 +93,23 @@ def parts_of(html: str | None, url: str | None, site: str | None = None) -> list
     out: list[tuple] = []
     add = lambda part, k1, k2, text: out.append((part, len(out), k1, k2, text))
     nodes = list(tree.root.walk())
-    for box, n in enumerate(nodes):
+    place = {id(n): i for i, n in enumerate(nodes)}
+    for n in nodes:
         if n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json":
             add("jsonld", None, None, "".join(k for k in n.kids if isinstance(k, str)))
         elif n.tag == "meta":
             add("meta", (n.attrs.get("property") or n.attrs.get("name") or "").lower(), n.attrs.get("content"), None)
         elif n.tag == "title":
             add("title", None, None, " ".join("".join(k for k in n.kids if isinstance(k, str)).split()))
-        elif n.tag in ("table", "tbody", "dl"):
-            rows = [r for r in n.walk() if r.tag == "tr"]
-            for i, r in enumerate(rows):
-                for c in (c for c in r.walk() if c.tag in ("td", "th")):
-                    add("cell", str(box), str(i), c.text())
+        elif n.tag == "tr":
+            # a row belongs to the nearest table, whatever wraps it there, and a cell to the nearest row
+            home = next((u for u in n.above() if u.tag == "table"), None)
+            cells = [t for c in n.walk() if c.tag in ("td", "th") and next((u for u in c.above() if u.tag == "tr"), n) is n and (t := c.text())]
+            label, value = cells if len(cells) == 2 else (None, None)
+            add("row", str(place.get(id(home), 0)), label, value)
         elif n.tag == "li":
-            add("bullet", None, None, n.text())
+            if found := bullet(n.text()):
+                add("bullet", found[0], None, found[1])
         elif n.tag == "img":
             add("img", n.attrs.get("alt"), None, urljoin(url or "", n.attrs.get("src") or n.attrs.get("data-src") or ""))
         if n.tag == "div":
@@ -109,6 +119,8 @@ def parts_of(html: str | None, url: str | None, site: str | None = None) -> list
     if (known := PLATFORMS.get(site or "")) is not None:
         for name, text in field_hits(nodes, known):
             add("sel", name, str(known.confidence), text)
+            if name == "product_name":
+                add("headline", "wins" if known.title_wins else "fills", None, text)
         for label, value in label_pairs(nodes, known):
             add("pair", label, None, value)
     add("text", None, None, tree.root.text(" | "))
@@ -182,27 +194,17 @@ def page_images(parts: DataFrame, products: DataFrame, key: str = "page_id", mos
 
 
 def table_pairs(parts: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, ord, label, value): rows of two filled cells, from containers with at least two such rows that
-    make up 60 % of the rows."""
-    cells = parts.filter("part = 'cell' AND text <> ''").groupBy(key, "k1", F.col("k2").cast("int").alias("row")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("cells"), F.min("ord").alias("ord")
-    )
-    box = cells.groupBy(key, "k1").agg(F.collect_list(F.struct("ord", "cells")).alias("rows"))
-    pairs = F.filter("rows", lambda r: F.size(r["cells"]) == 2)
-    good = box.filter((F.size(pairs) >= 2) & (F.size(pairs) >= 0.6 * F.size("rows")))
-    return good.select(key, F.inline(pairs)).select(key, "ord", F.get("cells", F.lit(0)).alias("label"), F.get("cells", F.lit(1)).alias("value")).distinct()
-
-
-_MARKS = "[‎‏‪-‮]"
+    """(key, ord, label, value): rows of two filled cells, from tables with at least two such rows that make up 60 % of
+    all their rows."""
+    row = F.when(F.col("k2").isNotNull(), F.struct("ord", F.col("k2").alias("label"), F.col("text").alias("value")))
+    box = parts.filter("part = 'row'").groupBy(key, "k1").agg(F.collect_list(row).alias("pairs"), F.count("*").alias("n"))
+    return box.filter((F.size("pairs") >= 2) & (F.size("pairs") >= 0.6 * F.col("n"))).select(key, F.inline("pairs"))
 
 
 def bullet_pairs(parts: DataFrame, key: str = "page_id") -> DataFrame:
-    """Bullets `label : value` (direction marks are tolerated) and grids of exactly two filled children."""
-    line = F.trim(F.regexp_replace("text", _MARKS, ""))
-    rx = r"^([^:]{2,41}?)\s*:\s*(.{1,150})$"
-    bullets = parts.filter("part = 'bullet'").select(key, "ord", F.regexp_extract(line, rx, 1).alias("label"), F.regexp_extract(line, rx, 2).alias("value"))
-    grids = parts.filter("part = 'grid' AND length(k1) <= 60").select(key, "ord", F.col("k1").alias("label"), F.col("text").alias("value"))
-    return bullets.filter("label <> ''").union(grids)
+    """Bullets `label : value` and grids of exactly two filled children."""
+    good = parts.filter("part = 'bullet' OR part = 'grid' AND length(k1) <= 60")
+    return good.select(key, "ord", F.col("k1").alias("label"), F.col("text").alias("value"))
 
 
 def label_candidates(pairs: DataFrame, key: str = "page_id") -> DataFrame:
@@ -244,13 +246,15 @@ def page_candidates(parts: DataFrame, key: str = "page_id") -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(*cols(rank), F.lit(name).alias("strategy")) for rank, (name, df) in enumerate(each)])
 
 
-def product_record(parts: DataFrame, products: DataFrame, key: str = "page_id", title_override: DataFrame | None = None) -> DataFrame:
-    """Title (selector, og, JSON-LD, then <title>), description, brand, and the first offer's price and currency."""
+def product_record(parts: DataFrame, products: DataFrame, key: str = "page_id") -> DataFrame:
+    """Title (that of a platform whose own one wins, og, JSON-LD, that of other platforms, then <title>), description, brand, and the first offer's price and currency."""
     og = open_graph(parts, key).groupBy(key).pivot("prop", ["og:title", "og:description"]).agg(F.first("content"))
     og = og.select(key, F.col("`og:title`").alias("og_title"), F.col("`og:description`").alias("og_desc"))
     first = parts.groupBy(key).agg(
         F.min_by(F.when(F.col("part") == "title", F.col("text")), F.when(F.col("part") == "title", F.col("ord"))).alias("page_title"),
         F.min_by(F.when(F.col("k1") == "description", F.col("k2")), F.when((F.col("part") == "meta") & (F.col("k1") == "description"), F.col("ord"))).alias("page_desc"),
+        F.max(F.when((F.col("part") == "headline") & (F.col("k1") == "wins"), F.col("text"))).alias("own_title"),
+        F.max(F.when((F.col("part") == "headline") & (F.col("k1") == "fills"), F.col("text"))).alias("fill_title"),
     )
     offer = F.coalesce(F.try_variant_get("obj", "$.offers[0]", "variant"), F.try_variant_get("obj", "$.offers", "variant"))
     ld = products.select(
@@ -258,9 +262,5 @@ def product_record(parts: DataFrame, products: DataFrame, key: str = "page_id",
         F.try_variant_get(offer, "$.price", "string").try_cast("decimal(12,2)").alias("listed_price"), F.try_variant_get(offer, "$.priceCurrency", "string").alias("currency"),
     )
     j = first.join(og, key, "left").join(ld, key, "left")
-    if title_override is not None:
-        j = j.join(title_override.select(key, F.col("field_value").alias("sel_title")), key, "left")
-    else:
-        j = j.withColumn("sel_title", F.lit(None).cast("string"))
     some = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs])
-    return j.select(key, some("sel_title", "og_title", "ld_title", "page_title").alias("title"), some("og_desc", "ld_desc", "page_desc").alias("description"), "brand", "listed_price", "currency")
+    return j.select(key, some("own_title", "og_title", "ld_title", "fill_title", "page_title").alias("title"), some("og_desc", "ld_desc", "page_desc").alias("description"), "brand", "listed_price", "currency")

@@ -7,9 +7,9 @@ from packlens.sources import readers
 from packlens.streaming.scan import latest_captures, scan_folder
 from pyspark.sql import functions as F
 
-PAGE = """<html><head><title> Shop | Chips </title><meta name="description" content="Crunchy"><meta property="og:title" content="Old"><meta property="og:title" content="Acme Chips">
-<meta property="og:image" content="http://x/og.png"><script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":["Product"],"name":"Chips","brand":{"name":"Acme"},"image":"http://x/1.png",
-"offers":{"price":"55.00","priceCurrency":"INR"}}]}</script><script type="application/ld+json">{broken</script></head><body><h1 id="title">Acme Potato Chips</h1><p>one<p>two <b>MRP: Rs. 60.00
+PAGE = """<html><head><title> Shop | Chips </title><meta name="description" content="Crunchy"><meta property="og:title" content="Old"><meta property="og:title" content="Northway Crisps">
+<meta property="og:image" content="http://x/og.png"><script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":["Product"],"name":"Chips","brand":{"name":"Northway"},"image":"http://x/1.png",
+"offers":{"price":"71.00","priceCurrency":"INR"}}]}</script><script type="application/ld+json">{broken</script></head><body><h1 id="title">Northway Root Crisps</h1><p>one<p>two <b>MRP: Rs. 84.50
 <table><tr><td>Net Quantity</td><td>100 g</td></tr><tr><th>Packed By</th><td>Packer Co</td></tr><tr><td>lone</td></tr></table><table><tr><td>MRP</td><td>5</td></tr></table>
 <ul><li>Country of Origin ‎:‏ India</li><li>Is Discontinued By Manufacturer : No</li></ul><div><span>Manufacturer</span><span>Maker Co</span><i> </i></div>
 <img src="/a.png"><img data-src="http://x/1.png"><style>p{}</style></body>"""
@@ -23,10 +23,10 @@ def test_structured_data(spark):
     p = parts(spark)
     prod = H.json_ld_products(p)
     cands = {r.field_name: (r.field_value, r.confidence) for r in H.json_ld_candidates(prod).collect()}
-    assert cands == {"product_name": ("Chips", 0.95), "manufacturer_name": ("Acme", 0.3)}
-    assert {r.prop: r.content for r in H.open_graph(p).collect()}["og:title"] == "Acme Chips"
+    assert cands == {"product_name": ("Chips", 0.95), "manufacturer_name": ("Northway", 0.3)}
+    assert {r.prop: r.content for r in H.open_graph(p).collect()}["og:title"] == "Northway Crisps"
     rec = H.product_record(p, prod).first()
-    assert (rec.title, rec.description, rec.brand, float(rec.listed_price), rec.currency) == ("Acme Chips", "Crunchy", "Acme", 55.0, "INR")
+    assert (rec.title, rec.description, rec.brand, float(rec.listed_price), rec.currency) == ("Northway Crisps", "Crunchy", "Northway", 71.0, "INR")
     assert list(H.page_images(p, prod).first().urls) == ["http://x/1.png", "http://x/og.png", "http://h/a.png"]
 
 
@@ -36,9 +36,9 @@ def test_tables_bullets_grids_and_selectors(spark):
     got = {(r.field_name, r.field_value) for r in H.label_candidates(pairs).collect()}
     assert got == {("net_quantity", "100 g"), ("packer_name", "Packer Co"), ("country_of_origin", "India"), ("manufacturer_name", "Maker Co")}
     hit = H.selector_hits(parts(spark, url="https://www.amazon.in/dp/1")).first()
-    assert (hit.field_name, hit.field_value, hit.confidence) == ("product_name", "Acme Potato Chips", 0.7)
+    assert (hit.field_name, hit.field_value, hit.confidence) == ("product_name", "Northway Root Crisps", 0.7)
     text = H.visible_text(p).first().text
-    assert "MRP: Rs. 60.00" in text and "broken" not in text and "p{}" not in text and "| |" not in text
+    assert "MRP: Rs. 84.50" in text and "broken" not in text and "p{}" not in text and "| |" not in text
 
 
 def test_broken_and_empty_pages(spark):
@@ -47,12 +47,12 @@ def test_broken_and_empty_pages(spark):
 
 
 def test_ocr_reading_order_and_declarations(spark):
-    raw = [("m", 0, "60.00", 60, 101), ("m", 1, "MRP:", 0, 100), ("m", 2, "Rs.", 30, 104), ("m", 3, "100", 70, 140), ("m", 4, "Qty:", 30, 141), ("m", 5, "Net", 0, 139), ("m", 6, "g", 90, 141), ("n", 0, "x", 0, 0)]
-    boxes = spark.createDataFrame([(i, o, t, 0.9 if t == "60.00" else 0.5, (x, y, 20, 12), "e") for i, o, t, x, y in raw], readers.BOX)
+    raw = [("m", 0, "84.50", 60, 101), ("m", 1, "MRP:", 0, 100), ("m", 2, "Rs.", 30, 104), ("m", 3, "100", 70, 140), ("m", 4, "Qty:", 30, 141), ("m", 5, "Net", 0, 139), ("m", 6, "g", 90, 141), ("n", 0, "x", 0, 0)]
+    boxes = spark.createDataFrame([(i, o, t, 0.9 if t == "84.50" else 0.5, (x, y, 20, 12), "e") for i, o, t, x, y in raw], readers.BOX)
     texts = ocr.image_text(ocr.reading_order(boxes)).cache()
-    assert {r.image_id: r.blob for r in texts.collect()} == {"m": "MRP: Rs. 60.00 \nNet Qty: 100 g", "n": "x"}
+    assert {r.image_id: r.blob for r in texts.collect()} == {"m": "MRP: Rs. 84.50 \nNet Qty: 100 g", "n": "x"}
     got = {r.field_name: r for r in ocr.ocr_declarations(texts).collect()}
-    assert (got["mrp"].field_value, got["mrp"].confidence, got["mrp"].source_box) == ("60.00", 0.765, 0) and got["net_quantity"].field_value == "100 g"
+    assert (got["mrp"].field_value, got["mrp"].confidence, got["mrp"].source_box) == ("84.50", 0.765, 0) and got["net_quantity"].field_value == "100 g"
     clean = ocr.clean_boxes(spark.createDataFrame([("a", "95"), (" ", "9"), ("b", "-1"), ("c", "x")], "text string, conf string")).collect()
     assert [(r.text, r.confidence) for r in clean] == [("a", 0.95), ("b", 0.0), ("c", 0.0)]
 
@@ -104,11 +104,11 @@ def test_texts_of_long_pages_are_whole(spark, tmp_path):
     assert len({r.text_hash for r in got}) == 2 and all(r.n_chars > 30_000 for r in got)
 
 
-AMAZON = """<meta property="og:title" content="Amazon"><span id="productTitle"> Munch Chips 100g </span><table id="productDetails_techSpec_section_1"><tr><th>Manufacturer</th><td>Tasty Foods</td></tr>
-<tr><th>Net Weight</th><td>100 g</td></tr></table><table><tr><td>MRP</td><td>999.99</td></tr><tr><td>Packer</td><td>Other</td></tr></table><div id="detailBullets_feature_div"><li>M.R.P ‏ : ‎ Rs. 60.00</li>
+AMAZON = """<meta property="og:title" content="Amazon"><span id="productTitle"> Oat Bars 90g </span><table id="productDetails_techSpec_section_1"><tr><th>Manufacturer</th><td>Hill Bakery</td></tr>
+<tr><th>Net Weight</th><td>100 g</td></tr></table><table><tr><td>MRP</td><td>312.40</td></tr><tr><td>Packer</td><td>Other</td></tr></table><div id="detailBullets_feature_div"><li>M.R.P ‏ : ‎ Rs. 84.50</li>
 <li>Is Discontinued By Manufacturer : No</li></div><ul><li>Importer : Elsewhere</li></ul>"""
 FLIPKART = """<h1 class="v1">Real Name</h1><div class="grid-formation-dynamic"><div><div>Net Quantity</div><div>500 g</div><div></div></div></div><div class="grid-formation-dynamic"><div><div>Manufactured By</div>
-<div>Acme Foods</div><div></div></div></div><div><div>Packer</div><div>Elsewhere</div></div><table><tr><td>See also</td><td>Other</td></tr></table>"""
+<div>Northway Foods</div><div></div></div></div><div><div>Packer</div><div>Elsewhere</div></div><table><tr><td>See also</td><td>Other</td></tr></table>"""
 BLINKIT = """<h1 class="ProductName-x"></h1><h1 class="a Title">Late</h1><h1>Plain</h1><div class="Price-MRP">Rs. 20</div><div class="Price-now">Rs. 15</div><i data-testid="mrp">9</i><p class="PackSize__q">1 kg</p>
 <div class="SellerOrigin">Nepal</div>"""
 GENERIC = """<meta property="og:title" content="Shop chips"><script type="application/ld+json">{"@type":"Product","name":"Chips","manufacturer":"Maker"}</script><h1>Not used</h1><p>Country of Origin: India</p>
@@ -122,10 +122,10 @@ def test_candidates_of_platforms(spark):
     css = lambda page, c, **fields: {(page, "CSS_SELECTOR", k, v, c) for k, v in fields.items()}
     assert got == (
         {("a", "OPEN_GRAPH", "product_name", "Amazon", 0.6)}
-        | css("a", 0.7, product_name="Munch Chips 100g")
-        | css("a", 0.75, manufacturer_name="Tasty Foods", net_quantity="100 g", mrp="Rs. 60.00")
+        | css("a", 0.7, product_name="Oat Bars 90g")
+        | css("a", 0.75, manufacturer_name="Hill Bakery", net_quantity="100 g", mrp="Rs. 84.50")
         | css("f", 0.6, product_name="Real Name")
-        | css("f", 0.75, net_quantity="500 g", manufacturer_name="Acme Foods")
+        | css("f", 0.75, net_quantity="500 g", manufacturer_name="Northway Foods")
         | css("b", 0.65, product_name="Late", mrp="Rs. 20", price="Rs. 15", net_quantity="1 kg", country_of_origin="Nepal")
         | {("g", "JSON_LD", "product_name", "Chips", 0.95), ("g", "JSON_LD", "manufacturer_name", "Maker", 0.85), ("g", "OPEN_GRAPH", "product_name", "Shop chips", 0.6)}
     )
