@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from packlens.functions.patterns import candidates
 
@@ -15,44 +18,71 @@ def clean_boxes(boxes: DataFrame, conf_col: str = "conf") -> DataFrame:
     return boxes.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).withColumn("confidence", c)
 
 
+def _lines(boxes: list) -> list[list[int]]:
+    """Places in boxes by line and in the line: from top to bottom a box joins the first line whose first box is near enough
+    in height; lines go by their top, boxes by x."""
+    lines: list[list[int]] = []
+    y, h, x = ([b[k] for b in boxes] for k in ("y", "height", "x"))
+    for i in sorted(range(len(boxes)), key=lambda k: (y[k], boxes[k]["ord"])):
+        home = next((ln for ln in lines if abs(y[i] - y[ln[0]]) <= 0.6 * max(h[i], h[ln[0]], 1)), None)
+        lines.append([i]) if home is None else home.append(i)
+    lines.sort(key=lambda ln: min(y[i] for i in ln))
+    return [sorted(ln, key=lambda k: x[k]) for ln in lines]
+
+
 def reading_order(boxes: DataFrame) -> DataFrame:
-    """(image_id, ord, text, confidence, line, pos): from top to bottom a box joins the first line whose first
-    box is near enough in height; lines go by their top, boxes by x. One image is one small group."""
-
-    def lines_of(g: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list[int]] = []
-        y, h = g["y"].to_numpy(), g["height"].to_numpy()
-        for i in sorted(range(len(g)), key=lambda k: (y[k], g["ord"].iloc[k])):
-            home = next((ln for ln in lines if abs(y[i] - y[ln[0]]) <= 0.6 * max(h[i], h[ln[0]], 1)), None)
-            lines.append([i]) if home is None else home.append(i)
-        lines.sort(key=lambda ln: min(y[i] for i in ln))
-        x = g["x"].to_numpy()
-        rows = [(g["image_id"].iloc[i], g["ord"].iloc[i], g["text"].iloc[i], g["confidence"].iloc[i], a, b) for a, ln in enumerate(lines) for b, i in enumerate(sorted(ln, key=lambda k: x[k]))]
-        return pd.DataFrame(rows, columns=["image_id", "ord", "text", "confidence", "line", "pos"])
-
-    flat = boxes.select("image_id", "ord", "text", "confidence", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), F.col("bbox.height").alias("height"))
-    return flat.groupBy("image_id").applyInPandas(lines_of, "image_id string, ord int, text string, confidence double, line int, pos int")
-
-
-def image_text(ordered: DataFrame) -> DataFrame:
-    """(image_id, blob, boxes): words joined by blanks, lines ended by ` \\n`; boxes with their spans in it."""
-    rows = ordered.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("line", "pos", "text", "confidence", "ord"))).alias("w"))
-    piece = F.transform("w", lambda x, i: F.when(F.get("w", i + 1)["line"] > x["line"], F.concat(x["text"], F.lit(" \n"))).otherwise(F.concat(x["text"], F.lit(" "))))
-    rows = rows.withColumn("piece", piece)
-    starts = F.transform("piece", lambda p, i: F.aggregate(F.slice("piece", F.lit(1), i), F.lit(0), lambda a, q: a + F.length(q)))
-    rows = rows.withColumn("starts", starts)
-    boxes = F.transform("w", lambda x, i: F.struct(F.get("starts", i).alias("lo"), (F.get("starts", i) + F.length(x["text"])).alias("hi"), x["confidence"].alias("confidence"), x["ord"].alias("ord")))
-    return rows.select("image_id", F.rtrim(F.array_join("piece", "")).alias("blob"), boxes.alias("boxes"))
-
-
-def ocr_declarations(texts: DataFrame) -> DataFrame:
-    """Candidates of each blob with the boxes that the value's first occurrence overlaps: confidence is the
-    pattern's times their mean (0.3 at least), the source is the most confident box."""
-    c = texts.select("image_id", "blob", "boxes", F.inline(candidates(F.col("blob"))))
+    """(image_id, ord, text, confidence, line, pos). The words of an image are one list, and a worker gets many images at a
+    time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for image, found in zip(b["image_id"], b["boxes"], strict=True):
+                found = list(found)
+                rows += [(image, found[i]["ord"], found[i]["text"], found[i]["confidence"], a, p) for a, ln in enumerate(_lines(found)) for p, i in enumerate(ln)]
+            yield pd.DataFrame(rows, columns=["image_id", "ord", "text", "confidence", "line", "pos"])
+
+    flat = F.struct("ord", "text", "confidence", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), F.col("bbox.height").alias("height"))
+    lists = boxes.groupBy("image_id").agg(F.collect_list(flat).alias("boxes"))
+    return lists.mapInPandas(run, "image_id string, ord int, text string, confidence double, line int, pos int")
+
+
+def image_words(ordered: DataFrame) -> DataFrame:
+    """ordered with each word's place in its image's text: piece (the word and what follows it: a blank, and ` \\n` at the end of
+    a line), lo and hi. The offsets are one running sum an image."""
+    along = Window.partitionBy("image_id").orderBy("line", "pos")
+    ends = F.lead("line").over(along) > F.col("line")
+    words = ordered.withColumn("piece", F.concat("text", F.when(ends, F.lit(" \n")).otherwise(F.lit(" "))))
+    before = F.sum(F.length("piece")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return words.withColumn("lo", F.coalesce(before, F.lit(0)).cast("int")).withColumn("hi", F.col("lo") + F.length("text"))
+
+
+def image_text(words: DataFrame) -> DataFrame:
+    """(image_id, blob) from image_words: words joined by blanks, lines ended by ` \\n`."""
+    pieces = F.array_sort(F.collect_list(F.struct("lo", "piece")))
+    return words.groupBy("image_id").agg(F.rtrim(F.array_join(F.transform(pieces, lambda p: p["piece"]), "")).alias("blob"))
+
+
+#: Characters of a stretch of text: spans meet in the stretches that they touch, never all pairs of an image.
+_STRETCH = 64
+
+
+def ocr_declarations(words: DataFrame) -> DataFrame:
+    """Candidates of each image's text (image_id, ord, field_name, field_value, confidence, source_box) with the boxes that the
+    value's first occurrence touches: confidence is the pattern's times their mean (0.3 at least), the source is the most
+    confident box. A value that stands in no box goes by the image's first."""
+    found = image_text(words).select("image_id", "blob", F.inline(candidates(F.col("blob"))))
     at = F.instr("blob", F.col("field_value")) - 1
-    over = F.filter("boxes", lambda b: (b["lo"] <= at + F.length("field_value")) & (b["hi"] >= at))
-    used = F.when((at >= 0) & (F.size(over) > 0), over).otherwise(F.slice("boxes", 1, 1))
-    c = c.withColumn("used", used)
-    mean = F.aggregate("used", F.lit(0.0), lambda a, b: a + b["confidence"]) / F.size("used")
-    top = F.array_max(F.transform("used", lambda b: F.struct(b["confidence"], (-b["ord"]).alias("o"))))
-    return c.select("image_id", "ord", "field_name", "field_value", F.round(F.col("confidence") * F.greatest(mean, F.lit(0.3)), 3).alias("confidence"), (-top["o"]).alias("source_box"))
+    found = found.select("image_id", "ord", "field_name", "field_value", "confidence", at.alias("from"), (at + F.length("field_value")).alias("to"))
+    stretches = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / _STRETCH), F.floor(F.col(hi) / _STRETCH)))
+    spans = found.filter(F.col("from") >= 0).select("image_id", F.col("ord").alias("candidate"), "from", "to", stretches("from", "to").alias("at"))
+    boxes = words.select("image_id", F.col("ord").alias("box"), F.col("confidence").alias("c"), "lo", "hi", stretches("lo", "hi").alias("at"))
+    touch = (F.col("lo") <= F.col("to")) & (F.col("hi") >= F.col("from"))
+    once = F.col("at") == F.floor(F.greatest("lo", "from") / _STRETCH)  # spans that share several stretches meet in one
+    met = spans.join(boxes, ["image_id", "at"]).filter(touch & once)
+    best = lambda c, box: F.max_by(box, F.struct(c, -F.col(box)))
+    used = met.groupBy("image_id", "candidate").agg(F.avg("c").alias("mean"), best("c", "box").alias("source_box"))
+    first = words.filter("lo = 0").groupBy("image_id").agg(F.avg("confidence").alias("first_mean"), F.min("ord").alias("first_box"))
+    c = found.join(used.withColumnRenamed("candidate", "ord"), ["image_id", "ord"], "left").join(first, "image_id", "left")
+    mean = F.greatest(F.coalesce("mean", "first_mean"), F.lit(0.3))
+    return c.select("image_id", "ord", "field_name", "field_value", (F.floor(F.col("confidence") * mean * 1000 + 0.5) / 1000).alias("confidence"), F.coalesce("source_box", "first_box").alias("source_box"))

@@ -31,10 +31,12 @@ def declarations(lst: DataFrame) -> DataFrame:
     return page_declarations(lst).unionByName(image_declarations(lst))
 
 
-def contexts(lst: DataFrame, decl: DataFrame | None = None) -> DataFrame:
-    """One row per listing; decl: its declarations, if not those of its text."""
+def contexts(lst: DataFrame, decl: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """One row per listing; decl: its declarations, if not those of its text; images: (inspection_id, n_images, ocr_conf), if
+    not its own columns."""
     facts = context.page_status(lst.filter("has_page").select("inspection_id", "fetch_status"))
-    images = lst.filter("n_images > 0").select("inspection_id", "n_images", F.col("ocr_conf").cast("double").alias("ocr_conf"))
+    if images is None:
+        images = lst.filter("n_images > 0").select("inspection_id", "n_images", F.col("ocr_conf").cast("double").alias("ocr_conf"))
     ins = lst.select(
         "inspection_id", "batch_id", "platform", "url", "run_status", "created_day", F.concat_ws(" ", "url", "title").alias("listing_text"),
         classify.classify(F.concat_ws(" ", "title", "brand"))["category"].alias("category"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from packlens.operators import declare, rules
+from packlens.operators import context, declare, ocr, rules
 from packlens.plans import audit
 from packlens.plans.synth import listing_text
 from packlens.sources import html_parts as H
@@ -30,21 +30,52 @@ def declarations(pages: DataFrame, key: str = "inspection_id") -> DataFrame:
     return declare.dedup_candidates(declare.normalized(rows), [key])
 
 
+def image_declarations(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """What the words on an inspection's images (image_id, inspection_id) declare, each value once an image."""
+    found = ocr.ocr_declarations(ocr.image_words(ocr.reading_order(boxes))).join(images, "image_id")
+    rows = declare.normalized(found.withColumn("source_type", F.lit("IMAGE_OCR")))
+    return declare.dedup_candidates(rows, ["image_id"]).select("inspection_id", "field_name", "field_value", "confidence", "ord", "source_type", "normalized_value")
+
+
 def checks(lst: DataFrame) -> DataFrame:
-    """Every rule on every listing, from its page's HTML and its images."""
-    return rules.evaluate(audit.contexts(lst, all_declarations(lst)))
+    """Every rule on every listing, from its page's HTML and the words on its images."""
+    return judged(lst, all_declarations(lst))
+
+
+def judged(lst: DataFrame, decl: DataFrame) -> DataFrame:
+    """Every rule on listings with these declarations; how well their images could be read comes from the words' boxes."""
+    return rules.evaluate(audit.contexts(lst, decl, context.image_facts(listing_images(lst), listing_boxes(lst))))
 
 
 def all_declarations(lst: DataFrame) -> DataFrame:
     """What pages and images of listings declare."""
-    return declarations(listing_pages(lst)).unionByName(audit.image_declarations(lst))
+    return declarations(listing_pages(lst)).unionByName(image_declarations(listing_images(lst), listing_boxes(lst)))
+
+
+def listing_images(lst: DataFrame) -> DataFrame:
+    """(image_id, inspection_id): a listing's images, of which the first one shows its label."""
+    each = F.explode(F.sequence(F.lit(1), F.col("n_images").cast("int")))
+    some = lst.filter("n_images > 0").select("inspection_id", each.alias("i"))
+    return some.select(F.concat("inspection_id", F.lit("-"), F.col("i").cast("string")).alias("image_id"), "inspection_id")
+
+
+def listing_boxes(lst: DataFrame) -> DataFrame:
+    """The words on the first image of each listing, a declaration a line, slightly uneven and in no order."""
+    lines = [("MRP: Rs. ", "ocr_mrp"), ("Net Quantity: ", "ocr_qty"), ("Country of Origin: ", "ocr_country")]
+    word = lambda y: lambda w, i: F.struct(w.alias("text"), (i * 50).alias("x"), (F.lit(y) + i % 3).alias("y"))
+    shown = [F.when(F.col(c).isNotNull(), F.transform(F.split(F.concat(F.lit(label), F.col(c)), " "), word(30 * n))) for n, (label, c) in enumerate(lines)]
+    none = F.array().cast("array<struct<text:string,x:int,y:int>>")
+    words = F.concat(F.array(F.struct(F.lit("Label").alias("text"), F.lit(0).alias("x"), F.lit(-30).alias("y"))), *[F.coalesce(x, none) for x in shown])
+    each = lst.filter("n_images > 0").select(F.concat("inspection_id", F.lit("-1")).alias("image_id"), F.col("ocr_conf").cast("double").alias("confidence"), F.posexplode(F.reverse(words)).alias("ord", "w"))
+    box = F.struct(F.col("w.x").alias("x"), F.col("w.y").alias("y"), F.lit(40).alias("width"), F.lit(12).alias("height"))
+    return each.select("image_id", "ord", "w.text", "confidence", box.alias("bbox"))
 
 
 def incremental(spark: SparkSession, folder: str, schema: StructType, derive: Callable[[DataFrame], DataFrame] = all_declarations) -> Scan:
     """The job of `checks` as one that captures of listings (synth's columns and fetched_at) keep up to date in folder;
     derive: how declarations come from them, if not from the pages' HTML."""
     product = lambda c: c.select("url", "title", "brand", F.lit(None).cast("string").alias("description"), F.regexp_extract(F.coalesce("mrp_text", F.lit("")), r"[\d.]+", 0).try_cast("decimal(12,2)").alias("listed_price"), F.lit("INR").alias("currency"), "fetched_at")
-    return Scan(spark, folder, schema, derive, lambda c, decl: rules.evaluate(audit.contexts(c, decl)), product)
+    return Scan(spark, folder, schema, derive, judged, product)
 
 
 def listing_pages(lst: DataFrame) -> DataFrame:

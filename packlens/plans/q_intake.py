@@ -403,6 +403,23 @@ def fuzzy_names(spark, sf_dir):
     return p.join(q, "p_partkey").select("p_partkey", token_sort_ratio(F.col("a"), turned).alias("turned"), token_sort_ratio(F.col("a"), F.col("b")).alias("next"))
 
 
+@query(f"""WITH {LST} SELECT inspection_id, field_name, v AS field_value, floor(c * greatest(ocr_conf, 0.3)::DOUBLE * 1000 + 0.5) / 1000 AS confidence FROM
+    (SELECT inspection_id, ocr_conf, 'mrp' AS field_name, ocr_mrp AS v, 0.85::DOUBLE AS c FROM lst WHERE n_images > 0 UNION ALL SELECT inspection_id, ocr_conf, 'net_quantity', ocr_qty, 0.85::DOUBLE FROM lst WHERE n_images > 0
+     UNION ALL SELECT inspection_id, ocr_conf, 'country_of_origin', ocr_country, 0.8::DOUBLE FROM lst WHERE n_images > 0) WHERE v IS NOT NULL""")
+def ocr_fields(spark, sf_dir):
+    """C17-C20: the words on every listing's label, in reading order, as declarations with their boxes' confidence."""
+    lst = listings(spark, sf_dir)
+    return captures.image_declarations(captures.listing_images(lst), captures.listing_boxes(lst)).select("inspection_id", "field_name", "field_value", "confidence")
+
+
+@query(f"""WITH {LST} SELECT inspection_id, n_images, round(ocr_conf, 6)::DOUBLE AS ocr_conf FROM lst WHERE n_images > 0""")
+def image_evidence(spark, sf_dir):
+    """Images and mean OCR confidence of every inspection, over the words of all its images."""
+    lst = listings(spark, sf_dir)
+    facts = context.image_facts(captures.listing_images(lst), captures.listing_boxes(lst))
+    return facts.select("inspection_id", "n_images", F.round("ocr_conf", 6).alias("ocr_conf"))
+
+
 @query()
 def ocr_audit(spark, sf_dir):
     """Words of each listing laid out on an image, read in order, and turned into declarations."""
@@ -412,4 +429,4 @@ def ocr_audit(spark, sf_dir):
     lst = listings(spark, sf_dir).filter("n_images > 0").withColumn("text", listing_text())
     words = lst.select(F.concat(F.lit("m"), F.col("k").cast("string")).alias("image_id"), F.col("ocr_conf").cast("double").alias("confidence"), F.posexplode(F.split("text", " ")).alias("ord", "text"))
     box = F.struct((F.col("ord") % 4 * 50).cast("int").alias("x"), (F.floor(F.col("ord") / 4) * 20 + F.col("ord") % 3).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(12).alias("height"))
-    return ocr.ocr_declarations(ocr.image_text(ocr.reading_order(words.withColumn("bbox", box))))
+    return ocr.ocr_declarations(ocr.image_words(ocr.reading_order(words.withColumn("bbox", box))))

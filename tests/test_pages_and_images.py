@@ -49,8 +49,8 @@ def test_broken_and_empty_pages(spark):
 def test_ocr_reading_order_and_declarations(spark):
     raw = [("m", 0, "84.50", 60, 101), ("m", 1, "MRP:", 0, 100), ("m", 2, "Rs.", 30, 104), ("m", 3, "100", 70, 140), ("m", 4, "Qty:", 30, 141), ("m", 5, "Net", 0, 139), ("m", 6, "g", 90, 141), ("n", 0, "x", 0, 0)]
     boxes = spark.createDataFrame([(i, o, t, 0.9 if t == "84.50" else 0.5, (x, y, 20, 12), "e") for i, o, t, x, y in raw], readers.BOX)
-    texts = ocr.image_text(ocr.reading_order(boxes)).cache()
-    assert {r.image_id: r.blob for r in texts.collect()} == {"m": "MRP: Rs. 84.50 \nNet Qty: 100 g", "n": "x"}
+    texts = ocr.image_words(ocr.reading_order(boxes)).cache()
+    assert {r.image_id: r.blob for r in ocr.image_text(texts).collect()} == {"m": "MRP: Rs. 84.50 \nNet Qty: 100 g", "n": "x"}
     got = {r.field_name: r for r in ocr.ocr_declarations(texts).collect()}
     assert (got["mrp"].field_value, got["mrp"].confidence, got["mrp"].source_box) == ("84.50", 0.765, 0) and got["net_quantity"].field_value == "100 g"
     clean = ocr.clean_boxes(spark.createDataFrame([("a", "95"), (" ", "9"), ("b", "-1"), ("c", "x")], "text string, conf string")).collect()
