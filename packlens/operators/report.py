@@ -197,6 +197,17 @@ def report_snapshot(checks: DataFrame, key: str = "inspection_id") -> DataFrame:
     return checks.groupBy(key).agg(F.to_json(F.struct(rows.alias("rules"))).alias("snapshot"))
 
 
+def versioned_snapshot(checks: DataFrame, key: str = "inspection_id") -> DataFrame:
+    """Per inspection, as one JSON text, the rule versions that its checks used, by key: rule_key, version_number,
+    rule_reference, source_document, source_index (the document's place among those of the report, by first mention) and
+    source_locator. An inspection has a check a rule, so its list is as long as the rule set."""
+    rows = F.array_sort(F.collect_list(F.struct("rule_key", "version_number", "rule_reference", "source_document", "source_locator")))
+    own = checks.groupBy(key).agg(rows.alias("rows")).withColumn("documents", F.array_distinct(F.transform("rows", lambda r: r["source_document"])))
+    index = lambda r: F.array_position("documents", r["source_document"])
+    full = F.transform("rows", lambda r: F.struct(r["rule_key"].alias("rule_key"), r["version_number"].alias("version_number"), r["rule_reference"].alias("rule_reference"), r["source_document"].alias("source_document"), index(r).alias("source_index"), r["source_locator"].alias("source_locator")))
+    return own.select(key, F.to_json(F.struct(full.alias("rules"))).alias("snapshot"))
+
+
 def nested_documents(inspections: DataFrame, key: str = "inspection_id", **children: DataFrame) -> DataFrame:
     """One row per inspection with an array of structs per child table; each child is gathered first."""
     out = inspections

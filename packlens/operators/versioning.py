@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.window import Window
 
 #: The fields of a rule that make up its content, with what stands for a null or a missing column.
 CONTENT = {
@@ -67,3 +68,37 @@ def apply_load(store: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def current_rules(store: DataFrame) -> DataFrame:
     return store.filter("is_current AND active")
+
+
+def history(loads: DataFrame) -> DataFrame:
+    """Validity intervals of rule versions from whole rule sets loaded one after another.
+
+    loads: rule_key, loaded_at and content_hash, one row for each rule of each load, and columns of the content, which are
+    kept. Result: rule_key, version_number, valid_from, valid_until (null: still valid) and the content. A changed hash is the
+    key's next version; a load without the key ends it; a key that comes back with its last content has the same version in a
+    new interval. One window a key over its loads; only the load times, a row each, are numbered together.
+    """
+    content = [c for c in loads.columns if c not in ("rule_key", "loaded_at", "content_hash")]
+    times = loads.select("loaded_at").distinct()
+    times = times.withColumn("load", F.row_number().over(Window.orderBy("loaded_at"))).select("loaded_at", "load")
+    ends = times.select((F.col("load") - 1).alias("last"), F.col("loaded_at").alias("valid_until"))
+    along = Window.partitionBy("rule_key").orderBy("load")
+    before = F.lag("content_hash").over(along)
+    steps = loads.join(F.broadcast(times), "loaded_at")  # a row a load
+    steps = steps.withColumns({"changed": F.coalesce(~before.eqNullSafe(F.col("content_hash")), F.lit(True)) | before.isNull(), "gap": F.coalesce(F.col("load") - F.lag("load").over(along) > 1, F.lit(False))})
+    running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumns({"version_number": F.sum(F.col("changed").cast("int")).over(running).cast("int"), "run": F.sum((F.col("changed") | F.col("gap")).cast("int")).over(running)})
+    runs = steps.groupBy("rule_key", "version_number", "run").agg(F.min("loaded_at").alias("valid_from"), F.max("load").alias("last"), *[F.first(c).alias(c) for c in content])
+    return runs.join(F.broadcast(ends), "last", "left").select("rule_key", "version_number", "valid_from", "valid_until", *content)
+
+
+#: Intervals that are broadcast at most; beyond it the join shuffles by rule and adaptive execution splits hot rules.
+BROADCAST_INTERVALS = 200_000
+
+
+def as_of(rows: DataFrame, intervals: DataFrame, at: str) -> DataFrame:
+    """rows (with rule_key and the time `at`) with the version that was valid then; rows of rules that weren't are left out."""
+    i = intervals.withColumnsRenamed({"rule_key": "_rule", "valid_from": "_from", "valid_until": "_until"})
+    i = F.broadcast(i) if intervals.count() <= BROADCAST_INTERVALS else i
+    valid = (F.col("rule_key") == F.col("_rule")) & (F.col(at) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
+    return rows.join(i, valid).drop("_rule", "_from", "_until")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from packlens.functions import patterns
 from packlens.functions import text as X
@@ -264,6 +265,41 @@ def rule_load_applied(spark, sf_dir):
     return versioning.apply_load(*_store(spark, sf_dir)).select("rule_key", "version_number", "is_current", "active")
 
 
+#: Six loads of rule sets, one a year, with a rule for each part: which rules a load has, and what they say, goes by key and load.
+_HISTORY = """l AS (SELECT p_partkey AS n, i, 'N' || p_partkey AS rule_key, (p_partkey + i // 2) % 3 AS h FROM part, range(1, 7) r(i) WHERE (p_partkey + i) % 5 <> 0),
+    c AS (SELECT *, coalesce(h <> lag(h) OVER w, TRUE) AS changed, coalesce(i - lag(i) OVER w > 1, FALSE) AS gap FROM l WINDOW w AS (PARTITION BY n ORDER BY i)),
+    v AS (SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER w AS v, sum(CASE WHEN changed OR gap THEN 1 ELSE 0 END) OVER w AS run FROM c WINDOW w AS (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    hist AS (SELECT n, rule_key, CAST(v AS INT) AS version_number, make_date(1991 + min(i), 7, 1) AS valid_from, CASE WHEN max(i) < 6 THEN make_date(1992 + max(i), 7, 1) END AS valid_until FROM v GROUP BY n, rule_key, v, run)"""
+
+
+def _loads(spark, sf_dir):
+    k, i = F.col("p_partkey"), F.col("i")
+    rows = table(spark, sf_dir, "part").select(k, F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i")).filter((k + i) % 5 != 0)
+    n = k.cast("string")
+    said = F.sha2(((k + (i / 2).cast("int")) % 3).cast("string"), 256)
+    return rows.select(F.concat(F.lit("N"), n).alias("rule_key"), F.make_date(i + 1991, F.lit(7), F.lit(1)).alias("loaded_at"), said.alias("content_hash"),
+                       F.concat(F.lit("Ref "), n).alias("rule_reference"), F.concat(F.lit("Doc "), (k % 3).cast("string")).alias("source_document"), F.concat(F.lit("Rule "), n).alias("source_locator"))
+
+
+@query(f"WITH {_HISTORY} SELECT rule_key, version_number, valid_from, valid_until, row_number() OVER (PARTITION BY n ORDER BY valid_from) AS place FROM hist")
+def rule_history(spark, sf_dir):
+    """The ordered history of every rule over six loads, with the times in which each version was valid."""
+    h = versioning.history(_loads(spark, sf_dir)).select("rule_key", "version_number", "valid_from", "valid_until")
+    return h.withColumn("place", F.row_number().over(Window.partitionBy("rule_key").orderBy("valid_from")))
+
+
+@query(f"""WITH {_HISTORY}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, unnest([1, 2, 3, 4]) AS j FROM orders), x AS (SELECT DISTINCT o_orderkey, d, 1 + (o_orderkey * j * 7 + j) % 40 AS n FROM o),
+    y AS (SELECT o_orderkey, h.n, h.rule_key, h.version_number FROM x JOIN hist h ON h.n = x.n AND d >= valid_from AND (valid_until IS NULL OR d < valid_until)),
+    f AS (SELECT *, min(rule_key) OVER (PARTITION BY o_orderkey, n % 3) AS first FROM y), z AS (SELECT *, dense_rank() OVER (PARTITION BY o_orderkey ORDER BY first) AS place FROM f)
+    SELECT o_orderkey, '{{"rules":[' || string_agg('{{"rule_key":"' || rule_key || '","version_number":' || version_number || ',"rule_reference":"Ref ' || n || '","source_document":"Doc ' || n % 3 || '","source_index":' || place || ',"source_locator":"Rule ' || n || '"}}', ',' ORDER BY rule_key) || ']}}' AS snapshot
+    FROM z GROUP BY 1""")
+def report_rule_versions(spark, sf_dir):
+    """Reports, one an order, with the rule versions that were valid on their day."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.explode(F.array(*[F.lit(j) for j in (1, 2, 3, 4)])).alias("j"))
+    used = o.select("o_orderkey", "day", F.concat(F.lit("N"), (1 + (F.col("o_orderkey") * F.col("j") * 7 + F.col("j")) % 40).cast("string")).alias("rule_key")).distinct()
+    return report.versioned_snapshot(versioning.as_of(used, versioning.history(_loads(spark, sf_dir)), "day"), "o_orderkey")
+
+
 @query("""SELECT 'p' || p_partkey AS inspection_id, 'new' AS field_value FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'p' || p_partkey, 'derived' FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 <> 1
     UNION ALL SELECT 'p' || p_partkey, 'typed' FROM part WHERE p_partkey % 4 = 1""")
 def rerun_replaces(spark, sf_dir):
