@@ -114,3 +114,33 @@ def test_rules_come_back_from_a_stored_set(spark, tmp_path):
     got = rules.rules_from(rules.read_rules(spark, str(tmp_path / "rules")))
     assert got == tuple(sorted(rules.SEEDED, key=lambda r: r.rule_key))
     assert rules.rules_from(rules.rule_frame(spark).limit(0)) == ()
+
+
+def test_history_of_loads_and_as_of(spark):
+    """Changed content, a gap with the same content, a gap with other content, and the versions on given days."""
+    from packlens.operators import report, versioning
+
+    loads = {1: {"A": "x", "B": "p"}, 2: {"A": "y", "B": "p"}, 3: {"A": "y"}, 4: {"A": "y", "B": "p"}, 5: {"B": "q"}}
+    rows = [(k, day, h, f"Doc {h}", f"Ref {k}", "loc") for day, rules in loads.items() for k, h in rules.items()]
+    frame = spark.createDataFrame(rows, "rule_key string, loaded_at int, content_hash string, source_document string, rule_reference string, source_locator string")
+    h = versioning.history(frame)
+    got = sorted(tuple(r) for r in h.select("rule_key", "version_number", "valid_from", "valid_until").collect())
+    assert [tuple(-1 if x is None else x for x in r) for r in sorted(got, key=lambda r: (r[0], r[2]))] == [("A", 1, 1, 2), ("A", 2, 2, 5), ("B", 1, 1, 3), ("B", 1, 4, 5), ("B", 2, 5, -1)]
+    used = spark.createDataFrame([("i", k, d) for d in (3,) for k in ("A", "B")] + [("j", "A", 1), ("j", "B", 1), ("k", "B", 9), ("l", "A", 0)], "inspection_id string, rule_key string, day int")
+    found = versioning.as_of(used, h, "day")
+    assert sorted((r.inspection_id, r.rule_key, r.version_number) for r in found.collect()) == [("i", "A", 2), ("j", "A", 1), ("j", "B", 1), ("k", "B", 2)]
+    (snap,) = [r.snapshot for r in report.versioned_snapshot(found).filter("inspection_id = 'j'").collect()]
+    assert snap == (
+        '{"rules":[{"rule_key":"A","version_number":1,"rule_reference":"Ref A","source_document":"Doc x","source_index":1,"source_locator":"loc"},'
+        '{"rule_key":"B","version_number":1,"rule_reference":"Ref B","source_document":"Doc p","source_index":2,"source_locator":"loc"}]}'
+    )
+
+
+def test_ocr_hint_in_the_reason(spark):
+    ins = spark.createDataFrame([("a", "u", "t", "FOOD")], "inspection_id string, url string, listing_text string, category string")
+    none = spark.createDataFrame([], "inspection_id string, field_name string, field_value string, normalized_value string, source_type string, confidence double, ord int")
+    pages = spark.createDataFrame([], "inspection_id string, has_page_row boolean, fetched boolean")
+    imgs = spark.createDataFrame([("a", 1, 0.62)], "inspection_id string, n_images long, ocr_conf double")
+    manner = [r for r in rules.SEEDED if r.rule_key == "R9-MANNER"]
+    (r,) = rules.evaluate(context.build_context(ins, none, pages, imgs), tuple(manner)).collect()
+    assert r.status == "NEEDS_MANUAL_REVIEW" and "62%" in r.reason
