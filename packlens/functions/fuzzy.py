@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .text import normalize_date, not_blank
+
 
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit vectors."""
@@ -52,3 +55,17 @@ def fuzzy_date(as_of: str):
         return s.map(one).astype(object).where(lambda x: x.notna(), None)
 
     return parse
+
+
+def with_dates(df: DataFrame, value: str, out: str, as_of: str, wanted: Column | None = None) -> DataFrame:
+    """df with `out` as ISO dates of the text column `value`, in two tiers; of an `out` that df has already, only nulls are
+    filled. The listed formats are tried in generated code; only the distinct texts that they leave go to Python
+    and come back by a join on the text (split or broadcast by adaptive execution). wanted: which rows hold dates
+    (default: all). Null and blank texts and those without a date give null; an empty table stays empty."""
+    wanted = F.lit(True) if wanted is None else wanted
+    old = F.col(out) if out in df.columns else F.lit(None).cast("string")
+    first = df.withColumn(out, F.coalesce(old, F.when(wanted, normalize_date(F.col(value)))))
+    left = first.filter(wanted & F.col(out).isNull() & not_blank(F.col(value))).select(F.col(value).alias("_text")).distinct()
+    parsed = left.select("_text", fuzzy_date(as_of)(F.col("_text")).alias("_date"))
+    joined = first.join(parsed, wanted & F.col(out).isNull() & (F.col(value) == F.col("_text")), "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), F.col("_date"))).select(*first.columns)

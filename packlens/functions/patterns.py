@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let, running, strip, upto
 from .vocab import ADDRESS_OF
 
 _S = r"[\s\p{Z}]*"
@@ -83,11 +84,17 @@ def _row(field: str, value: Column, confidence: float, ord_: Column) -> Column:
     )
 
 
-def _guarded(text: Column, low: Column, k: int) -> Column:
+def _address(name: Column, after: Column) -> Column:
+    """The address in the characters after a name, up to its PIN code; empty where there is none or the name is no name."""
+    found = F.regexp_replace(F.regexp_extract(after, r"^[\s\S]*?\b\d{6}\b", 0), r"^[\s,;:|\-]+", "")
+    return F.when(name.rlike(NOT_A_NAME) | (name == ""), F.lit("")).otherwise(found)
+
+
+def _guarded(text: Column, low: Column, k: int, of=None, row: str = ONE) -> Column:
     """The candidates of pattern k, or none where the text lacks its anchors."""
     may = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ANCHORS[k]])
-    none = F.array().cast(f"array<{ONE}>")
-    return F.when(may, _of(text, k, *PATTERNS[k]).cast(f"array<{ONE}>")).otherwise(none)
+    none = F.array().cast(f"array<{row}>")
+    return F.when(may, (of or _of)(text, k, *PATTERNS[k]).cast(f"array<{row}>")).otherwise(none)
 
 
 def _of(text: Column, k: int, field: str, pattern: str, confidence: float) -> Column:
@@ -103,14 +110,7 @@ def _of(text: Column, k: int, field: str, pattern: str, confidence: float) -> Co
             both,
             lambda x, i: F.array(
                 _row(field, clean(x["v"]), confidence, i * 2 + base),
-                _row(
-                    ADDRESS_OF[field],
-                    F.when(clean(x["v"]).rlike(NOT_A_NAME), F.lit("")).otherwise(
-                        F.regexp_replace(F.regexp_extract(x["w"], r"^[\s\S]*?\b\d{6}\b", 0), r"^[\s,;:|\-]+", "")
-                    ),
-                    ADDRESS_CONFIDENCE,
-                    i * 2 + 1 + base,
-                ),
+                _row(ADDRESS_OF[field], _address(clean(x["v"]), x["w"]), ADDRESS_CONFIDENCE, i * 2 + 1 + base),
             ),
         )
     )
@@ -129,3 +129,49 @@ def pattern_candidates(text: Column, field: str) -> Column:
     text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
     return F.concat(*[_guarded(text, low, k) for k, p in enumerate(PATTERNS) if p[0] == field])
+
+
+#: Characters shown on either side of a match, and characters behind a name in which its address is looked for.
+AROUND, AHEAD = 20, 220
+LOCATED = "struct<field_name:string,field_value:string,confidence:double,ord:int,start_at:int,end_at:int,snippet:string>"
+
+
+def _located(text: Column, k: int, field: str, pattern: str, confidence: float) -> Column:
+    """As _of, with places. Each match is taken with the gap before it, from the end of the last match on (\\G), so the lengths
+    of the pieces add up to offsets in one pass and no text is searched twice."""
+    base = 1000 * (k + 1)
+    found = lambda g: F.regexp_extract_all(text, F.lit(rf"(?iu)\G([\s\S]*?)(?:{pattern})(?=([\s\S]{{0,{AHEAD}}}))"), F.lit(g))
+    pieces = F.arrays_zip(found(0).alias("piece"), found(1).alias("gap"), found(2).alias("v"), found(3).alias("ahead"))
+
+    def rows(p: Column, at: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            # every piece has a character or more, so the last AROUND of them hold what is shown before the match
+            last = F.transform(upto(F.greatest(i - AROUND, F.lit(0)), i), lambda j: F.right(F.get(p, j)["piece"], F.lit(AROUND)))
+            before = F.right(F.concat(F.array_join(last, ""), x["gap"]), F.lit(AROUND))
+            match = F.substring(x["piece"], F.length(x["gap"]) + 1, F.length(x["piece"]))
+            start, end = F.get(at, i) + F.length(x["gap"]), F.get(at, i) + F.length(x["piece"])
+            shown = lambda after: strip(F.concat(before, match, after)).alias("snippet")
+            row = lambda name, v, c, o, after: F.struct(
+                F.lit(name).alias("field_name"), v.alias("field_value"), F.lit(c).alias("confidence"), o.cast("int").alias("ord"),
+                start.cast("int").alias("start_at"), end.cast("int").alias("end_at"), shown(after),
+            )
+            value = clean(x["v"])
+            if field not in ADDRESS_OF:
+                return F.array(row(field, value, confidence, i * 2 + base, F.left(x["ahead"], F.lit(AROUND))))
+            name = F.when(value.rlike(NOT_A_NAME), F.lit("")).otherwise(value)
+            return F.array(
+                row(field, name, confidence, i * 2 + base, F.left(x["ahead"], F.lit(AROUND))),
+                row(ADDRESS_OF[field], _address(value, x["ahead"]), ADDRESS_CONFIDENCE, i * 2 + 1 + base, x["ahead"]),
+            )
+
+        return F.filter(F.flatten(F.transform(p, one)), lambda r: r["field_value"] != "")
+
+    return let(pieces, lambda p: let(running(F.transform(p, lambda x: F.length(x["piece"]))), lambda at: rows(p, at)))
+
+
+def located(text: Column) -> Column:
+    """candidates() with the place of each match (code points from 0, end exclusive) and what stands around it: 20 characters
+    on either side, for an address all in which it was looked for. An address has the place of its name's match."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    return F.concat(*[_guarded(text, low, k, _located, LOCATED) for k in range(len(PATTERNS))])

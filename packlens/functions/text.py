@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +18,31 @@ LOCALITY = r"[A-Za-z]+\s*,\s*[A-Za-z]+"
 WHEN_PACKED = r"(?i)when\s+packed|at\s+the\s+time\s+of\s+packing"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c), with c worked out once however often body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def upto(start: Column, end: Column) -> Column:
+    """The integers from start to end, without end; none where start reaches it."""
+    return F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def running(xs: Column, block: int = 64) -> Column:
+    """For each element of an array of integers the sum of those before it. Blocks are summed first, so n elements cost about
+    n * block / 2 + (n / block)^2 / 2 additions. Elements are read by place, as a slice would copy the whole array."""
+    zero = F.lit(0)
+    total = lambda a, start, end: F.aggregate(upto(start, end), zero.cast("bigint"), lambda s, j: s + F.get(a, j))
+    div = lambda i: F.floor(i / block).cast("int")
+
+    def sums(x: Column) -> Column:
+        n = F.size(x)
+        return F.transform(upto(zero, div(n + (block - 1))), lambda b: total(x, b * block, F.least((b + 1) * block, n)))
+
+    starts = lambda x: let(sums(x), lambda t: F.transform(t, lambda _, b: total(t, zero, b)))
+    return let(xs, lambda x: let(starts(x), lambda t: F.transform(x, lambda _, i: F.get(t, div(i)) + total(x, div(i) * block, i))))
+
+
 def strip(c: Column) -> Column:
     """Both ends without any white space."""
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
@@ -83,7 +109,8 @@ def normalize_value(field: Column, value: Column) -> Column:
 
 
 def looks_like_date(c: Column) -> Column:
-    """Month/year or a month's name with a year, or one of the listed date formats."""
+    """Month/year or a month's name with a year, or one of the listed date formats. Dates in other words are known by
+    their normalised value (fuzzy.with_dates)."""
     months = r"(?i)\b\d{1,2}\s*[/.-]\s*\d{2,4}\b|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s.,'-]*\d{2,4}\b"
     return F.coalesce(c.rlike(months) | normalize_date(c).isNotNull(), F.lit(False))
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from packlens.functions.fuzzy import with_dates
 from packlens.functions.patterns import candidates
 from packlens.functions.text import normalize_value, not_blank
 
+DATE_FIELDS = ("mfg_date", "best_before_date")
 SOURCE_RANK = {"WEBPAGE_TEXT": 0, "STRUCTURED_METADATA": 0, "IMAGE_OCR": 1, "USER_INPUT": 2}
 
 
@@ -24,8 +26,10 @@ def text_declarations(pages: DataFrame, keys: list[str], text_col: str) -> DataF
     return pages.select(*keys, F.inline(candidates(F.col(text_col)))).filter(not_blank(F.col("field_value")))
 
 
-def normalized(decl: DataFrame) -> DataFrame:
-    return decl.withColumn("normalized_value", normalize_value(F.col("field_name"), F.col("field_value")))
+def normalized(decl: DataFrame, as_of: str | None = None) -> DataFrame:
+    """as_of: the day that lends dates their missing parts; with it, dates in other than the listed forms are read too."""
+    out = decl.withColumn("normalized_value", normalize_value(F.col("field_name"), F.col("field_value")))
+    return out if as_of is None else with_dates(out, "field_value", "normalized_value", as_of, F.col("field_name").isin(*DATE_FIELDS))
 
 
 def dedup_candidates(decl: DataFrame, source_key: list[str]) -> DataFrame:

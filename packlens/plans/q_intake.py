@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from packlens.functions import patterns
 from packlens.functions import text as X
-from packlens.functions.fuzzy import token_sort_ratio
+from packlens.functions.fuzzy import token_sort_ratio, with_dates
 from packlens.operators import context, declare, intake, products, report, versioning
 from packlens.plans import captures
 from packlens.plans.oracle import LST
@@ -52,13 +52,26 @@ def normalized_values(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey, strftime(CASE o_orderkey % 5 WHEN 4 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END, '%Y-%m-%d') AS iso, TRUE AS looks FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN k < 7 THEN strftime(CASE k WHEN 4 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END, '%Y-%m-%d') END AS iso, k < 7 AS looks FROM (SELECT *, o_orderkey % 9 AS k FROM orders)""")
 def normalized_dates(spark, sf_dir):
-    """dates in several written forms."""
-    forms = ("yyyy-MM-dd", "d/M/yyyy", "d.M.yyyy", "d MMM yyyy", "MMMM yyyy")
-    o = table(spark, sf_dir, "orders")
-    text = F.coalesce(*[F.when(F.col("o_orderkey") % 5 == i, F.date_format("o_orderdate", f)) for i, f in enumerate(forms)])
-    return o.select("o_orderkey", X.normalize_date(text).alias("iso"), X.looks_like_date(text).alias("looks"))
+    """dates in listed forms, in others that the second tier reads, and texts without any."""
+    forms = ("yyyy-MM-dd", "d/M/yyyy", "d.M.yyyy", "d MMM yyyy", "MMMM yyyy", "'packed on the 'd' of 'MMMM', 'yyyy' at noon'", "EEEE' 'd'-'MMM'-'yyyy")
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 9
+    text = F.coalesce(*[F.when(k == i, F.date_format("o_orderdate", f)) for i, f in enumerate(forms)], F.when(k == 7, "best when fresh"))
+    dated = with_dates(o.select("o_orderkey", text.alias("text")), "text", "iso", "2024-05-01")
+    return dated.select("o_orderkey", "iso", (X.looks_like_date(F.col("text")) | F.col("iso").isNotNull()).alias("looks"))
+
+
+@query("""WITH t AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS n, length(CAST(p_partkey AS VARCHAR)) AS L, 'Item ' || p_partkey || ' 😀 | MRP: Rs. ' || p_partkey || '.50 | शुद्ध मात्रा: ' || p_partkey || ' ग्राम | Packed by: Box ' || p_partkey || ', Pune 411001 | thank you, come again, all of you and your friends' AS s FROM part),
+    m AS (SELECT *, length(f) AS w, strpos(s, f) - 1 AS a FROM (SELECT *, 'mrp' AS field_name, n || '.50' AS field_value, 'MRP: Rs. ' || n || '.50' AS f FROM t UNION ALL SELECT *, 'net_quantity', n || ' ग्राम', 'शुद्ध मात्रा: ' || n || ' ग्राम' FROM t
+      UNION ALL SELECT *, 'packer_name', 'Box ' || n, 'Packed by: Box ' || n FROM t UNION ALL SELECT *, 'packer_address', 'Pune 411001', 'Packed by: Box ' || n FROM t))
+    SELECT p_partkey, field_name, field_value, a AS start_at, a + w AS end_at, trim(substr(s, greatest(a - 20, 0) + 1, a + w + CASE field_name WHEN 'packer_address' THEN 220 ELSE 20 END - greatest(a - 20, 0))) AS snippet FROM m""")
+def declaration_snippets(spark, sf_dir):
+    """What stands around every match, English and Hindi, with its place in code points."""
+    n = F.col("p_partkey").cast("string")
+    t = F.concat(F.lit("Item "), n, F.lit(" 😀 | MRP: Rs. "), n, F.lit(".50 | शुद्ध मात्रा: "), n, F.lit(" ग्राम | Packed by: Box "), n, F.lit(", Pune 411001 | thank you, come again, all of you and your friends"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.inline(patterns.located(t)))
+    return rows.select("p_partkey", "field_name", "field_value", F.col("start_at").cast("bigint").alias("start_at"), F.col("end_at").cast("bigint").alias("end_at"), "snippet")
 
 
 @query("SELECT page_id, sha256(lower(trim(url))) AS url_hash, sha256(html) AS page_hash FROM pages")
