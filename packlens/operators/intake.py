@@ -132,15 +132,17 @@ def url_positions(batches: DataFrame) -> DataFrame:
 def accept_urls(urls: DataFrame, limit: int = 50) -> DataFrame:
     """(batch_id, pos, url) with decision: accepted, too short, duplicate, or over limit. The first `limit`
     distinct URLs of a batch are accepted; a repeat of one of those is a duplicate, any later URL is over
-    the limit. Distinct URLs are counted first, so a long list is only sorted once it is reduced."""
+    the limit. Only the accepted URLs are ranked: every task keeps its first `limit` of a batch and no more of them meet
+    in one, so a batch of any length is spread."""
     u = urls.withColumn("url", strip(F.coalesce("url", F.lit(""))))
     long_ = F.length("url") >= 8
     first = u.filter(long_).groupBy("batch_id", "url").agg(F.min("pos").alias("first_pos"))
-    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("batch_id").orderBy("first_pos")))
-    j = u.join(first, ["batch_id", "url"], "left")
+    nth = F.row_number().over(Window.partitionBy("batch_id").orderBy("first_pos"))
+    some = first.withColumn("nth", nth).filter(F.col("nth") <= limit).drop("nth")
+    j = u.join(some, ["batch_id", "url"], "left")
     return j.select(
         "batch_id", "pos", "url",
-        F.when(~long_, "too short").when(F.col("nth") > limit, "over limit").when(F.col("pos") > F.col("first_pos"), "duplicate").otherwise("accepted").alias("decision"),
+        F.when(~long_, "too short").when(F.col("first_pos").isNull(), "over limit").when(F.col("pos") > F.col("first_pos"), "duplicate").otherwise("accepted").alias("decision"),
     )
 
 

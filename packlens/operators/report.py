@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from packlens.functions.text import display_label
 from packlens.functions.vocab import NA, NMR, PASS, PNC, UTV
 
+from .places import placed
+from .rules import overall_status
+
 STATUSES = (PASS, PNC, NMR, UTV, NA)
 STATUS_LABELS = {PASS: "Compliant", PNC: "Potential non-compliance", NMR: "Needs manual review", UTV: "Unable to verify", NA: "Not applicable"}
 
@@ -40,6 +43,15 @@ def triage_metrics(violations: DataFrame, key: str = "inspection_id") -> DataFra
     )
 
 
+def outcomes(checks: DataFrame, key: str = "inspection_id") -> DataFrame:
+    """overall_status and the triage metrics of each inspection by one aggregation; no finding means 0."""
+    bad = F.col("status") == PNC
+    return overall_status(
+        checks, key, F.count_if(bad).alias("n_violations"), F.count_if(bad & (F.col("severity") == "CRITICAL")).alias("n_critical"),
+        F.coalesce(F.max(F.when(bad, F.col("confidence"))), F.lit(0.0)).alias("max_confidence"),
+    )
+
+
 def with_metrics(inspections: DataFrame, violations: DataFrame, key: str = "inspection_id") -> DataFrame:
     j = inspections.join(triage_metrics(violations, key), key, "left")
     zero = {"n_violations": F.lit(0).cast("bigint"), "n_critical": F.lit(0).cast("bigint"), "max_confidence": F.lit(0.0)}
@@ -52,9 +64,9 @@ def severity_rank(status: Column) -> Column:
 
 
 def triage_queue(items: DataFrame, batch: str = "batch_id", key: str = "inspection_id") -> DataFrame:
-    """Place of each inspection in its batch, worst first."""
-    w = Window.partitionBy(batch).orderBy(severity_rank(F.col("overall_status")), F.desc("n_critical"), F.desc("n_violations"), F.desc("max_confidence"), key)
-    return items.withColumn("place", F.row_number().over(w))
+    """Place of each inspection in its batch, worst first. A batch may hold most of the rows: no task holds all of it."""
+    order = [severity_rank(F.col("overall_status")), F.desc("n_critical"), F.desc("n_violations"), F.desc("max_confidence"), F.col(key)]
+    return placed(items, batch, order)
 
 
 def priority_findings(checks: DataFrame, key: str = "inspection_id") -> DataFrame:
@@ -208,10 +220,22 @@ def versioned_snapshot(checks: DataFrame, key: str = "inspection_id") -> DataFra
     return own.select(key, F.to_json(F.struct(full.alias("rules"))).alias("snapshot"))
 
 
-def nested_documents(inspections: DataFrame, key: str = "inspection_id", **children: DataFrame) -> DataFrame:
-    """One row per inspection with an array of structs per child table; each child is gathered first."""
-    out = inspections
-    for name, child in children.items():
-        cols = [c for c in child.columns if c != key]
-        out = out.join(child.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias(name)), key, "left")
-    return out
+def nested_documents(parents: DataFrame, key: str = "inspection_id", **children: DataFrame) -> DataFrame:
+    """One row per parent with an array of structs for each child table, in the order of the child's columns (but the key).
+
+    Parents and children are one tagged union and meet in one aggregation, whatever the number of child tables. A parent
+    without children of a kind has an empty array; children without a parent, or without a key, are left out, as are parents
+    without a key. Equal children are all kept. Deeper trees nest the children first. A document is one row, so a
+    parent's children have to fit into a row."""
+    kinds = {"_parent": parents, **children}
+
+    def tagged(name: str, df: DataFrame) -> DataFrame:
+        return df.filter(F.col(key).isNotNull()).select(key, F.struct(*[c for c in df.columns if c != key]).alias(name))
+
+    union = None
+    for name, df in kinds.items():
+        one = tagged(name, df)
+        union = one if union is None else union.unionByName(one, allowMissingColumns=True)
+    arrays = [F.array_sort(F.collect_list(name)).alias(name) for name in children]
+    found = union.groupBy(key).agg(F.any_value("_parent", True).alias("_parent"), *arrays).filter("_parent IS NOT NULL")
+    return found.select(key, "_parent.*", *children)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packlens.functions import vocab
 from packlens.functions.vocab import LISTING_SOURCES
 from packlens.operators import classify, declare, report, rules, versioning
 from packlens.plans import audit, captures
@@ -165,8 +166,8 @@ def status_groups(spark, sf_dir):
     FROM overall LEFT JOIN m USING (inspection_id)""")
 def triage_queue(spark, sf_dir):
     """Each batch worst first."""
-    c = _checks(spark, sf_dir)
-    items = report.with_metrics(_overall(spark, sf_dir, c), rules.violations(c))
+    lst = listings(spark, sf_dir)
+    items = lst.select("inspection_id", "batch_id").join(report.outcomes(audit.checks(lst)), "inspection_id")
     return report.triage_queue(items).select("batch_id", "inspection_id", "n_violations", "n_critical", "place")
 
 
@@ -269,12 +270,40 @@ def source_documents(spark, sf_dir):
     return report.source_index(_checks(spark, sf_dir))
 
 
-@query()
+#: A child kind as one text: its rows in order, columns parted by '=', rows by ','.
+_NESTED = f"""WITH {CHECKS}, decl AS (SELECT inspection_id, field_name || '=' || field_value AS t, field_name AS a, field_value AS b FROM ({_PAGE_SQL})),
+    d AS (SELECT inspection_id, string_agg(t, ',' ORDER BY a, b) AS declarations FROM decl GROUP BY 1),
+    c AS (SELECT inspection_id, string_agg(rule_key || '=' || status || CASE WHEN status = {PNC} AND k % 4 = 0 THEN '=reviewed' ELSE '' END, ',' ORDER BY rule_key) AS checks FROM checks GROUP BY 1),
+    i AS (SELECT inspection_id, string_agg('m' || n || '=' || CASE WHEN n = 1 THEN 'MRP+price' ELSE '' END, ',' ORDER BY n) AS images FROM (SELECT inspection_id, unnest(range(1, n_images + 1)) AS n FROM lst) GROUP BY 1)
+    SELECT inspection_id, url, coalesce(declarations, '') AS declarations, checks, coalesce(images, '') AS images, CASE WHEN has_page THEN fetch_status ELSE '' END AS pages,
+      CASE run_status WHEN 'CREATED' THEN '' WHEN 'IN_PROGRESS' THEN '1=SCRAPE' ELSE '1=SCRAPE,2=DONE' END AS events FROM lst JOIN c USING (inspection_id) LEFT JOIN d USING (inspection_id) LEFT JOIN i USING (inspection_id)"""
+
+
+@query(_NESTED)
 def nested_inspections(spark, sf_dir):
-    """Inspections with their declarations and checks as arrays."""
+    """Inspections with declarations, checks and their reviews, images and their words, pages, and events as ordered arrays."""
     lst = listings(spark, sf_dir)
-    kids = {"declarations": audit.declarations(lst).select("inspection_id", "field_name", "field_value"), "checks": audit.checks(lst).select("inspection_id", "rule_key", "status")}
-    return report.nested_documents(lst.select("inspection_id", "url"), **kids)
+    images = lst.filter("n_images > 0").select("inspection_id", F.explode(F.sequence(F.lit(1), F.col("n_images").cast("int"))).alias("n"))
+    images = images.withColumn("image_id", F.concat_ws("/", "inspection_id", F.col("n").cast("string")))
+    words = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(t).alias("text")) for o, t in ((2, "price"), (1, "MRP"))])
+    nested_images = report.nested_documents(images, "image_id", words=images.filter("n = 1").select("image_id", F.inline(words))).select("inspection_id", "n", "words")
+    checks = audit.checks(lst).select("inspection_id", "rule_key", "status").withColumn("check_id", F.concat_ws("/", "inspection_id", "rule_key"))
+    seen = (F.col("status") == vocab.PNC) & (F.substring("inspection_id", 2, 20).cast("bigint") % 4 == 0)
+    nested_checks = report.nested_documents(checks, "check_id", reviews=checks.filter(seen).select("check_id", F.lit("reviewed").alias("note"))).select("inspection_id", "rule_key", "status", "reviews")
+    stage = lambda n, name: F.struct(F.lit(n).alias("n"), F.lit(name).alias("stage"))
+    stages = F.when(F.col("run_status") == "IN_PROGRESS", F.array(stage(1, "SCRAPE"))).when(F.col("run_status") != "CREATED", F.array(stage(2, "DONE"), stage(1, "SCRAPE")))
+    full = report.nested_documents(
+        lst.select("inspection_id", "url"), declarations=audit.page_declarations(lst).select("inspection_id", "field_name", "field_value"), checks=nested_checks, images=nested_images,
+        pages=lst.filter("has_page").select("inspection_id", "fetch_status"), events=lst.select("inspection_id", F.inline(stages)),
+    )
+    text = lambda kind, one: F.array_join(F.transform(kind, one), ",").alias(kind)
+    joined = lambda *xs: F.concat_ws("=", *xs)
+    return full.select(
+        "inspection_id", "url", text("declarations", lambda x: joined(x["field_name"], x["field_value"])),
+        text("checks", lambda x: joined(x["rule_key"], x["status"], F.transform(x["reviews"], lambda r: r["note"]))),
+        text("images", lambda x: F.concat(F.lit("m"), x["n"].cast("string"), F.lit("="), F.array_join(F.transform(x["words"], lambda w: w["text"]), "+"))),
+        text("pages", lambda x: x["fetch_status"]), text("events", lambda x: joined(x["n"].cast("string"), x["stage"])),
+    )
 
 
 @query(f"WITH {LST} SELECT inspection_id, platform, 'o2' AS officer_id FROM lst WHERE officer_id = 'o2' ORDER BY created_day DESC, inspection_id LIMIT 20 OFFSET 10")
