@@ -40,8 +40,23 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return text.select("batch_id", F.posexplode("urls").alias("pos", "url"))
 
 
-def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 64) -> DataFrame:
-    return spark.read.jdbc(url, name, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
+def jdbc_bounds(spark: SparkSession, url: str, name: str, key: str, **options: str) -> tuple[int, int, int]:
+    """(least key, greatest key, rows) of a table, asked of the database; keys are 0 where there is none.
+    Names are written as the database wants them, quoted if need be."""
+    ask = f"SELECT MIN({key}) AS lo, MAX({key}) AS hi, COUNT(*) AS n FROM {name}"
+    r = spark.read.format("jdbc").options(url=url, query=ask, **options).load().first()
+    lo, hi, n = (int(v) if v is not None else 0 for v in r)
+    return lo, hi, n
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, key: str, rows: int = 1_000_000, most: int = 256, **options: str) -> DataFrame:
+    """A database table read in parts by ranges of an integer key, which a first query bounds; about `rows` rows a part where keys
+    are spread evenly, and at most `most` parts, as each is a connection. Rows with a null key come with the first part,
+    keys beyond the bounds (rows added since) with the outer ones; an empty table gives no rows."""
+    lo, hi, n = jdbc_bounds(spark, url, name, key, **options)
+    parts = min(most, max(1, -(-n // rows)), hi - lo + 1)
+    where = {"partitionColumn": key, "lowerBound": str(lo), "upperBound": str(hi + 1), "numPartitions": str(parts)} if parts > 1 else {}
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **where, **options).load()
 
 
 def write_results(run_date: str, folder: str, **tables: DataFrame) -> None:
