@@ -17,7 +17,7 @@ from .common import cut, maybe_broadcast, without
 #: Unit words that turn into a placeholder after a number.
 UNITS = "kg|g|mg|lb|lbs|km|m|cm|mm|ft|miles?|meters?|metres?|l|ml|litres?|liters?|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent"
 NAME, NUMBER, UNIT = "~", "#", "^"
-TEMPLATE, EXACT = 0, 1
+TEMPLATE, EXACT, WHOLE = 0, 1, 2
 
 
 def plain_text(text: Column) -> Column:
@@ -51,28 +51,32 @@ def word_hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def _windows(toks: DataFrame, hashes: dict[int, str], widths: list[int]) -> DataFrame:
+def _windows(toks: DataFrame, hashes: dict[int, str], widths: list[int], least: int) -> DataFrame:
     """(id, pos, h): all windows of the given widths over each kind's column of word hashes; kind and width are part of
-    h, which is null where a window would pass the end. Rows are made one by one in generated code: arrays
-    of windows would be interpreted, and as large as many copies of the text."""
+    h, which is null where a window would pass the end. A text of fewer than `least` words, which no width is below, is
+    one window of its own. Rows are made one by one in generated code: arrays of windows would be interpreted, and as
+    large as many copies of the text."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("a")) for k, c in hashes.items()])
     every = toks.select("id", F.inline_outer(kinds)).select("*", F.explode_outer(F.sequence(F.lit(0), F.size("a"))).alias("pos"))
     at = lambda n: F.when(F.col("pos") + n <= F.size("a"), F.xxhash64("kind", F.lit(n), *[F.get("a", F.col("pos") + j) for j in range(n)]))
-    return every.select("id", "pos", F.explode_outer(F.array(*[at(n) for n in widths])).alias("h"))
+    whole = F.when((F.col("kind") == EXACT) & (F.col("pos") == 0) & (F.size("a") < least), F.xxhash64(F.lit(WHOLE), F.size("a"), "a"))
+    return every.select("id", "pos", F.explode_outer(F.array(F.coalesce(at(widths[0]), whole), *[at(n) for n in widths[1:]])).alias("h"))
 
 
-def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, width: int, literals: int) -> DataFrame:
+def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, width: int, literals: int, least: int) -> DataFrame:
     """(h, kind, width, item_id, item_pos, slotted, total): windows of the template with at least `literals` words that
     are no placeholders, and all windows of the words; items shorter than width are one window of their own
-    length. total: the windows of one kind that the item has."""
+    length. Of an item with fewer than `least` words there is only its whole sequence of words, of kind EXACT. total: the windows of one kind that the item has."""
     plain = plain_text(F.col(text_col))
     t = bench.select(F.col(item_col).alias("item_id"), words(template_text(value_text(plain))).alias("t"), words(F.lower(plain)).alias("x")).dropna(subset=["item_id"])
     t = t.select("item_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, c in ((TEMPLATE, "t"), (EXACT, "x"))])))
-    t = t.withColumn("width", F.least(F.lit(width), F.size("t"))).filter("width > 0")
+    short = t.filter((F.col("kind") == EXACT) & F.size("t").between(1, least - 1))
+    short = short.select(F.xxhash64(F.lit(WHOLE), F.size("t"), word_hashes(F.col("t"))).alias("h"), "kind", F.lit(width).alias("width"), "item_id", F.lit(0).alias("item_pos"), F.lit(False).alias("slotted"))
+    t = t.withColumn("width", F.least(F.lit(width), F.size("t"))).filter(F.col("width") >= least)
     w = t.select("item_id", "kind", "t", "width", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("item_pos"))
     w = w.withColumn("win", F.slice("t", F.col("item_pos") + 1, F.col("width"))).withColumn("slots", F.size(F.filter("win", _is_slot)))
     w = w.filter((F.col("kind") == EXACT) | (F.col("width") - F.col("slots") >= literals))
-    w = w.select(F.xxhash64("kind", "width", word_hashes(F.col("win"))).alias("h"), "kind", "width", "item_id", "item_pos", (F.col("slots") > 0).alias("slotted")).distinct()
+    w = w.select(F.xxhash64("kind", "width", word_hashes(F.col("win"))).alias("h"), "kind", "width", "item_id", "item_pos", (F.col("slots") > 0).alias("slotted")).unionByName(short).distinct()
     total = w.groupBy("item_id", "kind").agg(F.count_distinct("item_pos").alias("total"))
     return w.join(total, ["item_id", "kind"])
 
@@ -88,6 +92,7 @@ def find_leaks(
     literals: int = 3,
     enough: int = 6,
     share: float = 0.5,
+    least: int = 4,
 ) -> DataFrame:
     """One row per (document id, item) that leaks: id, item_id, n_windows, n_total, coverage, exact, consistent.
 
@@ -97,17 +102,21 @@ def find_leaks(
     or so many windows without placeholders. The columns tell of the alignment with the largest coverage; exact: all
     its placeholder values agree.
 
+    An item of fewer than `least` words (at most width), such as a one-word answer, leaks only in a text that is, but for
+    case and punctuation, that item and nothing else: inside other texts such words stand by chance.
+
     Null or empty texts leak nothing; null ids on either side are left out; rows that share an id are
     judged together. Whole texts are read, whatever their length. An empty table on either side gives an empty result;
     other columns are ignored, whatever their names.
     """
-    bw = cut(benchmark_windows(bench, item_col, item_text_col, width, literals), "benchmark")
+    least = max(1, min(least, width))
+    bw = cut(benchmark_windows(bench, item_col, item_text_col, width, literals, least), "benchmark")
     keyed = maybe_broadcast(bw.select("h", "kind", "item_id", "item_pos", "slotted", "total"), bw.count())
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     plain = base.select("id", plain_text(F.col("text")).alias("plain"))
     toks = plain.select("id", word_hashes(words(template_text(value_text(F.col("plain"))))).alias("t"), word_hashes(words(F.lower("plain"))).alias("x"))
     widths = [r["width"] for r in bw.select("width").distinct().collect()] or [width]  # at most `width` values
-    met = _windows(toks, {TEMPLATE: "t", EXACT: "x"}, widths).join(keyed, "h")
+    met = _windows(toks, {TEMPLATE: "t", EXACT: "x"}, widths, least).join(keyed, "h")
     lines = met.groupBy("id", "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("delta"), "total").agg(
         F.count_distinct("item_pos").alias("n"), F.count_distinct(F.when(~F.col("slotted"), F.col("item_pos"))).alias("free")
     )

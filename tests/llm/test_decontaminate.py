@@ -109,6 +109,14 @@ def test_against_brute_force(spark, docs, bench):
     assert whole <= want
 
 
+def test_short_items_leak_only_as_whole_texts(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "Forty two!"), (3, "The sky is"), (4, "One two three four"), (5, "?!"), (6, "forty TWO")], "item_id long, text string")
+    texts = ["the", "the cat saw the dog", "forty, two", "forty two three", "the sky is blue", "the sky is", "see one two three four there", "", None, "...", "THE"]
+    assert leaks(make(spark, texts), bench) == {(0, 1), (10, 1), (2, 2), (2, 6), (5, 3), (6, 4)}
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_total, r.coverage, r.exact) for r in D.find_leaks(make(spark, texts), bench, least=1).collect()}
+    assert (1, 1) in got and (3, 2) in got and (5, 3) in got
+
+
 def test_odd_and_empty(odd_docs, no_docs, bench):
     assert leaks(odd_docs, bench) == set() and leaks(no_docs, bench) == set() and leaks(odd_docs, bench.limit(0)) == set()
     assert leaks(odd_docs.withColumnRenamed("n", "kind").withColumnRenamed("key", "h"), bench) == set()
