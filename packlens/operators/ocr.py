@@ -12,6 +12,12 @@ from pyspark.sql.window import Window
 from packlens.functions.patterns import candidates
 
 
+def without_boxes(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The images (image_id and others) that no box belongs to, which are still to be read; images without an id are among
+    them. Rows that repeat stay."""
+    return images.join(boxes.select("image_id"), "image_id", "left_anti")
+
+
 def clean_boxes(boxes: DataFrame, conf_col: str = "conf") -> DataFrame:
     """Blank words go; confidence of 0 to 100 becomes 0 to 1, anything negative or unreadable 0."""
     c = F.coalesce(F.greatest(F.col(conf_col).cast("string").try_cast("double"), F.lit(0.0)), F.lit(0.0)) / 100

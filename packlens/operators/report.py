@@ -13,7 +13,11 @@ from .places import placed
 from .rules import overall_status
 
 STATUSES = (PASS, PNC, NMR, UTV, NA)
-STATUS_LABELS = {PASS: "Compliant", PNC: "Potential non-compliance", NMR: "Needs manual review", UTV: "Unable to verify", NA: "Not applicable"}
+#: How reports call outcomes, kinds of source and compared fields, and the result that a checklist shows.
+STATUS_LABELS = {PASS: "Pass", PNC: "Potential Non-Compliance", NMR: "Needs Manual Review", NA: "Not Applicable", UTV: "Unable to Verify"}
+SOURCE_LABELS = {"WEBPAGE_TEXT": "WEBPAGE", "STRUCTURED_METADATA": "STRUCTURED METADATA", "IMAGE_OCR": "IMAGE/OCR", "USER_INPUT": "MANUAL", "MANUAL_REVIEW": "MANUAL REVIEW"}
+FIELD_LABELS = {"mrp": "MRP", "net_quantity": "Net Quantity", "product_name": "Product Name", "manufacturer_name": "Manufacturer", "importer_name": "Importer", "country_of_origin": "Country of Origin"}
+RESULT_LABELS = {PNC: "Not detected / potentially non-compliant", NMR: "Requires manual/visual review", UTV: "Insufficient evidence captured"}
 
 
 def _rank(c: Column, order: tuple[str, ...], other: int) -> Column:
@@ -81,6 +85,27 @@ def officer_checklist(checks: DataFrame, key: str = "inspection_id") -> DataFram
     return checks.withColumn("level", level).filter("level IS NOT NULL").withColumn("place", F.row_number().over(w))
 
 
+def labelled_checks(checks: DataFrame, documents: dict[str, str] | None = None) -> DataFrame:
+    """checks with status_label, result (of open outcomes; else null), action and document_label, all by fixed tables in
+    generated code. documents: short names of source documents; others go by their own name, which
+    source_document keeps. Null statuses have no label and no result."""
+    result = F.when(F.lit(False), F.lit(""))
+    for s, text in RESULT_LABELS.items():
+        result = result.when(F.col("status") == s, F.lit(text))
+    document = F.when(F.lit(False), F.lit(""))
+    for name, short in (documents or {}).items():
+        document = document.when(F.col("source_document") == name, F.lit(short))
+    return checks.withColumns({
+        "status_label": display_label(F.col("status"), STATUS_LABELS), "result": result, "action": officer_action(F.col("status"), F.col("title")),
+        "document_label": document.otherwise(F.col("source_document")),
+    })
+
+
+def labelled_declarations(decl: DataFrame) -> DataFrame:
+    """decl with source_label and field_label; unknown codes are shown in words."""
+    return decl.withColumns({"source_label": display_label(F.col("source_type"), SOURCE_LABELS), "field_label": display_label(F.col("field_name"), FIELD_LABELS)})
+
+
 def source_index(checks: DataFrame, key: str = "inspection_id", order: str = "rule_key") -> DataFrame:
     """1-based order in which an inspection's source documents first appear."""
     first = checks.groupBy(key, "source_document").agg(F.min(order).alias("first"))
@@ -109,7 +134,7 @@ def consistency_section(checks: DataFrame, evidence_count: Column, from_page: Co
     n = evidence_count
     return checks.filter("handler = 'consistency'").withColumns(
         {
-            "field_label": display_label(F.get("checked_fields", F.lit(0)), {"mrp": "MRP"}),
+            "field_label": display_label(F.get("checked_fields", F.lit(0)), FIELD_LABELS),
             "compared": F.when(n >= 2, "Listing + Image").when((n == 1) & from_page, "Listing only").when(n == 1, "Image only").otherwise("Incomplete"),
             "result": F.when(F.col("status") == PASS, "Consistent").when(F.col("status") == PNC, "Mismatch").otherwise("Inconclusive"),
             "action": officer_action(F.col("status"), F.col("title")),

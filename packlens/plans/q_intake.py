@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from packlens.functions import patterns
 from packlens.functions import text as X
 from packlens.functions.fuzzy import token_sort_ratio, with_dates
-from packlens.operators import context, declare, intake, products, report, versioning
+from packlens.operators import context, declare, intake, ocr, products, report, versioning
 from packlens.plans import captures
 from packlens.plans.oracle import LST
 from packlens.plans.synth import listings
@@ -204,7 +204,7 @@ def image_acceptance(spark, sf_dir):
 def images_without_ocr(spark, sf_dir):
     """J12."""
     done = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("image_id"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id")).join(done, "image_id", "left_anti")
+    return ocr.without_boxes(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id")), done)
 
 
 @query("""SELECT l_orderkey AS image_id, count(*) FILTER (l_linenumber % 4 <> 0) AS n, floor(sum(CASE WHEN l_linenumber % 4 = 0 THEN 0 WHEN l_linenumber % 3 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END)) AS conf_sum FROM lineitem GROUP BY 1 HAVING n > 0""")
