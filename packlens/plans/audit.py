@@ -9,15 +9,15 @@ from packlens.operators import classify, context, declare, rules
 from packlens.plans.synth import listing_text, listings
 
 
-def page_declarations(lst: DataFrame) -> DataFrame:
-    """Declarations of the fetched pages: the title as structured data, the rest from the text."""
+def page_declarations(lst: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Declarations of the fetched pages: the title as structured data, the rest from the text. as_of: see declare.normalized."""
     ok = lst.filter("has_page AND fetch_status = 'SUCCESS'").withColumn("text", listing_text())
     found = declare.text_declarations(ok, ["inspection_id"], "text").withColumn("source_type", F.lit("WEBPAGE_TEXT"))
     title = ok.select(
         "inspection_id", F.lit("product_name").alias("field_name"), F.col("title").alias("field_value"), F.lit(0.6).alias("confidence"), F.lit(0).alias("ord"),
         F.lit("STRUCTURED_METADATA").alias("source_type"),
     )
-    return declare.dedup_candidates(declare.normalized(title.unionByName(found)), ["inspection_id"])
+    return declare.dedup_candidates(declare.normalized(title.unionByName(found), as_of), ["inspection_id"])
 
 
 def image_declarations(lst: DataFrame) -> DataFrame:
@@ -27,8 +27,8 @@ def image_declarations(lst: DataFrame) -> DataFrame:
     return declare.normalized(seen.withColumn("source_type", F.lit("IMAGE_OCR")))
 
 
-def declarations(lst: DataFrame) -> DataFrame:
-    return page_declarations(lst).unionByName(image_declarations(lst))
+def declarations(lst: DataFrame, as_of: str | None = None) -> DataFrame:
+    return page_declarations(lst, as_of).unionByName(image_declarations(lst))
 
 
 def contexts(lst: DataFrame, decl: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
@@ -44,8 +44,9 @@ def contexts(lst: DataFrame, decl: DataFrame | None = None, images: DataFrame |
     return context.build_context(ins, declarations(lst) if decl is None else decl, facts, images)
 
 
-def checks(lst: DataFrame) -> DataFrame:
-    return rules.evaluate(contexts(lst))
+def checks(lst: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Every rule on every listing. as_of: the day that lends dates their missing parts; with it dates in any wording are read."""
+    return rules.evaluate(contexts(lst, declarations(lst, as_of)))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,24 +22,25 @@ def candidates(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return H.page_candidates(H.html_parts(pages, key).persist(StorageLevel.DISK_ONLY), key)
 
 
-def declarations(pages: DataFrame, key: str = "inspection_id") -> DataFrame:
-    """What the pages declare, each value once; text that carries no structure is told apart by its source."""
+def declarations(pages: DataFrame, key: str = "inspection_id", as_of: str | None = None) -> DataFrame:
+    """What the pages declare, each value once; text that carries no structure is told apart by its source. as_of: the day
+    that lends dates their missing parts; with it dates in any wording are read."""
     source = F.when(F.col("strategy") == "FALLBACK_TEXT", "WEBPAGE_TEXT").otherwise("STRUCTURED_METADATA")
     found = candidates(pages, key).withColumn("source_type", source)
     rows = found.select(key, "field_name", "field_value", "confidence", "ord", "source_type")
-    return declare.dedup_candidates(declare.normalized(rows), [key])
+    return declare.dedup_candidates(declare.normalized(rows, as_of), [key])
 
 
-def image_declarations(images: DataFrame, boxes: DataFrame) -> DataFrame:
+def image_declarations(images: DataFrame, boxes: DataFrame, as_of: str | None = None) -> DataFrame:
     """What the words on an inspection's images (image_id, inspection_id) declare, each value once an image."""
     found = ocr.ocr_declarations(ocr.image_words(ocr.reading_order(boxes))).join(images, "image_id")
-    rows = declare.normalized(found.withColumn("source_type", F.lit("IMAGE_OCR")))
+    rows = declare.normalized(found.withColumn("source_type", F.lit("IMAGE_OCR")), as_of)
     return declare.dedup_candidates(rows, ["image_id"]).select("inspection_id", "field_name", "field_value", "confidence", "ord", "source_type", "normalized_value")
 
 
-def checks(lst: DataFrame) -> DataFrame:
+def checks(lst: DataFrame, as_of: str | None = None) -> DataFrame:
     """Every rule on every listing, from its page's HTML and the words on its images."""
-    return judged(lst, all_declarations(lst))
+    return judged(lst, all_declarations(lst, as_of))
 
 
 def judged(lst: DataFrame, decl: DataFrame) -> DataFrame:
@@ -47,9 +48,9 @@ def judged(lst: DataFrame, decl: DataFrame) -> DataFrame:
     return rules.evaluate(audit.contexts(lst, decl, context.image_facts(listing_images(lst), listing_boxes(lst))))
 
 
-def all_declarations(lst: DataFrame) -> DataFrame:
+def all_declarations(lst: DataFrame, as_of: str | None = None) -> DataFrame:
     """What pages and images of listings declare."""
-    return declarations(listing_pages(lst)).unionByName(image_declarations(listing_images(lst), listing_boxes(lst)))
+    return declarations(listing_pages(lst), as_of=as_of).unionByName(image_declarations(listing_images(lst), listing_boxes(lst), as_of))
 
 
 def listing_images(lst: DataFrame) -> DataFrame:

@@ -45,6 +45,7 @@ CASES = (
     ({"mrp": "Rs. 60.00", "unit_sale_price": "60.00"}, {"mrp": "Rs. 61.00"}, ""),
     ({"mfg_date": "05/2024"}, {}, ""),
     ({"mfg_date": "soon"}, {}, ""),
+    ({"mfg_date": "the 12th day of March of 2024"}, {}, ""),
 )
 
 #: What a name and 500 g on a page with one readable image get.
@@ -76,6 +77,7 @@ CHANGED = (
     {"R6-1E-MRP": PASS, "R6-11-UNIT-SALE-PRICE": PASS, "R31-ADVERTISEMENT-NET-QTY": NMR, "CONSISTENCY-MRP": PNC},
     {"R6-1D-MFG-DATE": PASS},
     {"R6-1D-MFG-DATE": PNC},
+    {"R6-1D-MFG-DATE": PASS},
 )
 
 
@@ -91,7 +93,7 @@ def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("inspection_id"), (F.col("p_partkey") % len(CASES)).cast("int").alias("c"))
     said = spark.createDataFrame([(i, *row, n) for i in range(len(CASES)) for n, row in enumerate(_said(i))], "c int, field_name string, field_value string, source_type string, confidence double, ord int")
     texts = spark.createDataFrame([(i, case[2]) for i, case in enumerate(CASES)], "c int, listing_text string")
-    decl = declare.normalized(parts.join(F.broadcast(said), "c").drop("c"))
+    decl = declare.normalized(parts.join(F.broadcast(said), "c").drop("c"), "2024-06-15")
     ins = parts.join(F.broadcast(texts), "c").select("inspection_id", "listing_text", F.lit("UNKNOWN").alias("category"))
     pages = context.page_status(parts.select("inspection_id", F.lit("SUCCESS").alias("fetch_status")))
     images = parts.select("inspection_id", F.lit(1).cast("bigint").alias("n_images"), F.lit(0.9).alias("ocr_conf"))

@@ -1,6 +1,8 @@
 import pytest
 from packlens.operators import classify, context, declare, rules
 from packlens.functions.vocab import NA, NMR, PASS, PNC, UTV
+from packlens.plans import audit, captures
+from packlens.plans.synth import listings
 from pyspark.sql import functions as F
 
 DECL = "inspection_id string, field_name string, field_value string, source_type string, confidence double, ord int"
@@ -144,3 +146,11 @@ def test_ocr_hint_in_the_reason(spark):
     manner = [r for r in rules.SEEDED if r.rule_key == "R9-MANNER"]
     (r,) = rules.evaluate(context.build_context(ins, none, pages, imgs), tuple(manner)).collect()
     assert r.status == "NEEDS_MANUAL_REVIEW" and "62%" in r.reason
+
+
+def test_dates_in_other_words_reach_the_checks(spark):
+    """With the day that lends missing parts, the jobs over texts and over HTML read them; without it, such dates stay null."""
+    lst = listings(spark, "/root/testdata/sf0.001").filter("k IN (5, 11)").withColumn("mfg_text", F.lit("12th of March 2024"))
+    for job in (audit.declarations, captures.all_declarations):
+        for as_of, want in ((None, {None}), ("2024-06-15", {"2024-03-12"})):
+            assert {r.normalized_value for r in job(lst, as_of).filter("field_name = 'mfg_date'").collect()} == want, (job, as_of)
