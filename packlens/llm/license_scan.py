@@ -10,67 +10,19 @@ two-word n-grams with the family's template.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
+from .license_templates import TEMPLATES
 
-#: Public wordings by licence family, short ones and paragraphs.
-TEMPLATES = {
-    "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "SPDX-License-Identifier: Apache-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-        "See the License for the specific language governing permissions and limitations under the License.",
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "Released under the BSD License.",
-    ),
-    "cc-by": (
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Licensed under CC BY 4.0.",
-        "SPDX-License-Identifier: CC-BY-4.0",
-    ),
-    "cc-by-nc": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
-    ),
-    "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ),
-    "mit": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-        "SPDX-License-Identifier: MIT",
-    ),
-    "mpl": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ),
-    "proprietary": (
-        "All rights reserved.",
-        "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission.",
-    ),
-}
 UNKNOWN = "unknown"
+#: Counts of pairs in templates: bits of one, and how many share a 64-bit number.
+BITS, PACKED = 10, 6
 
 
 def _words(text: str) -> list[str]:
@@ -105,7 +57,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def fit(background: list[str], max_features: int = 4000, rounds: int = 300, ridge: float = 1e-3, false_rate: float = 0.001) -> LicenseModel:
+def fit(background: list[str], max_features: int = 6000, rounds: int = 300, ridge: float = 1e-3, false_rate: float = 0.001) -> LicenseModel:
     """Fit on template paragraphs against background paragraphs (the class unknown), at most max_features
     n-grams, those in most paragraphs first.
 
@@ -135,16 +87,16 @@ def fit(background: list[str], max_features: int = 4000, rounds: int = 300, ridg
     families = [*TEMPLATES, UNKNOWN]
 
     def matrix(groups: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(groups), len(grams)))
+        out = np.zeros((len(groups), len(grams)), dtype=np.float32)
         for i, t in enumerate(groups):
             out[i, [at[g] for g in _grams(t) if g in at]] = 1
         return out
 
     x = matrix([*texts, *behind, []])
     y = np.array([families.index(f) for f in labels] + [len(families) - 1] * (len(behind) + 1))
-    one = np.eye(len(families))[y]
-    each = (1 / np.maximum(1, np.bincount(y, minlength=len(families))))[y][:, None]  # families count alike
-    w, b = np.zeros((len(grams), len(families))), np.zeros(len(families))
+    one = np.eye(len(families), dtype=np.float32)[y]
+    each = (1 / np.maximum(1, np.bincount(y, minlength=len(families))))[y][:, None].astype(np.float32)  # families count alike
+    w, b = np.zeros((len(grams), len(families)), dtype=np.float32), np.zeros(len(families), dtype=np.float32)
     for _ in range(rounds):
         d = (_softmax(x @ w + b) - one) * each
         w -= 2.0 * (x.T @ d + ridge * w)
@@ -184,18 +136,24 @@ def template_pairs(m: LicenseModel) -> list[tuple[int, set[tuple[str, str]]]]:
 
 
 def model_table(spark: SparkSession, m: LicenseModel) -> DataFrame:
-    """(h, w0.. wn, common, inside): n-gram key, weights, whether it is a common pair, and the templates that have the pair."""
+    """(h, w0.. wn, common, paired, t0.. tk): n-gram key, weights, whether it is a common pair and a template's, and which
+    templates have it: PACKED templates share a number of BITS bits each, so that a sum of such numbers counts for all."""
     pairs, n = template_pairs(m), len(m.families)
-    rows = [(a, b, *map(float, m.weights[i]), 0, [j for j, (_, s) in enumerate(pairs) if (a, b) in s]) for i, (a, b) in enumerate(m.grams)]
-    rows += [(a, b, *[0.0] * n, 1, []) for a, b in m.common]
-    schema = "a string, b string, " + ", ".join(f"w{i} double" for i in range(n)) + ", common int, inside array<int>"
+    longest = max((len(s) for _, s in pairs), default=0)
+    if longest >= 1 << BITS:
+        raise ValueError(f"a template has {longest} pairs of words; {BITS} bits can't count them")
+    inside = lambda g: [sum(1 << BITS * i for i, (_, s) in enumerate(pairs[at : at + PACKED]) if g in s) for at in range(0, len(pairs), PACKED)]
+    rows = [(a, b, *map(float, m.weights[i]), 0, any(one), *one) for i, (a, b) in enumerate(m.grams) for one in [inside((a, b))]]
+    none = [0] * -(-len(pairs) // PACKED)
+    rows += [(a, b, *[0.0] * n, 1, False, *none) for a, b in m.common]
+    schema = "a string, b string, " + ", ".join(f"w{i} double" for i in range(n)) + ", common int, paired boolean" + "".join(f", t{k} bigint" for k in range(len(none)))
     return spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64("a", "b")).drop("a", "b")
 
 
 def shares_a_pair(words: Column, table: DataFrame) -> Column:
     """Has a paragraph any pair of neighbouring words that a template has? Without one no template can match, so
     that the paragraph need not be scored. The pairs are the model's, at most max_features."""
-    pairs = [r["h"] for r in table.filter(F.size("inside") > 0).select("h").distinct().collect()]
+    pairs = [r["h"] for r in table.filter("paired").select("h").distinct().collect()]
     two = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b).isin(pairs))
     return F.array_contains(two, True)
 
@@ -206,7 +164,7 @@ def scan(docs: DataFrame, model: LicenseModel, confirm: float = 0.5, id_col: str
     that a part of a template counts as well as a template inside a longer line. At least three must be shared
     (or all, if there are fewer). Each n-gram counts once, and the background's common ones on neither side.
 
-    A paragraph is a line; each line of a hard-wrapped licence is a part of a template and counts by itself. Null
+    Of the families a paragraph may have, the likeliest counts. A paragraph is a line; each line of a hard-wrapped licence is a part of a template and counts by itself. Null
     and empty texts, and texts without a licence, have 0, "" and nulls. Rows that share an id, or have none,
     are joined in their result, and repeated rows get equal rows. Whole texts are read, whatever their length; an empty
     table gives an empty result; other columns are ignored, whatever their names.
@@ -224,21 +182,27 @@ def scan(docs: DataFrame, model: LicenseModel, confirm: float = 0.5, id_col: str
     templates = template_pairs(model)
     sums = keys.join(table, "h").groupBy("id", "row", "p", "pairs").agg(
         *[F.sum(f"w{i}").alias(f"w{i}") for i in range(n)], F.sum("common").alias("common"),
-        *[F.sum(F.array_contains("inside", j).cast("int")).alias(f"t{j}") for j in range(len(templates))],
+        *[F.sum(f"t{k}").alias(f"t{k}") for k in range(-(-len(templates) // PACKED))],
     )
     z = F.array(*[F.col(f"w{i}") + float(model.bias[i]) for i in range(n)])
-
-    def match(j: int) -> Column:
-        least = F.greatest(F.least(F.col("pairs") - F.col("common"), F.lit(len(templates[j][1]))), F.lit(1))
-        return F.when(F.col(f"t{j}") >= F.least(least, F.lit(3)), F.col(f"t{j}") / least).otherwise(F.lit(0.0))
-
-    t = F.array(*[F.array_max(F.array(F.lit(0.0), *[match(j) for j, (f, _) in enumerate(templates) if f == i])) for i in range(n - 1)])
-    # one-element arrays again: each step is worked out once a paragraph, not once a use
-    sums = sums.select("id", F.inline(F.array(F.struct(z.alias("z"), t.alias("t")))))
-    sums = sums.select("id", "t", F.explode(F.array(F.array(*[F.exp(F.get("z", F.lit(i)) - F.array_max("z")) for i in range(n)]))).alias("e"))
-    total = reduce(lambda a, i: a + F.get("e", F.lit(i)), range(n), F.lit(0.0))
-    known = [F.struct((F.get("e", F.lit(i)) / total).alias("prob"), F.lit(f).alias("family"), F.get("t", F.lit(i)).alias("match")) for i, f in enumerate(model.families[:-1])]
-    best = sums.select("id", F.explode(F.array(F.array_max(F.array(*known)))).alias("k")).filter((F.col("k.prob") >= model.threshold) & (F.col("k.match") >= confirm))
+    counts = F.array(*[F.col(f"t{k}") for k in range(-(-len(templates) // PACKED))])
+    # one-element arrays again: each step is worked out once a paragraph, not once a use; lambdas over constant arrays keep
+    # the generated code small for any number of families and templates
+    sums = sums.select("id", "pairs", "common", counts.alias("counts"), F.inline(F.array(F.struct(z.alias("z"), F.array_max(z).alias("top")))))
+    sums = sums.select("id", "pairs", "common", "counts", F.explode(F.array(F.transform("z", lambda x: F.exp(x - F.col("top"))))).alias("e"))
+    sums = sums.select("*", F.explode(F.array(F.aggregate("e", F.lit(0.0), lambda a, x: a + x))).alias("total"))
+    names = F.array(*[F.lit(f) for f in model.families[:-1]])
+    known = F.transform(F.slice("e", 1, n - 1), lambda x, i: F.struct((x / F.col("total")).alias("prob"), F.get(names, i).alias("family"), i.alias("i")))
+    likely = sums.select("id", "pairs", "common", "counts", F.explode(F.array(F.array_max(known))).alias("k")).filter(F.col("k.prob") >= model.threshold)
+    every = json.dumps([{"f": f, "n": len(s), "k": j // PACKED, "s": BITS * (j % PACKED)} for j, (f, s) in enumerate(templates)])
+    own = F.filter(F.from_json(F.lit(every), "array<struct<f:int,n:int,k:int,s:int>>"), lambda t: t["f"] == F.col("k.i"))
+
+    def match(t: Column) -> Column:
+        least = F.greatest(F.least(F.col("pairs") - F.col("common"), t["n"]), F.lit(1))
+        shared = F.call_function("shiftright", F.get("counts", t["k"]), t["s"]).bitwiseAND(F.lit((1 << BITS) - 1))
+        return F.when(shared >= F.least(least, F.lit(3)), shared / least).otherwise(F.lit(0.0))
+
+    best = likely.select("id", F.struct("k.prob", "k.family", F.coalesce(F.array_max(F.transform(own, match)), F.lit(0.0)).alias("match")).alias("k")).filter(F.col("k.match") >= confirm)
     per = best.groupBy("id").agg(
         F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("k.family")), ",").alias("families"), F.max("k.prob").alias("best_probability"), F.max("k.match").alias("best_match")
     )

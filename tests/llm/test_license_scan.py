@@ -89,3 +89,35 @@ def test_hard_wrapped_licences(spark, docs):
     texts = ["\n".join(textwrap.wrap(" ".join(t for t in S.TEMPLATES[f] if "SPDX" not in t), 68)) for f in ("mit", "bsd", "apache-2.0")]
     got = [r.families for r in S.scan(make(spark, texts), S.train(docs)).orderBy("doc_id").collect()]
     assert all(f in g.split(",") for f, g in zip(("mit", "bsd", "apache-2.0"), got))
+
+
+#: Wordings that no template has.
+OTHER = {
+    "agpl": ("This file is licensed under the GNU Affero General Public License v3 or later.", "See the GNU Affero General Public License for more details."),
+    "apache-2.0": ("This project is licensed under the Apache License 2.0, see the file LICENSE.", "Code in this folder is under the Apache License, Version 2.0"),
+    "boost": ("Use, modification and distribution are subject to the Boost Software License, Version 1.0.",),
+    "bsd": ("This package is distributed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without changes, are permitted if the following conditions are met"),
+    "cc-by": ("Content on this site is licensed under a Creative Commons Attribution 4.0 International licence.",),
+    "cc-by-nc": ("All photos are licensed under a Creative Commons Attribution-NonCommercial 4.0 licence.",),
+    "cc-by-sa": ("The text is available under the Creative Commons Attribution-ShareAlike 4.0 licence.",),
+    "cc0": ("The author has waived all copyright and related rights to this work, to the extent possible under law.",),
+    "epl": ("Made available under the terms of the Eclipse Public License v2.0.",),
+    "gpl": ("This is free software, licensed under the GNU General Public License version 2.", "See the GNU General Public License along with this program."),
+    "isc": ("Permission to use, copy, modify and distribute this software for any purpose with or without fee is granted.",),
+    "lgpl": ("This library is licensed under the GNU Lesser General Public License v2.1.",),
+    "mit": ("Distributed under the MIT License.", "The code is licensed under the MIT license, see LICENSE."),
+    "mpl": ("This file is subject to the terms of the Mozilla Public License, version 2.0.",),
+    "ofl": ("The font is licensed under the SIL Open Font License 1.1.",),
+    "proprietary": ("No part of this book may be reproduced without the prior written permission of the publisher.",),
+    "unlicense": ("This is free and unencumbered software in the public domain.",),
+    "zlib": ("Permission is granted to anyone to use this program for any purpose, and to alter it and redistribute it freely.",),
+}
+
+
+def test_wordings_that_no_template_has(spark, docs):
+    cases = [(f, t) for f, ts in OTHER.items() for t in ts]
+    m = S.train(docs)
+    got = [r.families for r in S.scan(make(spark, [t for _, t in cases]), m).orderBy("doc_id").collect()]
+    missed = [(f, t, g) for (f, t), g in zip(cases, got, strict=True) if f != g]
+    print("recall", m.recall, "false rate", m.false_rate, "grams", len(m.grams), "missed", missed)
+    assert len(missed) <= 0.1 * len(cases), missed
