@@ -326,7 +326,9 @@ def rerun_replaces(spark, sf_dir):
     return declare.replace_derived(old, new).select("inspection_id", "field_value")
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""".replace("\\\\", "\\"))
+#: HTML knows these entities with or without their semicolon.
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&(lt|LT);?', '<', 'g'), '&(gt|GT);?', '>', 'g'),
+    '&(quot|QUOT);?', '"', 'g'), '&#39(;|$|([^0-9]))', '''\2', 'g'), '&(amp|AMP);?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM pages""")
 def page_titles(spark, sf_dir):
     """C5, by the one HTML pass."""
     parts = H.html_parts(table(spark, sf_dir, "pages"))

@@ -36,3 +36,10 @@ def test_packages_above_the_limit_of_rule_3(spark, heavy, name):
     rows = same(spark, heavy, name)
     if name == "rule_checks":
         assert sum(r[1] == "i2945" and "NOT_APPLICABLE" in r for r in rows) == 22
+
+
+def test_titles_cut_within_an_entity(spark, tmp_path):
+    titles = ("a &amp b", "cut&amp", "x &lt;b&gt", "&amp;lt; y", "it&#39", "q&quot", "&am")
+    rows = ", ".join(f"({i}::BIGINT, 'https://x.example/', '<title>{t}</title>')" for i, t in enumerate(titles))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) t(page_id, url, html)) TO '{tmp_path}/pages.parquet'")
+    assert [r[1] for r in same(spark, tmp_path, "page_titles")] == ["a & b", "cut&", "x <b>", "&lt; y", "it'", 'q"', "&am"]
