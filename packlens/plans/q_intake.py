@@ -70,7 +70,8 @@ def declaration_snippets(spark, sf_dir):
     """What stands around every match, English and Hindi, with its place in code points."""
     n = F.col("p_partkey").cast("string")
     t = F.concat(F.lit("Item "), n, F.lit(" 😀 | MRP: Rs. "), n, F.lit(".50 | शुद्ध मात्रा: "), n, F.lit(" ग्राम | Packed by: Box "), n, F.lit(", Pune 411001 | thank you, come again, all of you and your friends"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.inline(patterns.located(t)))
+    # dealt out first: the table's few splits are small, the search in its texts is long
+    rows = table(spark, sf_dir, "part").repartition("p_partkey").select("p_partkey", F.inline(patterns.located(t)))
     return rows.select("p_partkey", "field_name", "field_value", F.col("start_at").cast("bigint").alias("start_at"), F.col("end_at").cast("bigint").alias("end_at"), "snippet")
 
 
@@ -477,7 +478,7 @@ def ocr_audit(spark, sf_dir):
     from packlens.operators import ocr
     from packlens.plans.synth import listing_text
 
-    lst = listings(spark, sf_dir).filter("n_images > 0").withColumn("text", listing_text())
+    lst = listings(spark, sf_dir).filter("n_images > 0").repartition("k").withColumn("text", listing_text())
     words = lst.select(F.concat(F.lit("m"), F.col("k").cast("string")).alias("image_id"), F.col("ocr_conf").cast("double").alias("confidence"), F.posexplode(F.split("text", " ")).alias("ord", "text"))
     box = F.struct((F.col("ord") % 4 * 50).cast("int").alias("x"), (F.floor(F.col("ord") / 4) * 20 + F.col("ord") % 3).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(12).alias("height"))
     return ocr.ocr_declarations(ocr.image_words(ocr.reading_order(words.withColumn("bbox", box))))
