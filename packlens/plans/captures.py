@@ -67,7 +67,7 @@ def listing_boxes(lst: DataFrame) -> DataFrame:
     shown = [F.when(F.col(c).isNotNull(), F.transform(F.split(F.concat(F.lit(label), F.col(c)), " "), word(30 * n))) for n, (label, c) in enumerate(lines)]
     none = F.array().cast("array<struct<text:string,x:int,y:int>>")
     words = F.concat(F.array(F.struct(F.lit("Label").alias("text"), F.lit(0).alias("x"), F.lit(-30).alias("y"))), *[F.coalesce(x, none) for x in shown])
-    each = lst.filter("n_images > 0").select(F.concat("inspection_id", F.lit("-1")).alias("image_id"), F.col("ocr_conf").cast("double").alias("confidence"), F.posexplode(F.reverse(words)).alias("ord", "w"))
+    each = lst.filter("n_images > 0").repartition("inspection_id").select(F.concat("inspection_id", F.lit("-1")).alias("image_id"), F.col("ocr_conf").cast("double").alias("confidence"), F.posexplode(F.reverse(words)).alias("ord", "w"))
     box = F.struct(F.col("w.x").alias("x"), F.col("w.y").alias("y"), F.lit(40).alias("width"), F.lit(12).alias("height"))
     return each.select("image_id", "ord", "w.text", "confidence", box.alias("bbox"))
 
@@ -80,8 +80,9 @@ def incremental(spark: SparkSession, folder: str, schema: StructType, derive: Ca
 
 
 def listing_pages(lst: DataFrame) -> DataFrame:
-    """(inspection_id, url, html): the page that each fetched listing has, laid out as its platform does."""
-    ok = lst.filter("has_page AND fetch_status = 'SUCCESS'")
+    """(inspection_id, url, html): the page that each fetched listing has, laid out as its platform does. Listings are dealt
+    out first, as a file of many has few splits."""
+    ok = lst.filter("has_page AND fetch_status = 'SUCCESS'").repartition("inspection_id")
     tag = lambda before, c, after: F.when(c.isNotNull(), F.concat(F.lit(before), c, F.lit(after))).otherwise(F.lit(""))
     title, qty, land = F.col("title"), F.col("qty_text"), F.col("country_text")
     bullet = lambda label, c: tag(f"<li><b>{label} ‏ : ‎</b> ", c, "</li>")
