@@ -244,7 +244,7 @@ def _filed(open_: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str,
                 yield pd.DataFrame({"key": keys, "rep": rep, "comp": comp, "large": large})
 
     keys = sets.select("rep", "comp", "set").mapInPandas(file, "key bigint, rep bigint, comp bigint, large boolean")
-    return sets, cut(keys.distinct(), "keys")
+    return sets, cut(keys, "keys").repartition("key").distinct()  # dealt out once: _crossed groups and joins by the same key
 
 
 def _crossed(keys: DataFrame) -> DataFrame:
@@ -397,12 +397,12 @@ def near_duplicates(
     real = sk.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = cut(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     of = cut(sk.select("id", "n_shingles", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left").select("id", "n_shingles", "rep"), "of")
-    reps = real.join(classes.select("f1", "f2", F.col("rep").alias("id"), "n"), ["f1", "f2", "id"])
-    members = reps.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key")).distinct()
-    full = cut(_centres(members), "buckets")
-    members = cut(members.join(maybe_broadcast(full, full.count()), "key"), "members")
-    stars = _distinct_pairs(members.select(F.col("rep").alias("x"), F.explode(F.array("lo", "hi")).alias("y")))
+    reps = real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"])
+    # the bulk of all shuffled bytes: dealt out by key once, both for the centres and for the join with them
+    keyed = reps.select(F.col("id").alias("rep"), F.explode("bands").alias("key")).repartition("key")
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("least"))
+    members = cut(keyed.join(_centres(keyed).hint("merge"), "key").distinct().join(sizes.select("rep", "n"), "rep"), "members")
+    stars = _distinct_pairs(members.select(F.col("rep").alias("x"), F.explode(F.array("lo", "hi")).alias("y")))
     stars = cut(stars, "stars")
     comps = cut(components(confirm(stars, docs, sizes, k, percent, "id", "text")), "components")
     open_ = cut(_mixed(members, comps), "open")

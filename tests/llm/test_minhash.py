@@ -160,3 +160,22 @@ def test_ids_of_other_types(spark):
     want = {names[i]: (n, names[c]) for i, (n, c) in brute(list(enumerate(texts)), 2).items()}
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id} == want and all(r.kept == (r.doc_id == r.component_id) for r in rows if r.doc_id)
     assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)]
+
+
+def test_keys_are_dealt_out_once(spark, monkeypatch):
+    """Bucket keys and prefix keys are grouped and joined by one exchange, which is read twice."""
+    plans, cut = {}, M.cut
+
+    def spy(df, label):
+        if label in ("members", "crossed"):
+            df.collect()
+            plans[label] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return cut(df, label)
+
+    monkeypatch.setattr(M, "cut", spy)
+    monkeypatch.setattr(M, "SMALL", 2)
+    texts = noisy()
+    assert got(make(spark, texts), k=2) == brute(list(enumerate(texts)), 2)
+    for label in ("members", "crossed"):
+        by_key = [line for line in plans[label].splitlines() if "Exchange hashpartitioning" in line and "key#" in line and "Reused" not in line]
+        assert len(by_key) == 1 and "REPARTITION_BY_COL" in by_key[0] and "ReusedExchange" in plans[label]
