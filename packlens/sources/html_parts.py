@@ -13,7 +13,7 @@ from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from packlens.operators.intake import platform
 from packlens.sources.selectors import PLATFORMS, bullet, field_hits, label_pairs
 
 PART = "part string, ord int, k1 string, k2 string, text string"
+#: Pages that a task holds as Python objects at a time.
+PAGES = 50
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HIDDEN = {"script", "style", "noscript", "svg"}
 
@@ -132,15 +134,17 @@ def html_parts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     told by the url."""
     kind = pages.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 200):
-                c = b.iloc[lo : lo + 200]
-                rows = [(k, *p) for k, h, u, site in zip(c["key"], c["html"], c["url"], c["site"], strict=True) for p in parts_of(h, u, site)]
-                yield pd.DataFrame(rows, columns=["key", "part", "ord", "k1", "k2", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # pages become Python objects a few at a time, as a batch has thousands
+            types = [b.schema.field("key").type, pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            for lo in range(0, b.num_rows, PAGES):
+                c = b.slice(lo, PAGES)
+                rows = [(k, *p) for k, h, u, site in zip(*(c.column(n).to_pylist() for n in ("key", "html", "url", "site")), strict=True) for p in parts_of(h, u, site)]
+                cols = zip(*rows, strict=True)  # a page has at least its text
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["key", "part", "ord", "k1", "k2", "text"])
 
     src = pages.select(F.col(key).alias("key"), "html", "url", platform(F.col("url")).alias("site"))
-    return src.mapInPandas(run, f"key {kind}, {PART}").withColumnRenamed("key", key)
+    return src.mapInArrow(run, f"key {kind}, {PART}").withColumnRenamed("key", key)
 
 
 def json_ld_products(parts: DataFrame, key: str = "page_id") -> DataFrame:
