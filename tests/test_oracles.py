@@ -38,6 +38,12 @@ def test_packages_above_the_limit_of_rule_3(spark, heavy, name):
         assert sum(r[1] == "i2945" and "NOT_APPLICABLE" in r for r in rows) == 22
 
 
+def test_stored_checks_above_the_limit_of_rule_3(spark, heavy):
+    """The newest captures arrive after others that show 7 kg, and end as exempt."""
+    rows = same(spark, heavy, "incremental_checks")
+    assert sum("i2945" in r and "NOT_APPLICABLE" in r for r in rows) == 22
+
+
 def test_titles_cut_within_an_entity(spark, tmp_path):
     titles = ("a &amp b", "cut&amp", "x &lt;b&gt", "&amp;lt; y", "it&#39", "q&quot", "&am")
     rows = ", ".join(f"({i}::BIGINT, 'https://x.example/', '<title>{t}</title>')" for i, t in enumerate(titles))
