@@ -85,10 +85,10 @@ def ocr_declarations(words: DataFrame) -> DataFrame:
     boxes = words.select("image_id", F.col("ord").alias("box"), F.col("confidence").alias("c"), "lo", "hi", stretches("lo", "hi").alias("at"))
     touch = (F.col("lo") <= F.col("to")) & (F.col("hi") >= F.col("from"))
     once = F.col("at") == F.floor(F.greatest("lo", "from") / _STRETCH)  # spans that share several stretches meet in one
-    met = spans.join(boxes, ["image_id", "at"]).filter(touch & once)
+    met = spans.join(boxes.hint("merge"), ["image_id", "at"]).filter(touch & once)
     best = lambda c, box: F.max_by(box, F.struct(c, -F.col(box)))
     used = met.groupBy("image_id", "candidate").agg(F.avg("c").alias("mean"), best("c", "box").alias("source_box"))
     first = words.filter("lo = 0").groupBy("image_id").agg(F.avg("confidence").alias("first_mean"), F.min("ord").alias("first_box"))
-    c = found.join(used.withColumnRenamed("candidate", "ord"), ["image_id", "ord"], "left").join(first, "image_id", "left")
+    c = found.join(used.withColumnRenamed("candidate", "ord").hint("merge"), ["image_id", "ord"], "left").join(first.hint("merge"), "image_id", "left")
     mean = F.greatest(F.coalesce("mean", "first_mean"), F.lit(0.3))
     return c.select("image_id", "ord", "field_name", "field_value", (F.floor(F.col("confidence") * mean * 1000 + 0.5) / 1000).alias("confidence"), F.coalesce("source_box", "first_box").alias("source_box"))

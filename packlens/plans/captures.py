@@ -33,7 +33,7 @@ def declarations(pages: DataFrame, key: str = "inspection_id", as_of: str | None
 
 def image_declarations(images: DataFrame, boxes: DataFrame, as_of: str | None = None) -> DataFrame:
     """What the words on an inspection's images (image_id, inspection_id) declare, each value once an image."""
-    found = ocr.ocr_declarations(ocr.image_words(ocr.reading_order(boxes))).join(images, "image_id")
+    found = ocr.ocr_declarations(ocr.image_words(ocr.reading_order(boxes))).join(images.hint("merge"), "image_id")
     rows = declare.normalized(found.withColumn("source_type", F.lit("IMAGE_OCR")), as_of)
     return declare.dedup_candidates(rows, ["image_id"]).select("inspection_id", "field_name", "field_value", "confidence", "ord", "source_type", "normalized_value")
 

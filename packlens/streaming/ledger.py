@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _LEDGER = "query string, batch bigint, seq bigint, state string"
+#: Keys are broadcast only when counted and found to be at most so many; more of them are merged with the log.
+FEW_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,8 @@ class Ledger:
 
     def current(self, name: str, keys: DataFrame | None = None) -> DataFrame:
         """The current rows of a table; keys (one column, the table's key): only of these. The log is reduced to each
-        key's last seq before anything is joined."""
+        key's last seq before anything is joined. Spark would take a side of compressed files for small and build
+        it in the driver, so every other join is a merge."""
         t, seqs = self.tables[name], self._visible()
         if not seqs:
             return self.spark.createDataFrame([], t.schema)
@@ -76,10 +79,11 @@ class Ledger:
         log = self.spark.read.schema(t.schema).option("basePath", f"{self.folder}/{name}").parquet(*paths)
         log = log.withColumn("seq", F.regexp_extract(F.col("_metadata.file_path"), r"/seq=(\d+)/", 1).cast("bigint"))
         if keys is not None:
-            log = log.join(keys.distinct(), t.key, "left_semi")
+            few = keys.count() <= FEW_KEYS
+            log = log.join(F.broadcast(keys.distinct()) if few else keys.distinct().hint("merge"), t.key, "left_semi")
         last = log.groupBy(F.col(t.key).alias("_key")).agg(F.max("seq").alias("_seq"))
         same = F.col(t.key).eqNullSafe(F.col("_key")) & (F.col("seq") == F.col("_seq"))
-        return log.join(last, same, "left_semi").select(*t.schema.fieldNames())
+        return log.join(last.hint("merge"), same, "left_semi").select(*t.schema.fieldNames())
 
     def compact(self, label: str = "compaction") -> None:
         """A new base that holds all current rows."""

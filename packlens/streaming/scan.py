@@ -3,6 +3,7 @@
 A micro-batch goes through the same functions as a batch job: of its captures the newest of each page that is newer than the
 stored one goes on; what a page declares replaces what it declared before, except for what a user entered (S9); its rules
 are evaluated again; its product takes the new values that aren't empty (J10). The ledger applies each batch once.
+A batch may be as large as the table: its rows are merged, never broadcast.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class Scan:
         keys = fresh.select(self.key)
         old = self.ledger.current("declarations", keys)
         new = self.derive(fresh).select(*old.columns)
-        self._rejudge(seq, fresh, declare.replace_derived(old, new, self.key).join(keys, self.key, "left_semi"))
+        self._rejudge(seq, fresh, declare.replace_derived(old, new, self.key).join(keys.hint("merge"), self.key, "left_semi"))
         rows = self.spark.createDataFrame([], StructType.fromDDL(self.PRODUCTS))
         if self.product is not None:
             seen = self.product(fresh)
@@ -116,7 +117,7 @@ class Scan:
         entered = declare.normalized(declare.manual_declarations(rows.withColumn("ord", F.lit(0)))).drop("extraction_method")
         old = self.ledger.current("declarations", keys)
         again = entered.select(self.key, "field_name", "source_type")
-        kept = old.join(again, [self.key, "field_name", "source_type"], "left_anti")
+        kept = old.join(again.hint("merge"), [self.key, "field_name", "source_type"], "left_anti")
         captures = self.ledger.current("captures", keys)
         self.ledger.put("captures", seq, captures)
         self._rejudge(seq, captures, kept.unionByName(entered.select(*old.columns)))
@@ -126,8 +127,8 @@ class Scan:
     def _fresh(self, batch: DataFrame) -> DataFrame:
         """The newest capture of each page of the batch, if it is newer than the stored one."""
         last = latest_captures(batch.select(*self.captures.fieldNames()), self.key)
-        stored = self.ledger.current("captures", last.select(self.key)).select(F.col(self.key).alias("_stored"), F.col("fetched_at").alias("_at"))
-        return last.join(stored, (F.col(self.key) == F.col("_stored")) & (F.col("_at") >= F.col("fetched_at")), "left_anti")
+        stored = self.ledger.current("captures", batch.select(self.key)).select(F.col(self.key).alias("_stored"), F.col("fetched_at").alias("_at"))
+        return last.join(stored.hint("merge"), (F.col(self.key) == F.col("_stored")) & (F.col("_at") >= F.col("fetched_at")), "left_anti")
 
     def _rejudge(self, seq: int, captures: DataFrame, declarations: DataFrame) -> None:
         self.ledger.put("declarations", seq, declarations)

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from packlens.plans import captures
+from packlens.plans import audit, captures
 from packlens.plans.synth import listings
+from packlens.streaming import ledger
 from packlens.streaming.ledger import Ledger, Table
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +83,21 @@ def test_ledger_shows_done_batches_only(spark, tmp_path):
     assert led.current("t", df(("b", 0)).select("k")).count() == 1
     led.compact()
     assert led.current("t").count() == 3 and len(led._visible()) == 1
+
+
+@pytest.mark.parametrize("derive", [audit.declarations, captures.all_declarations])
+def test_a_large_batch_is_merged_not_broadcast(spark, new, tmp_path, monkeypatch, derive):
+    """Small files may hold many rows: whatever Spark takes them for, only the vocabulary of labels goes through the driver."""
+    planned, put = [], Ledger.put
+    monkeypatch.setattr(Ledger, "put", lambda self, name, seq, rows: (planned.append(rows._jdf.queryExecution().executedPlan().toString()), put(self, name, seq, rows)))
+    monkeypatch.setattr(ledger, "FEW_KEYS", 0, raising=False)
+    job = captures.incremental(spark, str(tmp_path / "state"), new.schema, derive)
+    job.apply(stamped(new, 10), "q", 0)
+    job.apply(stamped(new, 20), "q", 1)
+    job.enter(spark.createDataFrame([("i7", "mrp", "Rs. 5.00")], "inspection_id string, field_name string, field_value string"), "user", 0)
+    job.ledger.compact()
+    joins = [line for p in planned for line in p.splitlines() if "Join" in line]
+    assert len(planned) == 16 and len(joins) > 20 and [j for j in joins if "Broadcast" in j and "label_key" not in j] == []
+    monkeypatch.setattr(ledger, "FEW_KEYS", 1)
+    few = job.ledger.current("captures", new.filter("k = 7").select("inspection_id"))  # the log stays where it is
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 1
