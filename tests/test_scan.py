@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from packlens.operators import declare
 from packlens.plans import audit, captures
 from packlens.plans.synth import listings
 from packlens.streaming import ledger
@@ -101,3 +102,13 @@ def test_a_large_batch_is_merged_not_broadcast(spark, new, tmp_path, monkeypatch
     monkeypatch.setattr(ledger, "FEW_KEYS", 1)
     few = job.ledger.current("captures", new.filter("k = 7").select("inspection_id"))  # the log stays where it is
     assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 1
+
+
+def test_a_rerun_derives_once_and_keeps_user_entries(spark):
+    """Inspections that are not in new keep all; rows without a key match nothing."""
+    kind = "inspection_id string, field_value string, source_type string"
+    old = spark.createDataFrame([("a", "1", "IMAGE_OCR"), ("a", "2", "USER_INPUT"), ("a", "3", None), ("b", "4", "IMAGE_OCR"), (None, "5", "IMAGE_OCR")], kind)
+    new = spark.range(2).select(F.lit("a").alias("inspection_id"), F.lit("6").alias("field_value"), F.lit("IMAGE_OCR").alias("source_type"))
+    out = declare.replace_derived(old, new.unionByName(spark.createDataFrame([(None, "7", "IMAGE_OCR")], kind)))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (0, 2") == 1
+    assert sorted(r.field_value for r in out.collect()) == ["2", "4", "5", "6", "6", "7"]
